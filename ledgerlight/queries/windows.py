@@ -85,13 +85,13 @@ def w06(spark, sf):
 
 
 @query("w07", "trends", f""", {_ALIGNED}, {_FILLED}, r as (select *, row_number() over (partition by cik order by month_end_date desc) as age from fl)
-  select cik, count(*) as length, round(sum(fa), 4) as fa_sum, round(sum(fb), 4) as fb_sum, round(arg_max(price_return, month_end_date), 6) as last_target,
+  select cik, count(*) as length, round(sum(fa), 6) as fa_sum, round(sum(fb), 6) as fb_sum, round(arg_max(price_return, month_end_date), 6) as last_target,
   arg_max(trend_up_or_down, month_end_date) as last_label from r where age <= 20 group by cik having count(*) >= 4""")
 def w07(spark, sf):
     s = prices.sequences(_aligned(spark, sf), ["fa", "fb"], "price_return", "trend_up_or_down")
 
     def total(i):
-        return F.round(F.aggregate(F.transform("features", lambda x: x[i]), F.lit(0.0), lambda a, x: a + x), 4)
+        return F.round(F.aggregate(F.transform("features", lambda x: x[i]), F.lit(0.0), lambda a, x: a + x), 6)
 
     return s.select("cik", "length", total(0).alias("fa_sum"), total(1).alias("fb_sum"), F.round(F.element_at("targets", -1), 6).alias("last_target"), "last_label")
 
