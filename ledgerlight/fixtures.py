@@ -165,12 +165,13 @@ CTES["ratios_tall"] = (
 )
 
 
-def prices(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
-    """Daily prices with gaps; `multi` gives companies several tickers."""
+def prices(spark: SparkSession, sf_dir: str, multi: bool = False, company: bool = False) -> DataFrame:
+    """Daily prices with gaps; `multi` gives companies several tickers, `company` the ids of `metric_facts`."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    ticker = F.col("c_mktsegment") if multi else F.concat(F.lit("T"), F.col("c_nationkey").cast("string"))
+    cik = F.col("c_nationkey") * 100 + F.ascii("c_mktsegment") if company else F.col("c_nationkey")
+    ticker = F.col("c_mktsegment") if multi else F.concat(F.lit("T"), cik.cast("string"))
     return o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("c_nationkey").cast("long").alias("cik"),
+        cik.cast("long").alias("cik"),
         ticker.alias("ticker"),
         _day("o_orderdate").alias("date"),
         (F.col("o_totalprice") / 400).alias("close_price"),
@@ -178,13 +179,16 @@ def prices(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
     )
 
 
-for _name, _ticker in (("prices", "'T' || c_nationkey"), ("prices_multi", "c_mktsegment")):
-    CTES[_name] = f"""{_name} as (select cast(c_nationkey as bigint) as cik, {_ticker} as ticker, cast(o_orderdate as date) as date,
+for _suffix, _cik, _ticker in (
+    ("", "c_nationkey", "'T' || c_nationkey"),
+    ("_multi", "c_nationkey", "c_mktsegment"),
+    ("_company", "c_nationkey * 100 + ascii(c_mktsegment)", "'T' || (c_nationkey * 100 + ascii(c_mktsegment))"),
+):
+    _p, _m, _t = f"prices{_suffix}", f"month_end{_suffix}", f"trends{_suffix}"
+    CTES[_p] = f"""{_p} as (select cast({_cik} as bigint) as cik, {_ticker} as ticker, cast(o_orderdate as date) as date,
   o_totalprice / 400 as close_price, o_orderkey as tiebreak from orders join customer on o_custkey = c_custkey)"""
-    _m = "month_end" if _name == "prices" else "month_end_multi"
     CTES[_m] = f"""{_m} as (select cik, ticker, date as month_end_date, close_price, year(date) * 12 + month(date) - 1 as year_month
-  from (select *, row_number() over (partition by cik, ticker, year(date), month(date) order by date desc, tiebreak) as rn from {_name}) where rn = 1)"""
-    _t = "trends" if _name == "prices" else "trends_multi"
+  from (select *, row_number() over (partition by cik, ticker, year(date), month(date) order by date desc, tiebreak) as rn from {_p}) where rn = 1)"""
     CTES[_t] = f"""{_t} as (select a.cik, a.ticker, a.month_end_date, a.year_month, h.horizon,
   cast(b.close_price > a.close_price as int) as trend_up_or_down, cast(b.close_price > a.close_price * 1.05 as int) as trend_5per_up,
   b.close_price / a.close_price as price_return, a.close_price, b.close_price as future_close_price
@@ -257,6 +261,7 @@ _NEEDS = {
     "ratios_wide": ["metric_facts", "features_wide"], "ratios_tall": ["metric_facts", "features_wide", "ratios_wide"],
     "month_end": ["prices"], "month_end_multi": ["prices_multi"],
     "trends": ["prices", "month_end"], "trends_multi": ["prices_multi", "month_end_multi"],
+    "month_end_company": ["prices_company"], "trends_company": ["prices_company", "month_end_company"],
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def sequence_similarity(a: Column, b: Column) -> Column:
     """Opt-in parity with the standard library's matching-block ratio (Arrow batches, slower)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -200,9 +200,3 @@ def completeness_filter(wide: DataFrame, ranking: DataFrame, mapped: DataFrame,
     latest = kept.join(kept.groupBy("cik", "period").agg(newest), ["cik", "period", "data_qtr"], "left_semi")
     one = latest.groupBy("cik", "period").agg(F.min_by(F.struct(*[f"`{c}`" for c in rest]), form).alias("_row"))
     return one.select("cik", "period", "_row.*").select(*[f"`{c}`" for c in cols])
-
-
-def latest_filing_facts(sub_form: DataFrame) -> DataFrame:
-    """Rows of the most recent period of each company."""
-    newest = sub_form.groupBy("cik").agg(F.max("period").alias("period"))
-    return sub_form.join(newest, ["cik", "period"], "left_semi")

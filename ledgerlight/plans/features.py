@@ -72,20 +72,22 @@ def filing_ratios(bulk: DataFrame, form: str, tags: Sequence[str], ratios: Seque
         F.col(cik).alias("cik"), "tag", "ddate", "qtrs", F.nullif(F.trim(F.col("segments")), F.lit("")).alias("segments"), "value", "uom", "custom_tag",
         F.col("ddate").alias("period"), F.lit(form).alias("form"),
     )
-    newest = A.latest_filing_facts(A.segment_summary(shaped, [form]))
-    names = sorted(f"{t}_{q}qtrs" for t in tags for q in range(C.MAX_QTRS + 1))
-    wide = A.pivot_features(A.history_comparisons(newest), tags, 0, names)
+    names = sorted(f"{t}_{q}qtrs" for t in tags for q in (0, 1))
+    wide = A.pivot_features(A.history_comparisons(A.segment_summary(shaped, [form])), tags, 0, names)
     return _company_ratios(wide, ratios)
 
 
 def _company_ratios(wide: DataFrame, ratios: Sequence[C.Ratio]) -> DataFrame:
-    """Definition ratios over many companies: quarter 1 where the company reports it, else 0."""
-    tags = sorted({t for r in ratios for t in r.tags})
-    cells = {}
-    for t in tags:
-        found = [F.col(f"`{c}`") for c in (f"{t}_1qtrs_current", f"{t}_0qtrs_current") if c in wide.columns]
-        if found:
-            cells[f"{t}_1qtrs_current"] = F.coalesce(*found)
-    picked = wide.select("cik", "period", "form", *[e.alias(c) for c, e in cells.items()])
-    out = R.defined_ratios(picked, ratios)
+    """Definition ratios of each company's newest period.
+
+    A tag is read at quarter 1 when the company reports it so in any period, else at quarter
+    0; both the choice and the newest row come out of one aggregate per company.
+    """
+    tags = sorted({t for r in ratios for t in r.tags if f"{t}_1qtrs_current" in wide.columns})
+    cells = [f"{t}_{q}qtrs_current" for t in tags for q in (0, 1)]
+    newest = F.max_by(F.struct("period", "form", *[f"`{c}`" for c in cells]), "period").alias("_r")
+    ever = [F.count(f"`{t}_1qtrs_current`").alias(f"_n_{t}") for t in tags]
+    one = wide.groupBy("cik").agg(newest, *ever)
+    value = [F.when(F.col(f"_n_{t}") > 0, F.col("_r")[f"{t}_1qtrs_current"]).otherwise(F.col("_r")[f"{t}_0qtrs_current"]).alias(f"{t}_1qtrs_current") for t in tags]
+    out = R.defined_ratios(one.select("cik", "_r.period", "_r.form", *value), ratios)
     return out.select("cik", "period", "form", *[c for c in out.columns if c.endswith("_augment")])

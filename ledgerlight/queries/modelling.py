@@ -1 +1,275 @@
-"""Queries."""
+"""Datasets, models, evaluation and back-tests (M01-M24; M19-M21 are with the strategies).
+
+Model queries run with fewer trees and epochs than the defaults; rows are never left out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlight import config as C
+from ledgerlight import fixtures as X
+from ledgerlight.operators import clean, evaluate, models, prices, selection
+from ledgerlight.plans import backtest, dataset
+from ledgerlight.queries.registry import query, rounded
+from ledgerlight.queries.scalars import _HARD
+from ledgerlight.session import durable
+
+SMALL = {"rf": {"numTrees": 10, "maxDepth": 5}, "xgb": {"maxIter": 5, "maxDepth": 4}}
+
+
+def _company_trends(spark, sf):
+    m = prices.month_end_prices(X.prices(spark, sf, company=True), tiebreak="tiebreak")
+    return prices.price_trends(m, [C.HORIZONS[3]]).drop("horizon")
+
+
+def _data(spark, sf):
+    return dataset.assemble(X.features_wide(spark, sf), _company_trends(spark, sf))
+
+
+_M01 = ["GrossMargin_1qtrs_augment", "CurrentRatio_0qtrs_augment", "Assets_0qtrs_current"]
+_GRADS = [(c, q) for c in _M01 for q in C.GRADIENT_QUARTERS]
+
+
+def _base(c: str) -> str:
+    return c.removesuffix("_current").removesuffix("_augment")
+
+
+@query("m01", "ratios_wide trends_company", f""", f as (select *, (period // 10000) * 12 + (period // 100) % 100 - 1 as m, {_HARD} as bad from ratios_wide)
+  select f.cik, f.period, f.m as year_month, t.ticker, t.trend_up_or_down, round(t.price_return, 6) as price_return, """
+       + ", ".join(f'round(f."{c}", 6) as "{c}"' for c in _M01) + ", "
+       + ", ".join(f'round(case when h{q}."{c}" <> 0 then (f."{c}" - h{q}."{c}") / h{q}."{c}" end, 6) as "{_base(c)}_change_q{q}"' for c, q in _GRADS)
+       + " from f " + " ".join(f"left join f h{q} on h{q}.cik = f.cik and h{q}.m = f.m - {3 * q}" for q in C.GRADIENT_QUARTERS)
+       + " join trends_company t on t.cik = f.cik and t.year_month = f.m and t.horizon = 1 where not f.bad")
+def m01(spark, sf):
+    cols = ["cik", "period", "year_month", "ticker", "trend_up_or_down", "price_return", *_M01, *[f"{_base(c)}_change_q{q}" for c, q in _GRADS]]
+    return rounded(_data(spark, sf).select(*cols))
+
+
+def _split(spark, sf):
+    """Checkpointed train and test rows, split at a month."""
+    d = durable(_data(spark, sf))
+    return d.filter("year_month < 24000"), d.filter("year_month >= 24000")
+
+
+def _features(df):
+    return clean.feature_columns(df)
+
+
+@query("m02")
+def m02(spark, sf):
+    train, test = _split(spark, sf)
+    a, b, used = models.indicate_missing(train, test, _features(train))
+    scored, _ = models.classify(a, b, used, model="rf", **SMALL["rf"])
+    return models.classification_metrics(scored, "trend_up_or_down")
+
+
+@query("m02_importance")
+def m02_importance(spark, sf):
+    train, test = _split(spark, sf)
+    cols = clean.suffix_columns(train.columns, ["_augment"])
+    a, b = clean.impute_median(train, test, cols)
+    _, fitted = models.classify(a, b, cols, model="xgb", **SMALL["xgb"])
+    return models.importances(fitted, cols, spark)
+
+
+@query("m03")
+def m03(spark, sf):
+    train, test = _split(spark, sf)
+    table, _ = models.model_grid(train, test, clean.suffix_columns(_features(train), ["_augment", "_current"]), selections=("current", "all"), params=SMALL)
+    return table
+
+
+@query("m04")
+def m04(spark, sf):
+    train, test = _split(spark, sf)
+    cols = clean.suffix_columns(train.columns, ["_current", "_augment"])
+    a, b = clean.impute_median(train, test, cols)
+    out = None
+    for name in ("xgboost", "random_forest"):
+        small = SMALL["rf"] if name == "random_forest" else SMALL["xgb"]
+        scored, _ = models.regress(a, b, cols, model=name, **small)
+        report = models.regression_report(scored).withColumn("model", F.lit(name))
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+@query("m05")
+def m05(spark, sf):
+    train, test = _split(spark, sf)
+    fit, val, rows, cols = models.prepare_three_class(train, test, rules={"period": "bottom"})
+    parts = [d.groupBy("class").agg(F.count("*").alias("n")).withColumn("part", F.lit(p)) for p, d in (("train", fit), ("validation", val), ("test", rows))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("features", F.lit(len(cols)))
+
+
+def _three(spark, sf):
+    train, test = _split(spark, sf)
+    fit, _, rows, cols = models.prepare_three_class(train, test, rules={"period": "bottom"})
+    return models.classify_three(fit, rows, cols, layers=(16, 8), epochs=20)
+
+
+@query("m06")
+def m06(spark, sf):
+    return rounded(_three(spark, sf).select("cik", "period", "ticker", "class", "predicted", "p_bad", "p_mediocre", "p_good", "y_pred_proba"), 4)
+
+
+@query("m07")
+def m07(spark, sf):
+    return models.three_class_report(_three(spark, sf))
+
+
+@query("m07_confusion")
+def m07_confusion(spark, sf):
+    return evaluate.confusion_matrix(_three(spark, sf), "class", "predicted")
+
+
+@query("m08", sql="""with e as (select vec_id, label, (row_number() over (order by vec_id) - 1) // 256 as batch, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+  u as (select vec_id, label, batch, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
+  p as (select a.vec_id, a.batch, exp(list_dot_product(a.v, b.v) / 0.1) as s, a.label = b.label as same from u a join u b on a.batch = b.batch and a.vec_id <> b.vec_id)
+  select vec_id, batch, round(-ln(coalesce(sum(s) filter (same), 0) / (sum(s) + 1e-8) + 1e-8), 5) as loss from p group by vec_id, batch""")
+def m08(spark, sf):
+    return rounded(evaluate.contrastive_separation(X.table(spark, sf, "embeddings"), "vec_id", "embedding", "label"), 5)
+
+
+_AUG = [r.column for r in C.RATIOS]
+
+
+@query("m09")
+def m09(spark, sf):
+    d = _data(spark, sf)
+    scores = backtest.walk_forward(d, [24002, 24005, 24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]))
+    return selection.strategy_average(selection.pick_all(scores))
+
+
+@query("m10")
+def m10(spark, sf):
+    scores = backtest.monthly_rebuild(
+        X.features_wide(spark, sf), _company_trends(spark, sf), [24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]), quarters=(1, 4)
+    )
+    return rounded(scores.groupBy("year_month").agg(F.count("*").alias("n"), F.avg("y_pred_proba").alias("mean_score")), 4)
+
+
+@query("m11")
+def m11(spark, sf):
+    d = durable(_data(spark, sf))
+    out = None
+    for name, scorer in (("regression", models.regression_scorer(_AUG, **SMALL["xgb"])), ("three_class", models.three_class_scorer(["_augment"], epochs=15, layers=(8,)))):
+        scores = backtest.walk_forward(d, [24008, 24011], scorer).withColumn("scorer", F.lit(name))
+        out = scores if out is None else out.unionByName(scores)
+    return rounded(out.select("scorer", "year_month", "cik", "ticker", "y_pred_proba"), 4)
+
+
+_CONF = """t(threshold) as (values (cast(0.25 as double)), (0.5), (0.75), (0.9)),
+  c as (select threshold, count(*) filter (score >= threshold and label = 1) as tp, count(*) filter (score >= threshold and label = 0) as fp,
+    count(*) filter (score < threshold and label = 0) as tn, count(*) filter (score < threshold and label = 1) as fn, count(*) as n from row_scores, t group by threshold)
+  select threshold, tp, fp, tn, fn, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) as fpr, round(coalesce(fn / nullif(fn + tp, 0), 0), 6) as fnr,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as tpr, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) as tnr, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision,
+  round((tp + tn) / n, 6) as accuracy, round((tp + fp) / n, 6) as predicted_positive from c"""
+
+
+@query("m12", "row_scores", f", {_CONF} where threshold = 0.5")
+def m12(spark, sf):
+    return rounded(evaluate.threshold_metrics(X.row_scores(spark, sf), [0.5]))
+
+
+@query("m13", "row_scores", f", {_CONF}")
+def m13(spark, sf):
+    return rounded(evaluate.threshold_metrics(X.row_scores(spark, sf)))
+
+
+_CURVE = """g as (select score, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg from row_scores group by score),
+  r as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as positives, sum(neg) over () as negatives from g window w as (order by score desc))"""
+
+
+@query("m14", "row_scores", f""", {_CURVE} select round(score, 9) as score, tp::bigint as tp, fp::bigint as fp, round(tp / positives, 6) as tpr, round(fp / negatives, 6) as fpr,
+  round(tp / (tp + fp), 6) as precision from r""")
+def m14(spark, sf):
+    p = evaluate.curve_points(X.row_scores(spark, sf))
+    return rounded(p.select("score", "tp", "fp", "tpr", "fpr", "precision").withColumn("score", F.round("score", 9)).withColumn("score", F.col("score").cast("double")), 9).select(
+        "score", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")]
+    )
+
+
+@query("m14_areas", "row_scores", f""", {_CURVE} select round(sum(pos * (negatives - fp + neg / 2)) / any_value(positives * negatives), 6) as auc,
+  round(sum(pos * (tp / (tp + fp))) / any_value(positives), 6) as average_precision from r""")
+def m14_areas(spark, sf):
+    return rounded(evaluate.curve_areas(evaluate.curve_points(X.row_scores(spark, sf))))
+
+
+@query("m14_percentile", "row_scores", "select count(*) as n, round(quantile_cont(score, 0.9), 6) as score_at from row_scores")
+def m14_percentile(spark, sf):
+    return rounded(evaluate.score_at_percentile(X.row_scores(spark, sf), 90))
+
+
+@query("m15", "row_scores", """, e as (select label, min(score) as lo, max(score) as hi from row_scores group by label),
+  b as (select r.label, cast(least(floor((score - lo) / ((hi - lo) / 20)), 19) as int) as bin, lo, hi from row_scores r join e on r.label = e.label)
+  select label, bin, count(*) as n, round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 20, 6) as bin_start from b group by label, bin""")
+def m15(spark, sf):
+    return rounded(evaluate.score_histogram(X.row_scores(spark, sf)))
+
+
+_CORR = ["score", "l_discount", "l_tax"]
+
+
+def _with_holes(spark, sf):
+    r = X.row_scores(spark, sf)
+    return r.withColumn("l_tax", F.when(F.col("l_tax") < 0.07, F.col("l_tax")))
+
+
+@query("m16", "row_scores", """, r as (select label, score, l_discount, case when l_tax < 0.07 then l_tax end as l_tax from row_scores),
+  md as (select quantile_cont(l_tax, 0.5) as m from r),
+  c as (select 'score' as feature, abs(corr(score, label)) as x from r union all select 'l_discount', abs(corr(l_discount, label)) from r
+    union all select 'l_tax', abs(corr(coalesce(l_tax, m), label)) from r, md)
+  select feature, round(x, 6) as correlation, row_number() over (order by x desc, feature) as rank from c""")
+def m16(spark, sf):
+    return rounded(evaluate.feature_correlation(_with_holes(spark, sf), _CORR, "label"))
+
+
+@query("m16_counts", "row_scores", """, r as (select label, score, l_discount, case when l_tax < 0.07 then l_tax end as l_tax from row_scores), md as (select quantile_cont(l_tax, 0.5) as m from r),
+  c as (select abs(corr(score, label)) as x from r union all select abs(corr(l_discount, label)) from r union all select abs(corr(coalesce(l_tax, m), label)) from r, md)
+  select count(*) as features, count(*) filter (x > 0.1) as above_10, count(*) filter (x > 0.05) as above_5 from c""")
+def m16_counts(spark, sf):
+    return evaluate.correlation_counts(evaluate.feature_correlation(_with_holes(spark, sf), _CORR, "label"))
+
+
+@query("m17", "row_scores", """, r as (select price_return as y, case when l_discount > 0 then score * 2 end as p, label from row_scores), k as (select * from r where p is not null)
+  select count(*) as n, round(avg((y - p) ** 2), 6) as mse, round(sqrt(avg((y - p) ** 2)), 6) as rmse, round(avg(abs(y - p)), 6) as mae,
+  round(1 - avg((y - p) ** 2) / var_pop(y), 6) as r2, round(corr(y, p), 6) as pearson from k""")
+def m17(spark, sf):
+    r = X.row_scores(spark, sf).withColumn("p", F.when(F.col("l_discount") > 0, F.col("score") * 2))
+    return rounded(evaluate.regression_metrics(r, "price_return", "p"))
+
+
+@query("m18")
+def m18(spark, sf):
+    m = prices.month_end_prices(X.prices(spark, sf), tiebreak="tiebreak")
+    t = prices.price_trends(m, [3]).select("cik", "month_end_date", "close_price", "price_return", "future_close_price", "trend_up_or_down")
+    scored = models.lag_regression(t, ["close_price"], "future_close_price", "2000-01-01", [1, 2, 4], **SMALL["xgb"])
+    return models.regression_report(scored, "future_close_price")
+
+
+@query("m22", "features_wide", """, s as (select avg("Assets_0qtrs_current") as m, stddev_pop("Assets_0qtrs_current") as d from features_wide where period < 20000101)
+  select cik, period, round(("Assets_0qtrs_current" - m) / d, 6) as scaled from features_wide, s where period >= 20000101""")
+def m22(spark, sf):
+    w = X.features_wide(spark, sf).select("cik", "period", F.col("Assets_0qtrs_current").alias("scaled"))
+    train, test = clean.period_split(w, 20000101)
+    return rounded(evaluate.scale(test, evaluate.standard_scaler(train, ["scaled"])))
+
+
+@query("m23")
+def m23(spark, sf):
+    w = X.features_wide(spark, sf)
+    parts = clean.hash_split(w, ["cik"], [0.56, 0.14, 0.30])
+    out = [p.agg(F.count_distinct("cik").alias("ciks"), F.count("*").alias("n")).withColumn("part", F.lit(n)) for n, p in zip(("train", "val", "test"), parts)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("m24", "trends", """, q as (select quantile_cont(datediff('day', date '1970-01-01', month_end_date), 0.7) as q from trends)
+  select datediff('day', date '1970-01-01', month_end_date) < q as train, count(*) as n, min(month_end_date) as first, max(month_end_date) as last from trends, q group by 1""")
+def m24(spark, sf):
+    t = prices.price_trends(prices.month_end_prices(X.prices(spark, sf), tiebreak="tiebreak"))
+    a, b = clean.time_split(t, "month_end_date")
+    both = a.withColumn("train", F.lit(True)).unionByName(b.withColumn("train", F.lit(False)))
+    return both.groupBy("train").agg(F.count("*").alias("n"), F.min("month_end_date").alias("first"), F.max("month_end_date").alias("last"))
+
+

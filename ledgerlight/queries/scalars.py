@@ -132,8 +132,8 @@ def x14(spark, sf):
     return features.extreme_flag(_ratios(spark, sf)).select("cik", "period", "flag_outlier")
 
 
-@query("x15", "ratios_wide", """, p as (unpivot include nulls (select cik, period, "Assets_0qtrs_current", "Revenues_1qtrs_current", "ROE_1qtrs_augment" from ratios_wide)
-    on "Assets_0qtrs_current", "Revenues_1qtrs_current", "ROE_1qtrs_augment" into name feature value value)
+@query("x15", "ratios_wide", """, p as (from (select cik, period, "Assets_0qtrs_current", "Revenues_1qtrs_current", "ROE_1qtrs_augment" from ratios_wide)
+    unpivot include nulls (value for feature in ("Assets_0qtrs_current", "Revenues_1qtrs_current", "ROE_1qtrs_augment")))
   select cik, period, regexp_replace(feature, '(_current|_augment)$', '') as metric, round(value, 6) as value from p where feature like '%current' or value is not null""")
 def x15(spark, sf):
     w = _ratios(spark, sf).select("cik", "period", "Assets_0qtrs_current", "Revenues_1qtrs_current", "ROE_1qtrs_augment")
@@ -295,7 +295,7 @@ _X31 = ["GrossMargin", "CurrentRatio", "QuickRatio", "DebtToAssets", "ROE"]
 
 
 def _either(tag: str) -> str:
-    return f"coalesce({tag}_1, {tag}_0)"
+    return f"(case when {tag}_1n > 0 then {tag}_1 else {tag}_0 end)"
 
 
 def _x31_column(r: C.Ratio) -> str:
@@ -306,8 +306,8 @@ def _x31_column(r: C.Ratio) -> str:
 @query("x31", "metric_facts", f""", f as (select distinct cik, tag, ddate, qtrs, ddate as period, '10-Q' as form, value from metric_facts),
   s as (select cik, tag, ddate, qtrs, period, form, max(value) as value from f group by all),
   h as (select cik, period, form, tag, qtrs, arg_max(value, ddate) as v from s group by all),
-  m as (select cik, max(period) as period from h group by cik), l as (select h.* from h join m using (cik, period)),
-  w as (select cik, period, form, {", ".join(f"max(case when tag = '{t}' and qtrs = {q} then v end) as {t}_{q}" for t in C.KEY_METRICS for q in (0, 1))} from l group by all)
+  a as (select cik, period, form, {", ".join(f"max(case when tag = '{t}' and qtrs = {q} then v end) as {t}_{q}" for t in C.KEY_METRICS for q in (0, 1))} from h group by all),
+  w as (select *, {", ".join(f"count({t}_1) over (partition by cik) as {t}_1n" for t in C.KEY_METRICS)} from a qualify period = max(period) over (partition by cik))
   select cik, period, """ + ", ".join(_x31_column(r) for r in C.RATIOS if r.name in _X31) + " from w")
 def x31(spark, sf):
     bulk = X.metric_facts(spark, sf).select(
