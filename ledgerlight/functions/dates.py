@@ -52,20 +52,23 @@ def parse_iso(text: Column) -> Column:
 
 
 def _nearest(days: Column, bounds) -> Column:
-    """struct(distance, bound) of the nearest bound; the smaller bound wins ties."""
-    return F.array_min(F.array(*[F.struct(F.abs(days - b).alias("dist"), F.lit(b).alias("bound")) for b in bounds]))
+    """Nearest of ascending bounds; the smaller one wins ties."""
+    bounds = list(bounds)
+    out = F.lit(bounds[-1])
+    for low, high in reversed(list(zip(bounds, bounds[1:]))):
+        out = F.when(days * 2 <= low + high, F.lit(low)).otherwise(out)
+    return out
 
 
 def round_quarter_days(days: Column) -> Column:
     """Nearest of the six quarter boundaries; values <= 0 pass through."""
-    return F.when(days <= 0, days).otherwise(_nearest(days, sorted(C.QUARTER_DAYS))["bound"])
+    return F.when(days <= 0, days).otherwise(_nearest(days, sorted(C.QUARTER_DAYS)))
 
 
 def round_quarter_days_fine(days: Column) -> Column:
     """Nearest of eight boundaries, only when it is close enough."""
     near = _nearest(days, C.QUARTER_DAYS_FINE)
-    close = (days > 0) & (near["dist"] <= C.QUARTER_TOLERANCE_DAYS)
-    return F.when(close, near["bound"]).otherwise(days)
+    return F.when((days > 0) & (F.abs(near - days) <= C.QUARTER_TOLERANCE_DAYS), near).otherwise(days)
 
 
 def days_to_quarter(days: Column) -> Column:

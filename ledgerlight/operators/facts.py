@@ -48,6 +48,13 @@ def segment_profile(rows: DataFrame, keys: Sequence[str] = FACT_KEY) -> DataFram
     )
 
 
+def _fact_rows(facts: DataFrame, forms: Iterable[str]) -> DataFrame:
+    """Standard-tag USD facts with a value, duplicates included."""
+    return facts.filter(
+        (F.col("custom_tag") == 0) & F.col("form").isin(*forms) & F.col("value").isNotNull() & (F.col("uom") == C.UNIT)
+    ).select(*FACT_KEY, "segments", "value")
+
+
 def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFrame:
     """One row per fact key: the only row, else the company-level row, else the largest value.
 
@@ -56,9 +63,7 @@ def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFra
     Ties: the largest company-level value; the first segment among equal values.
     """
     require(facts, [*FACT_KEY, "segments", "value", "uom", "custom_tag"])
-    rows = facts.filter(
-        (F.col("custom_tag") == 0) & F.col("form").isin(*forms) & F.col("value").isNotNull() & (F.col("uom") == C.UNIT)
-    ).select(*FACT_KEY, "segments", "value")
+    rows = _fact_rows(facts, forms)
     total_value = F.max(F.when(F.col("segments").isNull(), F.col("value")))
     g = rows.groupBy(*FACT_KEY).agg(
         F.count("*").alias("_n"),
@@ -88,33 +93,35 @@ def _dated(rows: DataFrame) -> DataFrame:
     return one.withColumn("ddate", D.parse_day(D.repair_year(F.col("_raw")))).filter(F.col("ddate").isNotNull()).drop("_raw")
 
 
+def history_points(rows: DataFrame) -> DataFrame:
+    """Every dated value of an item with the item's latest date and value, interval and change.
+
+    Collapsed to one row per (item, date) first, so an item's window holds at most its dates.
+    """
+    newest = F.max(F.struct("ddate", "value")).over(Window.partitionBy(*HISTORY_KEY))
+    p = _dated(rows).withColumn("_m", newest)
+    p = p.select(*HISTORY_KEY, "ddate", "value", F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
+    return p.withColumns({
+        "quarter_interval": D.days_to_quarter(D.round_quarter_days(F.datediff("crt_ddate", "ddate"))),
+        "percentage_diff": change(F.col("crt_value"), F.col("value"), "current"),
+    })
+
+
 def history_comparisons(rows: DataFrame) -> DataFrame:
     """Latest value of each item with arrays of its earlier dates, values, intervals and changes.
 
-    Collapsed to one row per (item, date) first, so each array holds at most the item's dates.
+    Groups the points where the window left them: no further shuffle.
     """
-    points = F.sort_array(F.collect_list(F.struct("ddate", "value")))
-    g = _dated(rows).groupBy(*HISTORY_KEY).agg(points.alias("_p"))
-    last = F.element_at("_p", -1)
+    point = F.struct("ddate", "value", "quarter_interval", "percentage_diff")
+    g = history_points(rows).groupBy(*HISTORY_KEY).agg(
+        F.first("crt_ddate").alias("crt_ddate"), F.first("crt_value").alias("crt_value"), F.sort_array(F.collect_list(point)).alias("_p")
+    )
     others = F.slice("_p", 1, F.size("_p") - 1)
-
-    def interval(p):
-        return D.days_to_quarter(D.round_quarter_days(F.datediff(F.col("crt_ddate"), p["ddate"])))
-
-    return (
-        g.withColumn("crt_ddate", last["ddate"])
-        .withColumn("crt_value", last["value"])
-        .withColumn("_others", others)
-        .select(
-            *HISTORY_KEY,
-            "crt_ddate",
-            "crt_value",
-            F.transform("_others", lambda p: p["ddate"]).alias("other_ddates"),
-            F.transform("_others", lambda p: p["value"]).alias("other_values"),
-            F.transform("_others", interval).alias("quarter_intervals"),
-            F.transform("_others", lambda p: change(F.col("crt_value"), p["value"], "current")).alias("percentage_diffs"),
-            F.size("_others").alias("num_historical_points"),
-        )
+    return g.withColumn("_o", others).select(
+        *HISTORY_KEY, "crt_ddate", "crt_value",
+        F.col("_o.ddate").alias("other_ddates"), F.col("_o.value").alias("other_values"),
+        F.col("_o.quarter_interval").alias("quarter_intervals"), F.col("_o.percentage_diff").alias("percentage_diffs"),
+        F.size("_o").alias("num_historical_points"),
     )
 
 
@@ -138,9 +145,14 @@ def tall_features(history: DataFrame, tags: DataFrame | Sequence[str] | None = N
     return out.select(*HISTORY_KEY, F.col("crt_value").alias("value"))
 
 
-def item_names(history: DataFrame, tags: Sequence[str]) -> list[str]:
-    """`{tag}_{q}qtrs` names present, for the chosen tags: at most 5 per tag."""
-    found = history.filter(F.col("tag").isin(*tags) & (F.col("qtrs") <= C.MAX_QTRS)).select("tag", "qtrs").distinct().collect()
+def item_names(rows: DataFrame, tags: Sequence[str]) -> list[str]:
+    """`{tag}_{q}qtrs` names of the chosen tags in facts or history rows: at most 5 per tag.
+
+    On facts the same rows count as in the history, so the names need no second history pass.
+    """
+    if "ddate" in rows.columns:
+        rows = _fact_rows(rows, C.FORMS).filter(D.parse_day(D.repair_year(F.col("ddate"))).isNotNull())
+    found = rows.filter(F.col("tag").isin(*tags) & (F.col("qtrs") <= C.MAX_QTRS)).select("tag", "qtrs").distinct().collect()
     return sorted(f"{r['tag']}_{r['qtrs']}qtrs" for r in found)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
@@ -86,28 +86,25 @@ def gradients(
 
     `wide` holds one row per (cik, period); `history` adds earlier filings for comparison
     only, the work rows win. Of several filings in a month the latest is compared with.
-    All quarters are served by one join-free pass: every past row is sent to the months that
-    look at it and grouped with them, so the table is shuffled once, not once per quarter.
+    All quarters come from one window pass over a company's filings: a range frame reaches
+    exactly 3n months back whatever lies between.
     """
     names = enhance_names(wide.columns, suffixes)
     if not names:
         return wide
-    month = D.month_index(D.parse_day(F.col("period")))
-    past = wide.select("cik", "period", *[f"`{c}`" for c in names])
+    rows = wide.withColumn("_work", F.lit(True))
     if history is not None:
-        extra = history.select("cik", "period", *[f"`{c}`" if c in history.columns else F.lit(None).cast("double").alias(c) for c in names])
-        past = first_wins(past, extra, ["cik", "period"])
-    cells = F.struct(F.col("period").alias("_p"), *[F.col(f"`{c}`") for c in names])
-    monthly = past.withColumn("_m", month).filter(F.col("_m").isNotNull()).groupBy("cik", "_m").agg(F.max_by(cells, "period").alias("_row"))
-    seen = monthly.select("cik", F.explode(F.array(*[F.struct((F.col("_m") + 3 * q).alias("m"), F.lit(q).alias("q")) for q in quarters])).alias("_t"), "_row")
-    lookup = seen.groupBy("cik", F.col("_t.m").alias("_m")).agg(
-        *[F.max(F.when(F.col("_t.q") == q, F.col("_row"))).alias(f"_h{q}") for q in quarters]
-    )
-    work = wide.withColumn("_m", month)
-    joined = work.join(lookup, ["cik", "_m"], "left")
+        extra = history.select("cik", "period", *[f"`{c}`" for c in names if c in history.columns])
+        known = extra.join(wide.select("cik", "period"), ["cik", "period"], "left_anti")
+        rows = rows.unionByName(dedupe_filings(known).withColumn("_work", F.lit(False)), allowMissingColumns=True)
+    rows = rows.withColumn("_m", D.month_index(D.parse_day(F.col("period"))))
+    cells = F.struct(*[F.col(f"`{c}`") for c in names])
+    by_month = Window.partitionBy("cik").orderBy("_m")
+    past = {f"_h{q}": F.max_by(cells, F.col("period")).over(by_month.rangeBetween(-3 * q, -3 * q)) for q in quarters}
+    seen = rows.withColumns(past).filter("_work")
     made = {f"{base}_change_q{q}": change(F.col(f"`{c}`"), F.col(f"_h{q}")[c]) for q in quarters for c, base in names.items()}
-    period = D.to_int(D.month_end(F.col("_m")))
-    return joined.withColumns(made).withColumn("period", period).select(*[f"`{c}`" for c in wide.columns], *[f"`{c}`" for c in made])
+    period = {"period": D.to_int(D.month_end(F.col("_m")))}
+    return seen.select(*[period[c].alias(c) if c in period else F.col(f"`{c}`") for c in wide.columns], *[e.alias(c) for c, e in made.items()])
 
 
 def tall_gradients(tall: DataFrame, keys: Sequence[str] = ("cik", "feature"), quarters: Sequence[int] = C.GRADIENT_QUARTERS) -> DataFrame:
@@ -167,16 +164,21 @@ def quartiles(wide: DataFrame) -> DataFrame:
     return exact_quantiles(unpivot_ratios(wide), ["ratio"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
-def _iqr_bounds(wide: DataFrame) -> dict[str, tuple[float, float]]:
-    """Extreme bounds per ratio with a positive spread: at most one row per ratio definition."""
+def _bounds(rows: list) -> dict[str, tuple[float, float]]:
+    """Extreme bounds of the ratios with a positive spread, from collected quartiles."""
     out = {}
-    for r in quartiles(wide).collect():
+    for r in rows:
         spread = r["q3"] - r["q1"]
         if spread > 0:
             out[r["ratio"]] = (r["q1"] - C.IQR_FACTOR * spread, r["q3"] + C.IQR_FACTOR * spread)
     return out
 
 
+def _iqr_bounds(wide: DataFrame) -> dict[str, tuple[float, float]]:
+    """Extreme bounds per ratio: at most one row per ratio definition reaches the driver."""
+    return _bounds(quartiles(wide).collect())
+
+
 def range_checks(column: Column, ratio: str, bounds: tuple[float, float] | None = None) -> dict[str, Column]:
     """Named checks of one ratio value: typical range, logical bounds, extreme spread."""
     low, high, upper, lower = C.EXPECTED_RANGES.get(ratio, (None,) * 4)
@@ -212,7 +214,8 @@ def extreme_flag(wide: DataFrame) -> DataFrame:
 
 def outlier_report(wide: DataFrame) -> DataFrame:
     """Per ratio: counts of each check, mean, median, extremes of the outliers, mean/median flag."""
-    bounds = _iqr_bounds(wide)
+    quarts = quartiles(wide).collect()
+    bounds = _bounds(quarts)
     present = _augmented(wide.columns)
     v = F.col("value")
     kinds = ["below_typical_min", "above_typical_max", "exceeds_upper_bound", "below_lower_bound", "extreme_iqr"]
@@ -229,7 +232,7 @@ def outlier_report(wide: DataFrame) -> DataFrame:
         F.min(F.when(hit, v)).alias("min_outlier"),
         F.max(F.when(hit, v)).alias("max_outlier"),
     )
-    med = exact_quantiles(tall, ["ratio"], "value", {"median_value": 0.5}).drop("n")
+    med = wide.sparkSession.createDataFrame([(r["ratio"], r["median"]) for r in quarts], "ratio string, median_value double")
     skew = F.abs(safe_divide(F.col("mean_value"), F.col("median_value")))
     return stats.join(med, "ratio").withColumn("mean_median_flag", F.coalesce((skew > 10) | (skew < 0.1), F.lit(False)))
 

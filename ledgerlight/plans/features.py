@@ -27,7 +27,7 @@ def build_features(facts: DataFrame, tags: Sequence[str], n_history: int = C.HIS
     key instead of a loop over quarters.
     """
     history = A.history_comparisons(A.segment_summary(facts))
-    wide = A.pivot_features(history, tags, n_history)
+    wide = A.pivot_features(history, tags, n_history, A.item_names(facts, tags))
     quarter = facts.groupBy(*FILING_KEY).agg(F.max(by).alias("data_qtr"))
     return wide.join(quarter, FILING_KEY)
 

@@ -71,8 +71,9 @@ _ITEMS = [f"{t}_{q}qtrs" for t in _TYPES for q in (0, 1, 2)]
 @query("a06", "summary", ", crt as (select cik, period, form, tag, qtrs, arg_max(value, ddate) as v from summary group by all) select cik, period, form, "
        + ", ".join(f"round(max(case when tag = '{t}' and qtrs = {q} then v end), 6) as \"{t}_{q}qtrs_current\"" for t in _TYPES for q in (0, 1, 2)) + " from crt group by all")
 def a06(spark, sf):
-    h = facts.history_comparisons(facts.segment_summary(X.facts(spark, sf)))
-    return rounded(facts.pivot_features(h, _TYPES))
+    f = X.facts(spark, sf)
+    h = facts.history_comparisons(facts.segment_summary(f))
+    return rounded(facts.pivot_features(h, _TYPES, names=facts.item_names(f, _TYPES)))
 
 
 @query("a07", "summary", f""", {_HIST}, cells as (select cik, period, form, tag || '_' || qtrs || 'qtrs' as item, qi, arg_min(pd, d) as pd from pts2
@@ -82,8 +83,9 @@ def a06(spark, sf):
        + ", ".join(f"round(max(case when item = '{i}' and qi = {n} then pd end), 6) as \"{i}_change_q{n}\"" for i in _ITEMS for n in (1, 2))
        + " from base left join cells using (cik, period, form) group by all")
 def a07(spark, sf):
-    h = facts.history_comparisons(facts.segment_summary(X.facts(spark, sf)))
-    wide = facts.pivot_features(h, _TYPES, 2)
+    f = X.facts(spark, sf)
+    h = facts.history_comparisons(facts.segment_summary(f))
+    wide = facts.pivot_features(h, _TYPES, 2, facts.item_names(f, _TYPES))
     return rounded(wide.select("cik", "period", "form", *[c for c in wide.columns if "_change_" in c]))
 
 

@@ -8,6 +8,7 @@ from ledgerlight import fixtures as X
 from ledgerlight.functions import dates as D
 from ledgerlight.operators import explore, facts, features, joins, match, prices, reconcile, selection, sets
 from ledgerlight.queries.registry import query, rounded
+from ledgerlight.session import durable
 
 
 def _num(spark, sf):
@@ -215,7 +216,7 @@ def j15(spark, sf):
 
 def _two_builds(spark, sf):
     """Two builds of the tall features: the second lacks early quarters and has some changed values."""
-    a = X.features_tall(spark, sf).withColumn("feature", F.concat("tag", F.lit("_"), F.col("qtrs").cast("string"))).select("cik", "period", "feature", "value")
+    a = durable(X.features_tall(spark, sf)).withColumn("feature", F.concat("tag", F.lit("_"), F.col("qtrs").cast("string"))).select("cik", "period", "feature", "value")
     changed = F.when(F.col("cik") % 5 == 0, F.col("value") * 1.5).otherwise(F.col("value"))
     b = a.filter("period > 19951231 and feature not in ('Assets_1')").withColumn("value", changed)
     return a.filter("period < 20010101"), b
@@ -285,7 +286,7 @@ def _two_pipelines(spark, sf):
   coalesce(array_to_string(list_slice(list_sort(list(feature) filter (present and not close)), 1, 10), ','), '') as sample_disagreements
   from f group by cik, form, period_catchup, period_batch, dd""")
 def j19(spark, sf):
-    t, c = _two_pipelines(spark, sf)
+    t, c = (durable(d) for d in _two_pipelines(spark, sf))
     names = {side: {r["feature"] for r in d.select("feature").distinct().collect()} for side, d in (("t", t), ("c", c))}
     shared = sets.column_diff(names["t"], names["c"])["shared"]
     pairs = reconcile.overlapping_reports(t.select("cik", "form", "period"), c.select("cik", "form", "period"))

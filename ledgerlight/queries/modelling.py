@@ -52,14 +52,10 @@ def _split(spark, sf):
     return d.filter("year_month < 24000"), d.filter("year_month >= 24000")
 
 
-def _features(df):
-    return clean.feature_columns(df)
-
-
 @query("m02")
 def m02(spark, sf):
     train, test = _split(spark, sf)
-    a, b, used = models.indicate_missing(train, test, _features(train))
+    a, b, used = models.indicate_missing(train, test, clean.suffix_columns(train.columns, ["_current", "_augment"]))
     scored, _ = models.classify(a, b, used, model="rf", **SMALL["rf"])
     return models.classification_metrics(scored, "trend_up_or_down")
 
@@ -76,7 +72,7 @@ def m02_importance(spark, sf):
 @query("m03")
 def m03(spark, sf):
     train, test = _split(spark, sf)
-    table, _ = models.model_grid(train, test, clean.suffix_columns(_features(train), ["_augment", "_current"]), selections=("current", "all"), params=SMALL)
+    table, _ = models.model_grid(train, test, clean.suffix_columns(train.columns, ["_augment", "_current"]), selections=("current", "all"), params=SMALL)
     return table
 
 
@@ -185,9 +181,7 @@ _CURVE = """g as (select score, count(*) filter (label = 1) as pos, count(*) fil
   round(tp / (tp + fp), 6) as precision from r""")
 def m14(spark, sf):
     p = evaluate.curve_points(X.row_scores(spark, sf))
-    return rounded(p.select("score", "tp", "fp", "tpr", "fpr", "precision").withColumn("score", F.round("score", 9)).withColumn("score", F.col("score").cast("double")), 9).select(
-        "score", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")]
-    )
+    return p.select(F.round("score", 9).alias("score"), "tp", "fp", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")])
 
 
 @query("m14_areas", "row_scores", f""", {_CURVE} select round(sum(pos * (negatives - fp + neg / 2)) / any_value(positives * negatives), 6) as auc,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
@@ -46,18 +46,21 @@ def pick_filing(flat: DataFrame, form: str, target: str | None = None, keys: Ite
     """
     ids = list(keys)
     rows = flat.filter(F.col("form") == form)
-    dated = rows.filter(F.col("report_date").isNotNull())
     goal = F.lit(target).try_cast("date") if target else F.lit(None).cast("date")
-    away = F.abs(F.datediff("report_date", goal))
     # without a usable target the distance to the far future ranks the latest date first
-    rank = F.coalesce(away, F.datediff(F.lit("9999-12-31").cast("date"), F.col("report_date")))
-    best = dated.groupBy(*ids).agg(F.min(F.struct(rank.alias("r"), F.col("report_date").alias("d")))["d"].alias("report_date"))
-    hits = dated.join(best, [*ids, "report_date"])
-    per = hits.groupBy(*ids).agg(F.count("accn").alias("_with"))
-    accns = hits.filter(F.col("accn").isNotNull()).select(*ids, "accn").distinct()
-    by_accn = rows.join(accns, [*ids, "accn"], "left_semi")
-    filed = hits.join(per.filter("_with = 0").select(*ids), ids, "left_semi").select(*ids, "filing_date").distinct()
-    return by_accn.unionByName(rows.join(filed, [*ids, "filing_date"], "left_semi"), allowMissingColumns=True)
+    away = F.coalesce(F.abs(F.datediff("report_date", goal)), F.datediff(F.lit("9999-12-31").cast("date"), F.col("report_date")))
+    spot = F.when(F.col("report_date").isNotNull(), F.struct(away.alias("away"), F.col("report_date").alias("day")))
+    # one row per filing; a filing holds the chosen date when its best date is the company's
+    filings = rows.groupBy(*ids, "accn", "filing_date").agg(F.min(spot).alias("_s"))
+    company = Window.partitionBy(*ids)
+    filings = filings.withColumn("_hit", F.coalesce(F.col("_s") == F.min("_s").over(company), F.lit(False)))
+    named = F.col("_hit") & F.col("accn").isNotNull()
+    filings = filings.withColumn("_named", F.max(named).over(company))
+    by_accn = F.max(named).over(Window.partitionBy(*ids, "accn"))
+    by_day = F.max("_hit").over(Window.partitionBy(*ids, "filing_date"))
+    keep = F.when(F.col("_named"), by_accn).otherwise(by_day)
+    chosen = filings.select(*[F.col(c).alias(f"_{c}") for c in [*ids, "accn", "filing_date"]], keep.alias("_keep")).filter("_keep")
+    return rows.join(chosen, [rows[c].eqNullSafe(chosen[f"_{c}"]) for c in [*ids, "accn", "filing_date"]], "left_semi")
 
 
 def sorted_filing(filing: DataFrame) -> DataFrame:
