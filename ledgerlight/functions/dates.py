@@ -36,14 +36,20 @@ def to_int(date: Column) -> Column:
 def repair_year(yyyymmdd: Column) -> Column:
     """Eight-digit texts with a year past 2500 keep only its last two digits, in this century."""
     s = yyyymmdd.cast("string")
-    year = F.when(s.rlike("^[0-9]{8}$"), F.substring(s, 1, 4).cast("int"))
-    return F.when(year > 2500, F.concat(F.lit("20"), F.substring(s, 3, 6))).otherwise(s)
+    late = (F.length(s) == 8) & (F.substring(s, 1, 4) > "2500") & s.rlike("^[0-9]{8}$")
+    return F.when(late, F.concat(F.lit("20"), F.substring(s, 3, 6))).otherwise(s)
 
 
 def parse_day(yyyymmdd: Column) -> Column:
-    """YYYYMMDD as date; NULL when unparsable or beyond what nanosecond timestamps hold."""
-    d = F.try_to_timestamp(yyyymmdd.cast("string"), F.lit("yyyyMMdd")).cast("date")
-    return F.when(d.between(F.lit(C.DATE_MIN).cast("date"), F.lit(C.DATE_MAX).cast("date")), d)
+    """YYYYMMDD as date; NULL when unparsable or beyond what nanosecond timestamps hold.
+
+    The bounds compare as text and the date is cast from ISO text: this runs on raw facts, and
+    the cast is far cheaper than a formatted parse.
+    """
+    s = yyyymmdd.cast("string")
+    low, high = C.DATE_MIN.replace("-", ""), C.DATE_MAX.replace("-", "")
+    iso = F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))
+    return F.when((F.length(s) == 8) & s.between(low, high), iso.try_cast("date"))
 
 
 def parse_iso(text: Column) -> Column:
@@ -104,4 +110,5 @@ def label_end_month(label: Column) -> Column:
 
 def quarter_end_int(date: Column) -> Column:
     """YYYYMMDD of the last day of the quarter."""
-    return to_int(F.last_day(F.add_months(F.trunc(date, "quarter"), 2)))
+    q = F.quarter(date)
+    return F.year(date) * 10000 + q * 300 + F.when((q == 1) | (q == 4), 31).otherwise(30)

@@ -88,9 +88,15 @@ def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFra
 
 
 def _dated(rows: DataFrame) -> DataFrame:
-    """One value per (history key, raw date), repaired and parsed dates, no NULL keys."""
-    one = rows.dropna(subset=HISTORY_KEY).groupBy(*HISTORY_KEY, F.col("ddate").alias("_raw")).agg(F.max("value").alias("value"))
-    return one.withColumn("ddate", D.parse_day(D.repair_year(F.col("_raw")))).filter(F.col("ddate").isNotNull()).drop("_raw")
+    """One value per (history key, raw date), repaired and parsed dates, no NULL keys.
+
+    The date is parsed from an aggregate's output, so the check on it stays above the
+    grouping and runs once per item date instead of once per raw fact.
+    """
+    one = rows.dropna(subset=HISTORY_KEY).groupBy(*HISTORY_KEY, F.col("ddate").alias("_raw")).agg(
+        F.max("value").alias("value"), F.max("ddate").alias("_same")
+    )
+    return one.select(*HISTORY_KEY, "value", D.parse_day(D.repair_year(F.col("_same"))).alias("ddate")).filter(F.col("ddate").isNotNull())
 
 
 def history_points(rows: DataFrame) -> DataFrame:
@@ -151,7 +157,8 @@ def item_names(rows: DataFrame, tags: Sequence[str]) -> list[str]:
     On facts the same rows count as in the history, so the names need no second history pass.
     """
     if "ddate" in rows.columns:
-        rows = _fact_rows(rows, C.FORMS).filter(D.parse_day(D.repair_year(F.col("ddate"))).isNotNull())
+        rows = _fact_rows(rows, C.FORMS).groupBy("tag", "qtrs", "ddate").agg(F.max("ddate").alias("_same"))
+        rows = rows.filter(D.parse_day(D.repair_year(F.col("_same"))).isNotNull())
     found = rows.filter(F.col("tag").isin(*tags) & (F.col("qtrs") <= C.MAX_QTRS)).select("tag", "qtrs").distinct().collect()
     return sorted(f"{r['tag']}_{r['qtrs']}qtrs" for r in found)
 
