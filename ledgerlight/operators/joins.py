@@ -100,8 +100,12 @@ def anti_join(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def map_dimension(df: DataFrame, dim: DataFrame, on: str, cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Attach dimension columns; the dimension is deduplicated, its size decides the join strategy."""
-    return df.join(dim.select(on, *cols).dropDuplicates([on]), on, how)
+    """Attach dimension columns; of several dimension rows the smallest counts.
+
+    No broadcast hint: the measured size of the dimension decides the join strategy.
+    """
+    one = dim.groupBy(on).agg(F.min(F.struct(*cols)).alias("_d")).select(on, *[F.col(f"_d.{c}").alias(c) for c in cols])
+    return df.join(one, on, how)
 
 
 def key_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

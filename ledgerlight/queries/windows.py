@@ -124,7 +124,7 @@ def w10(spark, sf):
 HOLD = """best as (select year_month, ticker from scores qualify row_number() over (partition by year_month order by y_pred_proba desc, cik, ticker) <= {k}),
   buys as (select b.year_month, b.ticker, close_price as price, count(*) over (partition by b.year_month) as n from best b join score_prices p on b.ticker = p.ticker and b.year_month = p.year_month where close_price > 0),
   sh as (select ticker, year_month, sum(10000.0 / n / price) as shares from buys group by all),
-  months as (select distinct year_month from scores), inv as (select m.year_month, coalesce((select count(distinct b.year_month) from buys b where b.year_month <= m.year_month), 0) * 10000.0 as total_invested from months m),
+  months as (select distinct year_month from scores), inv as (select m.year_month, coalesce((select count(distinct b.year_month) from buys b where b.year_month <= m.year_month), 0) * cast(10000 as double) as total_invested from months m),
   own as (select m.year_month, sh.ticker, sum(shares) as owned from months m join sh on sh.year_month <= m.year_month group by all),
   val as (select own.year_month, sum(owned * close_price) as v, count(*) as n from own join score_prices p on own.ticker = p.ticker and own.year_month = p.year_month group by all),
   hold as (select inv.year_month, coalesce(v, 0) as portfolio_value, total_invested, coalesce(n, 0) as num_stocks,
@@ -138,7 +138,7 @@ def w11(spark, sf):
 
 DCA = """cal as (select t.ticker, m.m as year_month from (select distinct ticker from month_end where year_month between 23952 and 24011) t cross join (select unnest(range(23952, 24012)) as m) m),
   pr as (select cal.*, close_price as price from cal left join month_end e on cal.ticker = e.ticker and cal.year_month = e.year_month),
-  run as (select *, coalesce(sum(case when price > 0 then 10000.0 / price end) over w, 0) as shares, coalesce(sum(case when price > 0 then 10000.0 end) over w, 0) as total_invested
+  run as (select *, coalesce(sum(case when price > 0 then 10000.0 / price end) over w, 0) as shares, coalesce(sum(case when price > 0 then cast(10000 as double) end) over w, 0) as total_invested
     from pr window w as (partition by ticker order by year_month)),
   dca as (select ticker, year_month, total_invested, coalesce(last_value(case when price is not null then shares * price end ignore nulls) over (partition by ticker order by year_month), 0) as portfolio_value from run)"""
 

@@ -72,7 +72,8 @@ def read_exchanges(spark: SparkSession, base: str, entity: DataFrame) -> DataFra
 def map_exchanges(raw: DataFrame, entity: DataFrame) -> DataFrame:
     """Upper-case tickers mapped to companies, unmapped dropped; `entity` has one row per ticker."""
     prices = parse_price_lines(raw, upper=True).withColumn("exchange", normalize_name(F.col("exchange")))
-    return prices.join(entity.select(F.upper("ticker").alias("ticker"), "cik").dropDuplicates(["ticker"]), "ticker")
+    listed = entity.groupBy(F.upper("ticker").alias("ticker")).agg(F.max("cik").alias("cik"))
+    return prices.join(listed, "ticker")
 
 
 def read_price_batches(spark: SparkSession, path: str) -> DataFrame:
