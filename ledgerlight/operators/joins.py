@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.ordered import null_safe
-
 
 def _days(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, cols: Sequence[str]):
     """Distinct left days (side 1) and right days (side 0) carrying one struct per right day."""
@@ -146,5 +144,5 @@ def common_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 __all__ = [
     "anti_join", "asof_join", "common_keys", "key_diff", "map_dimension", "nearest_join",
-    "null_safe", "semi_join", "shift_join", "value_pairs",
+    "semi_join", "shift_join", "value_pairs",
 ]

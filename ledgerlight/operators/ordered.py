@@ -19,9 +19,14 @@ from ledgerlight.session import durable
 _BLOCK = "_block"
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition that treats NULL keys as equal."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
+def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = _BLOCK) -> DataFrame:
+    """Rows range-partitioned by (keys, order) with their block number, checkpointed.
+
+    Blocks follow the sampled distribution, so a group with a third of all rows fills about
+    a third of the blocks.
+    """
+    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return durable(spread.withColumn(out, F.spark_partition_id()))
 
 
 def running(
@@ -43,8 +48,7 @@ def running(
     tmp = {name: f"_in_{i}" for i, name in enumerate(sums)}
     for name, expr in sums.items():
         df = df.withColumn(tmp[name], expr)
-    blocks = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(_BLOCK, F.spark_partition_id())
-    blocks = durable(blocks)
+    blocks = range_blocks(df, keys, order)
     # one row per (group, block): at most groups + blocks rows
     per_block = blocks.groupBy(*keys, _BLOCK).agg(*[F.sum(c).alias(f"_sum{c}") for c in tmp.values()])
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.features import first_wins
-
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Union by name, missing columns NULL."""
@@ -52,4 +50,4 @@ def distinct_keys(df: DataFrame, keys: Sequence[str] = ("cik", "period", "form")
     return df.select(*keys).distinct()
 
 
-__all__ = ["column_diff", "combine_first", "distinct_keys", "first_wins", "merge_forms", "set_compare", "union_all"]
+__all__ = ["column_diff", "combine_first", "distinct_keys", "merge_forms", "set_compare", "union_all"]

@@ -8,6 +8,7 @@ from ledgerlight import config as C
 from ledgerlight import fixtures as X
 from ledgerlight.functions import dates as D
 from ledgerlight.operators import clean, explore, facts, features, match, reconcile, selection
+from ledgerlight.plans.features import catchup_features
 from ledgerlight.queries.registry import query, rounded
 
 _KEY = "cik, tag, ddate, qtrs, period, form"
@@ -64,6 +65,14 @@ def a05(spark, sf):
     return rounded(facts.latest_values(f))
 
 
+@query("a05_features", "facts", """, l as (select cik, period, form, tag, qtrs, max((ddate, value))[2] as v from facts
+    where form in ('10-K', '10-Q') and uom = 'USD' and value is not null and qtrs <= 4 and version <> cast(adsh as varchar) group by all)
+  select cik, period, form, 'catchup' as data_qtr, """ + ", ".join(f"round(max(case when tag = '{t}' and qtrs = {q} then v end), 6) as \"{t}_{q}qtrs_current\"" for t in ("LARGE", "PROMO") for q in (0, 1, 2)) + " from l group by all")
+def a05_features(spark, sf):
+    f = X.facts(spark, sf).withColumn("adsh", F.col("adsh").cast("string"))
+    return rounded(catchup_features(f, ["LARGE", "PROMO"]))
+
+
 _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
 _ITEMS = [f"{t}_{q}qtrs" for t in _TYPES for q in (0, 1, 2)]
 

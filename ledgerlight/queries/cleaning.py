@@ -217,16 +217,16 @@ def f20(spark, sf):
     return clean.tag_contains(X.tag_names(spark, sf), "RING").groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("f21", "features_tall", "select cik, period, form, data_qtr, tag, qtrs, round(value, 6) as value from features_tall where cik = 370 and period = 19970630 and tag = 'Assets' and qtrs in (0, 1)")
+@query("f21", "features_tall", "select cik, period, form, data_qtr, tag, qtrs, round(value, 6) as value from features_tall where cik = 2166 and period = 20001231 and tag = 'Assets' and qtrs in (0, 1)")
 def f21(spark, sf):
-    return rounded(clean.lookup(X.features_tall(spark, sf), 370, 19970630, "Assets"))
+    return rounded(clean.lookup(X.features_tall(spark, sf), 2166, 20001231, "Assets"))
 
 
 @query("f22", "sub_fine", """select l_orderkey as adsh, l_linenumber, l_partkey, round(l_extendedprice, 6) as value from lineitem
-  where l_orderkey in (select adsh from sub_fine where cik = 7 and period = 19970630)""")
+  where l_orderkey in (select adsh from sub_fine where cik = 22 and period = 19950630)""")
 def f22(spark, sf):
     num = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("adsh"), "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("value"))
-    return rounded(clean.trace_filing(X.sub_fine(spark, sf), num, 7, 19970630))
+    return rounded(clean.trace_filing(X.sub_fine(spark, sf), num, 22, 19950630))
 
 
 @query("f23", "facts", """select cik, tag, count(*) as n, round(sum(value), 2) as total from facts

@@ -8,6 +8,7 @@ from ledgerlight import config as C
 from ledgerlight import fixtures as X
 from ledgerlight.functions import dates as D
 from ledgerlight.operators import explore, selection
+from ledgerlight.plans.features import store_new_quarters
 from ledgerlight.queries.registry import query, rounded
 from ledgerlight.session import table_path
 from ledgerlight.sources import companyfacts, entities, filings, prices, sinks
@@ -276,6 +277,15 @@ def s14(spark, sf):
     return rounded(got.groupBy("form", "data_qtr", "tag").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)
 
 
+@query("s14_reuse", "facts std", """, k as (select distinct cik, period, form from std), q as (select cik, period, form, max(data_qtr) as data_qtr from facts group by all)
+  select data_qtr, form, count(*) as n from k join q using (cik, period, form) group by all""")
+def s14_reuse(spark, sf):
+    f = X.facts(spark, sf)
+    path = table_path(spark, "features")
+    store_new_quarters(f.filter("data_qtr < '1998q1'"), path, ["LARGE"])
+    return store_new_quarters(f, path, ["LARGE"]).groupBy("data_qtr", "form").agg(F.count("*").alias("n"))
+
+
 @query("s15", "scores", """select 'top_5' as strategy_name, year_month, cik, ticker, round(y_pred_proba, 6) as y_pred_proba from scores
   qualify row_number() over (partition by year_month order by y_pred_proba desc, cik, ticker) <= 5""")
 def s15(spark, sf):

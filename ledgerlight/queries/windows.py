@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight import fixtures as X
 from ledgerlight.operators import clean, evaluate, features, portfolio, prices, selection
+from ledgerlight.plans import labels
 from ledgerlight.queries.registry import query, rounded
 
 
@@ -30,6 +31,18 @@ def w03(spark, sf):
     return rounded(prices.price_trends(_monthly(spark, sf)))
 
 
+@query("w03_labels", "prices", """, p as (select * from prices where date between date '1996-01-01' and date '2000-12-31'),
+  me as (select cik, ticker, date as month_end_date, close_price, year(date) * 12 + month(date) - 1 as ym
+    from p qualify row_number() over (partition by cik, ticker, year(date), month(date) order by date desc, tiebreak) = 1),
+  st as (select *, ym - lag(ym) over (partition by cik, ticker order by ym) as step from me),
+  ok as (select * from me where (cik, ticker) not in (select (cik, ticker) from st where step > 1) and close_price between 1 and 1000)
+  select a.cik, a.ticker, a.month_end_date, h as horizon, cast(b.close_price > a.close_price as int) as trend_up_or_down, cast(b.close_price > a.close_price * 1.05 as int) as trend_5per_up,
+  round(b.close_price / a.close_price, 6) as price_return from ok a cross join (values (12), (6), (3), (1)) v(h) join ok b on a.cik = b.cik and a.ticker = b.ticker and b.ym = a.ym + h""")
+def w03_labels(spark, sf):
+    out = labels.build_trends(X.prices(spark, sf), start="1996-01-01", end="2000-12-31", tiebreak="tiebreak")
+    return rounded(out.select("cik", "ticker", "month_end_date", "horizon", "trend_up_or_down", "trend_5per_up", "price_return"))
+
+
 _G = ["Assets_0qtrs_current", "CurrentRatio_0qtrs_augment"]
 
 

@@ -33,6 +33,19 @@ def test_row_number_matches_sorting(frame):
     assert got == want
 
 
+def test_a_hot_group_spreads_over_blocks(spark):
+    """One group with 70 % of the rows, half of them at one score, never meets in one block."""
+    rows = spark.range(80000).selectExpr("if(id % 10 < 7, 'hot', concat('k', id % 97)) g", "if(id % 2 = 0, 0.5D, id / 80000D) v", "id")
+    # small blocks are merged adaptively; at size they stay apart
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = ordered.range_blocks(rows, ["g"], [F.desc("v"), F.asc("id")], "b")
+        sizes = [r["n"] for r in blocks.groupBy("b").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * 80000 / 8
+
+
 def test_running_sum_without_keys(frame):
     out = ordered.running(frame, [], [F.asc("id")], {"cum": F.col("v")}, totals={"cum": "total"})
     got = sorted((r["id"], round(r["cum"], 6), round(r["total"], 6)) for r in out.collect())
