@@ -100,15 +100,19 @@ CTES = {
 }
 
 
-def metric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts under the tracked metric names, with negative and zero values."""
+def metric_facts(spark: SparkSession, sf_dir: str, by_customer: bool = False) -> DataFrame:
+    """Facts under the tracked metric names, with negative and zero values.
+
+    Companies are nation and segment, or (`by_customer`) single customers with sparse facts.
+    """
+    cik = F.col("o_custkey") if by_customer else F.col("c_nationkey") * 100 + F.ascii("c_mktsegment")
     li, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
     names = F.array(*[F.lit(m) for m in C.KEY_METRICS])
     value = F.when(F.col("l_quantity") <= 2, 0.0).when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     return j.select(
         F.col("l_orderkey").alias("adsh"),
-        (F.col("c_nationkey") * 100 + F.ascii("c_mktsegment")).cast("long").alias("cik"),
+        cik.cast("long").alias("cik"),
         F.element_at(names, (F.col("l_partkey") % len(C.KEY_METRICS) + 1).cast("int")).alias("tag"),
         (F.col("l_linenumber") % 2).alias("qtrs"),
         value.alias("value"),
@@ -129,6 +133,8 @@ CTES["metric_facts"] = f"""metric_facts as (select l_orderkey as adsh, cast(c_na
   year(o_orderdate) || 'q' || quarter(o_orderdate) as data_qtr, {_qe('l_shipdate')} as ddate, 'USD' as uom, c_mktsegment as sic
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)"""
 
+CTES["customer_facts"] = CTES["metric_facts"].replace("metric_facts as", "customer_facts as").replace("cast(c_nationkey * 100 + ascii(c_mktsegment) as bigint)", "o_custkey")
+
 CELLS = [(m, q) for m in C.KEY_METRICS for q in (0, 1)]
 WIDE_COLUMNS = [f"{m}_{q}qtrs_current" for m, q in CELLS]
 

@@ -9,7 +9,6 @@ both passes, and any retry, then see the same blocks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,29 +48,26 @@ def running(
     for name, expr in sums.items():
         df = df.withColumn(tmp[name], expr)
     blocks = range_blocks(df, keys, order)
+    # one struct per group: its equality treats NULL keys alike, and join and window share one shuffle
+    group = [F.struct(*keys).alias("_group")] if keys else []
+    at = [_BLOCK, *(["_group"] if keys else [])]
     # one row per (group, block): at most groups + blocks rows
     per_block = blocks.groupBy(*keys, _BLOCK).agg(*[F.sum(c).alias(f"_sum{c}") for c in tmp.values()])
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = per_block.select(
-        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
-        F.col(_BLOCK).alias("_at"),
+        _BLOCK,
+        *group,
         *[F.coalesce(F.sum(f"_sum{c}").over(before), F.lit(0)).alias(f"_off{c}") for c in tmp.values()],
         *[F.sum(f"_sum{tmp[name]}").over(whole).alias(f"_tot{tmp[name]}") for name in (totals or {})],
     )
-    cond = reduce(
-        lambda a, b: a & b,
-        [blocks[k].eqNullSafe(offsets[f"_key{i}"]) for i, k in enumerate(keys)],
-        blocks[_BLOCK] == offsets["_at"],
-    )
-    joined = blocks.join(offsets, cond)
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.select(
+    joined = blocks.select("*", *group).join(offsets, at)
+    inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(
         *[c for c in df.columns if c not in tmp.values()],
         *[(F.col(f"_off{c}") + F.sum(c).over(inside)).alias(name) for name, c in tmp.items()],
         *[F.col(f"_tot{tmp[name]}").alias(alias) for name, alias in (totals or {}).items()],
     )
-    return out
 
 
 def global_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:

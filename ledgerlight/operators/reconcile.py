@@ -111,12 +111,12 @@ def compare_pairs(batch: DataFrame, catchup: DataFrame, pairs: DataFrame, featur
     )
 
 
-def source_match(bulk: DataFrame, api: DataFrame) -> DataFrame:
-    """Company-level bulk values against the API's on (tag, ddate, qtrs): matched and mismatching.
+def source_match(bulk: DataFrame, api: DataFrame, on: Sequence[str] = ("cik", "tag", "ddate", "qtrs")) -> DataFrame:
+    """Company-level bulk values against the API's: matched and mismatching pairs.
 
-    The API side has one row per key, so equal values are counted per key before the join.
+    Equal values are counted per key before the join, so repeated facts cost one row.
     """
-    on = ["tag", "ddate", "qtrs"]
+    on = list(on)
     a = bulk.filter(F.col("segments").isNull()).groupBy(*on, "value").agg(F.count("*").alias("n"))
     b = api.groupBy(*on, F.col("value").alias("api_value")).agg(F.count("*").alias("m"))
     pairs = F.col("n") * F.col("m")
@@ -124,9 +124,9 @@ def source_match(bulk: DataFrame, api: DataFrame) -> DataFrame:
     return a.join(b, on).agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("matched"), F.coalesce(F.sum(F.when(differ, pairs)), F.lit(0)).alias("mismatching"))
 
 
-def unmatched_breakdown(bulk: DataFrame, api: DataFrame) -> DataFrame:
+def unmatched_breakdown(bulk: DataFrame, api: DataFrame, on: Sequence[str] = ("cik", "tag")) -> DataFrame:
     """Bulk rows whose tag the API lacks: all, custom, then standard without segments, then with a value."""
-    rest = bulk.join(api.select("tag").distinct(), "tag", "left_anti")
+    rest = bulk.join(api.select(*on).distinct(), list(on), "left_anti")
     std = F.col("custom_tag") == 0
     top = std & F.col("segments").isNull()
     return rest.agg(

@@ -226,18 +226,18 @@ def a14_totals(spark, sf):
 _A15 = ["Assets", "Revenues", "InventoryNet", "Goodwill"]
 
 
-@query("a15", "metric_facts", ", q as (select * from metric_facts where form = '10-Q' and value > 104000), t(tag) as (values " + ", ".join(f"('{t}')" for t in _A15) + """)
+@query("a15", "customer_facts", ", q as (select * from customer_facts where form = '10-Q'), t(tag) as (values " + ", ".join(f"('{t}')" for t in _A15) + """)
   select t.tag, count(distinct q.cik) as companies, round(count(distinct q.cik) * 100.0 / (select count(distinct cik) from q), 6) as pct
   from t left join q on q.tag = t.tag group by t.tag""")
 def a15(spark, sf):
-    return rounded(explore.tag_population(X.metric_facts(spark, sf).filter("value > 104000"), _A15))
+    return rounded(explore.tag_population(X.metric_facts(spark, sf, by_customer=True), _A15))
 
 
-@query("a16", "metric_facts", """, r as (select * from metric_facts where value > 103500), per as (select cik, max(cast(tag = 'Revenues' as int)) as a, max(cast(contains(lower(tag), 'revenuefromcontract') as int)) as b
-    from r group by cik)
+@query("a16", "customer_facts", """, per as (select cik, max(cast(tag = 'Revenues' as int)) as a, max(cast(contains(lower(tag), 'revenuefromcontract') as int)) as b
+    from customer_facts where tag = 'Revenues' or contains(lower(tag), 'revenuefromcontract') group by cik)
   select count(*) filter (a = 1) as using_first, count(*) filter (b = 1) as using_second, count(*) filter (a = 1 and b = 1) as using_both from per""")
 def a16(spark, sf):
-    return explore.tag_pair_companies(X.metric_facts(spark, sf).filter("value > 103500"), "Revenues", "RevenueFromContract")
+    return explore.tag_pair_companies(X.metric_facts(spark, sf, by_customer=True), "Revenues", "RevenueFromContract")
 
 
 @query("a16_usage", "facts", """, u as (select cik, fy, fp, tag, version, count(*) as count from facts where tag = 'PROMO' or contains(lower(tag), 'econ') group by all)

@@ -118,13 +118,13 @@ def j07(spark, sf):
     return rounded(joins.shift_join(f, f, ["cik"], "month", -12, _J7, "_past"))
 
 
-@query("j08", "facts", """, st as (select tag, count(*) as standard from facts where custom_tag = 0 and qtrs = 2 and segments = '3' and uom = 'shares' group by tag)
-  select cik, f.tag, count(*) as n, coalesce(any_value(standard), 0) as standard from facts f left join st on f.tag = st.tag group by all""")
+@query("j08", "customer_facts", """, st as (select cik, count(*) as annual from customer_facts where tag = 'Revenues' and form = '10-K' group by cik)
+  select cik, count(*) as n, coalesce(any_value(annual), 0) as annual from customer_facts left join st using (cik) group by cik""")
 def j08(spark, sf):
-    f = X.facts(spark, sf)
-    st = f.filter("custom_tag = 0 and qtrs = 2 and segments = '3' and uom = 'shares'").groupBy("tag").agg(F.count("*").alias("standard"))
-    n = f.groupBy("cik", "tag").agg(F.count("*").alias("n"))
-    return joins.map_dimension(n, st, "tag", ["standard"], "left").fillna(0, ["standard"]).select("cik", "tag", "n", "standard")
+    f = X.metric_facts(spark, sf, by_customer=True)
+    st = f.filter("tag = 'Revenues' and form = '10-K'").groupBy("cik").agg(F.count("*").alias("annual"))
+    n = f.groupBy("cik").agg(F.count("*").alias("n"))
+    return joins.map_dimension(n, st, "cik", ["annual"], "left").fillna(0, ["annual"]).select("cik", "n", "annual")
 
 
 def _ranked(stats):
@@ -302,25 +302,25 @@ def j20(spark, sf):
 
 
 def _api_side(spark, sf):
-    f = X.facts(spark, sf).filter("tag <> 'PROMO' and cik = 1")
+    f = X.facts(spark, sf).filter("tag <> 'PROMO' or cik = 2")
     v = F.when(F.col("qtrs") == 1, F.col("value") + 1).otherwise(F.col("value"))
-    return f.select("tag", "ddate", "qtrs", v.alias("value"))
+    return f.select("cik", "tag", "ddate", "qtrs", v.alias("value"))
 
 
-_API = "api as (select tag, ddate, qtrs, case when qtrs = 1 then value + 1 else value end as value from facts where tag <> 'PROMO' and cik = 1), bulk as (select * from facts where cik = 1)"
+_API = "api as (select cik, tag, ddate, qtrs, case when qtrs = 1 then value + 1 else value end as value from facts where tag <> 'PROMO' or cik = 2)"
 
 
 @query("j21", "facts", f""", {_API} select count(*) as matched, count(*) filter (b.value is distinct from a.value) as mismatching
-  from bulk b join api a using (tag, ddate, qtrs) where b.segments is null""")
+  from facts b join api a using (cik, tag, ddate, qtrs) where b.segments is null""")
 def j21(spark, sf):
-    return reconcile.source_match(X.facts(spark, sf).filter("cik = 1"), _api_side(spark, sf))
+    return reconcile.source_match(X.facts(spark, sf), _api_side(spark, sf))
 
 
-@query("j21_unmatched", "facts", f""", {_API}, r as (select * from bulk where tag not in (select tag from api))
+@query("j21_unmatched", "facts", f""", {_API}, r as (select * from facts where (cik, tag) not in (select (cik, tag) from api))
   select count(*) as rows, count(*) filter (custom_tag <> 0) as custom, count(*) filter (custom_tag = 0) as standard,
   count(*) filter (custom_tag = 0 and segments is null) as company_level, count(*) filter (custom_tag = 0 and segments is null and value is not null) as unexplained from r""")
 def j21_unmatched(spark, sf):
-    return reconcile.unmatched_breakdown(X.facts(spark, sf).filter("cik = 1"), _api_side(spark, sf))
+    return reconcile.unmatched_breakdown(X.facts(spark, sf), _api_side(spark, sf))
 
 
 METRICS = ["BlueGear", "SmallRing", "RedWidgetPromo", "HotBoltSmallEconomy"]
@@ -389,15 +389,13 @@ def u03(spark, sf):
     return rounded(features.first_wins(a, b, ["cik", "period"]))
 
 
-@query("u04", "facts", """, a as (select distinct cik, tag from facts where form = '10-K' and segments = '1' and qtrs = 0 and period < 19960101),
-  b as (select distinct cik, tag from facts where form = '10-Q' and segments = '2' and qtrs = 1 and ddate < 19950701)
+@query("u04", "customer_facts", """, a as (select distinct cik, tag from customer_facts where form = '10-K'),
+  b as (select distinct cik, tag from customer_facts where form = '10-Q')
   select coalesce(a.cik, b.cik) as cik, coalesce(a.tag, b.tag) as tag, case when b.cik is null then 'left' when a.cik is null then 'right' else 'both' end as side
   from a full join b using (cik, tag)""")
 def u04(spark, sf):
-    f = X.facts(spark, sf)
-    a = f.filter("form = '10-K' and segments = '1' and qtrs = 0 and period < 19960101")
-    b = f.filter("form = '10-Q' and segments = '2' and qtrs = 1 and ddate < 19950701")
-    return sets.set_compare(a, b, ["cik", "tag"])
+    f = X.metric_facts(spark, sf, by_customer=True)
+    return sets.set_compare(f.filter("form = '10-K'"), f.filter("form = '10-Q'"), ["cik", "tag"])
 
 
 @query("u05", "features_tall", """, a as (select distinct tag || '_' || qtrs as feature from features_tall where form = '10-K' and tag < 'L'),
