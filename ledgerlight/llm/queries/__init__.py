@@ -1,0 +1 @@
+"""Queries opN over the given tables."""

@@ -1,0 +1,6 @@
+"""Queries over documents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}

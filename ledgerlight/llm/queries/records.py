@@ -1,0 +1,23 @@
+"""Queries over pages, conversations and shards."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlight.llm import slots
+from ledgerlight.llm.common import table
+
+SHARDS = 8
+
+
+def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    out = slots.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
+    )
+
+
+QUERIES = {"op4_virtual_slots": op4_virtual_slots}
+ORACLES: dict[str, str] = {}
