@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import slots
+from ledgerlight.llm import slots, warc
 from ledgerlight.llm.common import table
+from ledgerlight.session import table_path
 
 SHARDS = 8
 
@@ -19,5 +20,24 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_virtual_slots": op4_virtual_slots}
-ORACLES: dict[str, str] = {}
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a deduplicated archive, and what reading it back gives."""
+    records = warc.resolved(warc.page_records(table(spark, sf_dir, "pages")))
+    archive = warc.write_archive(records, table_path(spark, "warc"))
+    read = warc.followed(warc.read_archive(spark, archive))
+    return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+QUERIES = {"op4_virtual_slots": op4_virtual_slots, "op8_warc_revisits": op8_warc_revisits}
+
+ORACLES = {
+    "op8_warc_revisits": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, sha1(html) as payload_digest, strlen(html) as payload_bytes from p),
+g as (select payload_digest, payload_bytes, max(page_id) as keep from h where payload_bytes >= 1000 group by all having count(*) > 1)
+select h.page_id, h.payload_bytes, h.payload_digest,
+       case when g.keep is not null and h.page_id is distinct from g.keep then 'revisit' else 'response' end as record_type,
+       case when g.keep is not null and h.page_id is distinct from g.keep then g.keep end as refers_to
+from h left join g using (payload_digest, payload_bytes)
+""",
+}
