@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlight.llm import langid
+from ledgerlight.llm.common import stored, table
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents that language identification may not learn from; a null id is learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counts = stored(langid.learn(docs.filter(~held_out())), "language-counts")
+    found = langid.identify(docs.select("doc_id", "text"), counts)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join("lang_set", ",").alias("lang_set"))
+
+
+QUERIES = {"op10_language_mixture": op10_language_mixture}
 ORACLES: dict[str, str] = {}
