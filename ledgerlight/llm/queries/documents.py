@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import langid
+from ledgerlight.llm import langid, simhash
 from ledgerlight.llm.common import stored, table
 
 
@@ -22,5 +22,11 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join("lang_set", ",").alias("lang_set"))
 
 
-QUERIES = {"op10_language_mixture": op10_language_mixture}
+def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-copy component of every document."""
+    out = simhash.grouped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op6_simhash_bktree": op6_simhash_bktree, "op10_language_mixture": op10_language_mixture}
 ORACLES: dict[str, str] = {}
