@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import langid, simhash
+from ledgerlight.llm import decontaminate, langid, simhash
 from ledgerlight.llm.common import stored, table
 
 
@@ -28,5 +28,18 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash_bktree": op6_simhash_bktree, "op10_language_mixture": op10_language_mixture}
+def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    out = decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op10_language_mixture": op10_language_mixture}
 ORACLES: dict[str, str] = {}
