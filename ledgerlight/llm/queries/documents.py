@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import decontaminate, langid, simhash
+from ledgerlight.llm import decontaminate, langid, quality_crf, simhash
 from ledgerlight.llm.common import stored, table
 
 
@@ -22,6 +22,14 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join("lang_set", ",").alias("lang_set"))
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict by its lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality_crf.assess(docs, field)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-copy component of every document."""
     out = simhash.grouped(table(spark, sf_dir, "documents"))
@@ -41,5 +49,5 @@ def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op10_language_mixture": op10_language_mixture}
+QUERIES = {"op1_line_crf": op1_line_crf, "op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op10_language_mixture": op10_language_mixture}
 ORACLES: dict[str, str] = {}
