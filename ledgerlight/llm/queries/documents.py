@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import decontaminate, langid, quality_crf, simhash
+from ledgerlight.llm import decontaminate, langid, quality_crf, sentencepiece_scan, simhash
 from ledgerlight.llm.common import stored, table
 
 
@@ -30,6 +30,14 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
 
 
+def op2_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives back the text."""
+    vocabulary = sentencepiece_scan.load(spark)
+    coded = sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = sentencepiece_scan.decode(coded, vocabulary)
+    return back.select("doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-copy component of every document."""
     out = simhash.grouped(table(spark, sf_dir, "documents"))
@@ -49,5 +57,5 @@ def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_crf": op1_line_crf, "op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op10_language_mixture": op10_language_mixture}
+QUERIES = {"op1_line_crf": op1_line_crf, "op2_maxplus_pieces": op2_maxplus_pieces, "op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op10_language_mixture": op10_language_mixture}
 ORACLES: dict[str, str] = {}
