@@ -300,7 +300,7 @@ def _long(texts: DataFrame, vocabulary, chunk: int) -> DataFrame:
     def square(x) -> np.ndarray:
         return np.array(x, dtype=np.int64).reshape(vocabulary.value.reach, -1)
 
-    def block_products(key, table: pa.Table) -> pa.Table:
+    def block_products(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("k").to_pylist(), table.column("m").to_pylist(), strict=True))
         out = square(rows[0][1])
         for _, m in rows[1:]:
@@ -318,11 +318,11 @@ def _long(texts: DataFrame, vocabulary, chunk: int) -> DataFrame:
     def begin() -> list[int]:
         return [0] + [NONE] * (vocabulary.value.reach - 1)
 
-    def block_scan(key, table: pa.Table) -> pa.Table:
+    def block_scan(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         blocks, vectors = scan(begin(), table.column("block").to_pylist(), table.column("m").to_pylist())
         return pa.table({"digest": [key[0].as_py()] * len(blocks), "block": pa.array(blocks, pa.int32()), "start": pa.array(vectors, pa.list_(pa.int64()))})
 
-    def chunk_scan(key, table: pa.Table) -> pa.Table:
+    def chunk_scan(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ks, vectors = scan(table.column("start")[0].as_py(), table.column("k").to_pylist(), table.column("m").to_pylist())
         return pa.table({"digest": [key[0].as_py()] * len(ks), "k": pa.array(ks, pa.int32()), "prefix": pa.array(vectors, pa.list_(pa.int64()))})
 
@@ -334,7 +334,7 @@ def _long(texts: DataFrame, vocabulary, chunk: int) -> DataFrame:
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return each(batches, lambda c, r: c.entries(r["prefix"]), pa.list_(pa.int32()), "entries")
 
-    def exits(key, table: pa.Table) -> pa.Table:
+    def exits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Right states of all chunks: the last leaves by 0, each other as the next one is entered."""
         rows = sorted(zip(table.column("k").to_pylist(), table.column("entries").to_pylist(), strict=True), reverse=True)
         now, out = 0, []
