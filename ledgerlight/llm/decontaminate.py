@@ -61,7 +61,7 @@ def tokens(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = np.full(n, size, dtype=np.uint64)
     for k in range(size):
-        part = hashes[k : k + n] * _MIX[k]
+        part = hashes[k : k + n] * _MIX[k % 3]
         out = (out ^ (part ^ (part >> np.uint64(29)))) * _MIX[(k + 1) % 3]
     return out ^ (out >> np.uint64(32))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import decontaminate, langid, quality_crf, sentencepiece_scan, simhash, surrogates
+from ledgerlight.llm import decontaminate, langid, licenses, quality_crf, sentencepiece_scan, simhash, surrogates
 from ledgerlight.llm.common import stored, table
 
 
@@ -14,6 +14,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "license_use", F.size("license_spans").cast("long").alias("n_spans"), "license_spans")
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -68,5 +74,5 @@ def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_crf": op1_line_crf, "op2_maxplus_pieces": op2_maxplus_pieces, "op5_surrogates": op5_surrogates, "op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op10_language_mixture": op10_language_mixture}
+QUERIES = {"op1_line_crf": op1_line_crf, "op2_maxplus_pieces": op2_maxplus_pieces, "op5_surrogates": op5_surrogates, "op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op9_license_windows": op9_license_windows, "op10_language_mixture": op10_language_mixture}
 ORACLES: dict[str, str] = {}
