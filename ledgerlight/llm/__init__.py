@@ -15,7 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The opN queries by name."""
     out: dict[str, Callable] = {}
     for name in _MODULES:
-        out |= importlib.import_module(f"{__name__}.queries.{name}").QUERIES
+        out |= importlib.import_module(f"{__name__}.registered.{name}").QUERIES
     return out
 
 
@@ -23,5 +23,5 @@ def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can say."""
     out: dict[str, str] = {}
     for name in _MODULES:
-        out |= importlib.import_module(f"{__name__}.queries.{name}").ORACLES
+        out |= importlib.import_module(f"{__name__}.registered.{name}").ORACLES
     return out

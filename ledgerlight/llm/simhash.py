@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.common import stored
+from ledgerlight.llm.common import fresh, stored
 from ledgerlight.llm.components import components
 
 SHINGLE = 4
@@ -259,17 +259,18 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group stays: the smallest id, then the smallest row hash; of rows equal
     in all columns, one. The texts move through one shuffle."""
-    h = [F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in docs.columns]).alias(f"_h{s}") for s in (1, 2)]
+    one, two = fresh(docs, "_h1", "_h2")
+    h = [F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in docs.columns]).alias(name) for s, name in ((1, one), (2, two))]
     thin = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *h)
     prints = stored(fingerprints(thin), "document-fingerprints")
-    rows = prints.groupBy("fingerprint", "_h1", "_h2", "doc_id").agg(F.count("*").alias("n"))
+    rows = prints.groupBy("fingerprint", one, two, "doc_id").agg(F.count("*").alias("n"))
     picked = (
         rows.join(near_copies(prints), "fingerprint")
         .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2", "n")).alias("pick"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", one, two, "n")).alias("pick"))
     )
-    keep = stored(picked.select("pick._h1", "pick._h2", "pick.n"), "picked")
+    keep = stored(picked.select(f"pick.{one}", f"pick.{two}", "pick.n"), "picked")
     hashed = docs.select("*", *h)
-    alone = hashed.join(keep.filter("n = 1"), ["_h1", "_h2"], "left_semi")
-    equal = hashed.join(keep.filter("n > 1"), ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
+    alone = hashed.join(keep.filter("n = 1"), [one, two], "left_semi")
+    equal = hashed.join(keep.filter("n > 1"), [one, two], "left_semi").dropDuplicates([one, two])
     return alone.unionByName(equal).select(*[F.col(f"`{c}`") for c in docs.columns])
