@@ -122,7 +122,7 @@ class Cells:
         """Positions and tokens that pass the bitmap."""
         if not hasattr(self, "cells"):
             self.cells = np.unpackbits(self.packed).view(bool)
-        at, got = [], []
+        at, got = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         for k in self.sizes:
             ids = tokens(hashes, k)
             here = np.flatnonzero(self.cells[ids >> np.uint64(64 - BITS)])

@@ -43,8 +43,12 @@ CHUNK = 32_768
 BLOCK = 64
 SCALE = 1024
 NONE = -(1 << 60)
-#: Words that a worker remembers with their pieces.
-REMEMBER = 400_000
+#: Segments that a worker remembers with their pieces: `forward` one by one, `Batch` in arrays.
+REMEMBER = 50_000
+REMEMBER_ROWS = 500_000
+#: Segments whose paths are found together, and their characters at most.
+TOGETHER = 50_000
+LONGEST = 64
 
 MARK = "▁"
 #: Stands for a mark in the text itself; a lone surrogate, so no text has it.
@@ -93,6 +97,13 @@ class Vocabulary:
         if any(x == "\n" or _CUT.search(x) for x in self.pieces):
             raise ValueError("pieces reach over a line feed, a blank or a stop: they need another rule of cuts")
         self.memory: dict[str, tuple[list[int], int]] = {}
+        self._batch: Batch | None = None
+
+    def batch(self) -> Batch:
+        """The worker's arrays for this vocabulary, made once."""
+        if self._batch is None:
+            self._batch = Batch(self)
+        return self._batch
 
     def forward(self, s: str, first: list[int], n: int) -> tuple[list[int], list[int]]:
         """Best scores and piece starts at positions 0 to len(s), with pieces that begin before n.
@@ -166,6 +177,166 @@ class Vocabulary:
         return b"".join(out).decode()[1:]
 
 
+class Batch:
+    """The same best paths for many segments at once, as arrays.
+
+    All positions of all segments walk the prefix tree together; then positions are settled from
+    left to right, those of equal distance from their segment's begin together. A segment with
+    characters outside the vocabulary, or a very long one, is left to `Vocabulary.word`.
+    """
+
+    EMPTY = np.uint64(2**64 - 1)
+    SLOTS = 19
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.letters = frozenset(x for x in vocabulary.pieces if len(x) == 1)
+        edges, scores, ids, open_ = [], [NONE], [-1], [(0, "", vocabulary.tree)]
+        while open_:
+            node, name, below = open_.pop()
+            for c, (score, tree) in below.items():
+                edges.append((node, ord(c), len(scores)))
+                open_.append((len(scores), name + c, tree))
+                scores.append(NONE if score is None else score)
+                ids.append(-1 if score is None else vocabulary.pieces[name + c][0])
+        self.scores, self.ids = np.array(scores, dtype=np.int64), np.array(ids, dtype=np.int32)
+        node, char, child = (np.array(x, dtype=np.uint64) for x in zip(*edges, strict=True))
+        key = node << np.uint64(21) | char
+        self.keys = np.full(1 << self.SLOTS, self.EMPTY, dtype=np.uint64)
+        self.children = np.zeros(1 << self.SLOTS, dtype=np.int64)
+        at = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.children[at[free]] = key[free], child[free].astype(np.int64)
+            rest = np.delete(np.arange(len(key)), free)
+            key, child, at = key[rest], child[rest], (at[rest] + 1) % (1 << self.SLOTS)
+        parts = [b"" if n is None else n for n in (self._bytes(i) for i in range(len(vocabulary.names)))]
+        self.part_size = np.array([len(x) for x in parts], dtype=np.int64)
+        self.part_start = np.cumsum(self.part_size) - self.part_size
+        self.parts = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self._forget()
+
+    def _bytes(self, i: int) -> bytes:
+        b = self.v.bytes_of.get(i)
+        return self.v.names[i].replace(MARK, " ").encode() if b is None else bytes((b,))
+
+    def _forget(self) -> None:
+        self.memory: dict[str, int] = {}
+        self.pool = np.zeros(1 << 16, dtype=np.int32)
+        self.used = 0
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+        self.size = np.zeros(1 << 14, dtype=np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Child nodes, -1 where there is none."""
+        key = node.astype(np.uint64) << np.uint64(21) | char.astype(np.uint64)
+        at = self._slot(key)
+        out = np.full(len(key), -1, dtype=np.int64)
+        open_ = np.arange(len(key))
+        while len(open_):
+            found = self.keys[at]
+            hit = found == key[open_]
+            out[open_[hit]] = self.children[at[hit]]
+            go = ~hit & (found != self.EMPTY)
+            open_, at = open_[go], (at[go] + 1) % (1 << self.SLOTS)
+        return out
+
+    def paths(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of pieces and the pieces of all segments; all characters have to be pieces."""
+        sizes = np.array([len(x) for x in segments], dtype=np.int64)
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        of = np.repeat(np.arange(len(segments)), sizes)
+        ends = np.cumsum(sizes)
+        active, node, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), []
+        for d in range(self.v.reach):
+            inside = active + d < ends[of[active]]
+            active, node = active[inside], node[inside]
+            if not len(active):
+                break
+            child = self._step(node, codes[active + d])
+            there = child >= 0
+            active, node = active[there], child[there]
+            piece = self.scores[node] > NONE
+            found.append((active[piece], active[piece] + d + 1, node[piece]))
+        a, b, node = (np.concatenate(x) for x in zip(*found, strict=True))
+        local = a - (ends - sizes)[of[a]]
+        order = np.argsort(local, kind="stable")
+        # a segment of n characters has n + 1 places, so places are shifted by the segment's number
+        a, b, node, word, local = a[order], b[order], node[order], of[a[order]], local[order]
+        a, b, score = a + word, b + word, self.scores[node]
+        best = np.full(len(codes) + len(segments), NONE, dtype=np.int64)
+        first = ends - sizes + np.arange(len(segments))
+        best[first] = 0
+        back, by = np.full(len(best), -1, dtype=np.int64), np.zeros(len(best), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(local, prepend=-1, append=-1))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            total = best[a[x:y]] + score[x:y]
+            better = total > best[b[x:y]]
+            to = b[x:y][better]
+            best[to], back[to], by[to] = total[better], a[x:y][better], node[x:y][better]
+        now, word, steps = ends + np.arange(len(segments)), np.arange(len(segments)), []
+        while len(now):
+            steps.append((word, by[now]))
+            now = back[now]
+            more = now != first[word]
+            now, word = now[more], word[more]
+        numbers = np.concatenate([w for w, _ in steps[::-1]])
+        nodes = np.concatenate([n for _, n in steps[::-1]])
+        order = np.argsort(numbers, kind="stable")
+        return np.bincount(numbers, minlength=len(segments)), self.ids[nodes[order]]
+
+    def _learn(self, segments: list[str]) -> None:
+        plain, rest = [], []
+        for x in segments:
+            (plain if len(x) <= LONGEST and self.letters.issuperset(x) else rest).append(x)
+        made: list[tuple[list[str], np.ndarray, np.ndarray]] = [(part, *self.paths(part)) for part in (plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER))]
+        if rest:
+            got = [self.v.word(x)[0] for x in rest]
+            made.append((rest, np.array([len(x) for x in got]), np.array([i for x in got for i in x], dtype=np.int32)))
+        for names, sizes, ids in made:
+            n, row = len(names), len(self.memory)
+            while row + n > len(self.start):
+                self.start, self.size = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.size, np.zeros_like(self.size)))
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.start[row : row + n] = self.used + np.cumsum(sizes) - sizes
+            self.size[row : row + n] = sizes
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.memory.update(zip(names, range(row, row + n), strict=True))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and the ids of all texts, one text after the other."""
+        if len(self.memory) > REMEMBER_ROWS:
+            self._forget()
+        segments = [_SEGMENT.findall(MARK + normalised(t)) if t else [] for t in texts]
+        every = [x for one in segments for x in one]
+        if new := [x for x in dict.fromkeys(every) if x not in self.memory]:
+            self._learn(new)
+        rows = np.fromiter(map(self.memory.__getitem__, every), dtype=np.int64, count=len(every))
+        size = self.size[rows].astype(np.int64)
+        ids = spread(self.pool, self.start[rows], size)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([len(x) for x in segments])] if segments else np.zeros(0, dtype=np.int64)
+        return np.diff(ends, prepend=0), ids
+
+    def decode(self, sizes: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts of all id lists."""
+        size = self.part_size[ids]
+        data = spread(self.parts, self.part_start[ids], size).tobytes()
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(sizes)].tolist() if len(sizes) else []
+        return [data[a + 1 : b].decode() if b > a else "" for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def spread(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[start[0]:start[0]+size[0]], pool[start[1]:...], ... in one array."""
+    before = np.cumsum(size) - size
+    return pool[np.repeat(start - before, size) + np.arange(size.sum())]
+
+
 class Chunk:
     """A chunk of a normalised text: `text` goes on behind its `n` characters by the vocabulary's reach."""
 
@@ -257,18 +428,41 @@ def load(spark: SparkSession, model: str = MODEL):
         return spark.sparkContext.broadcast(Vocabulary(f.read()))
 
 
-def _short(docs: DataFrame, vocabulary, text: str, ids: str, size: str) -> DataFrame:
+def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """Runs of texts of at most about `most` characters."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n > most:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def _lists(sizes: np.ndarray, ids: np.ndarray, null: list[bool]) -> pa.Array:
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.array([*null, False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+
+
+def _short(docs: DataFrame, vocabulary, text: str, ids: str, size: str, checked: str | None) -> DataFrame:
     where = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(size, T.LongType())])
+    extra = [T.StructField(checked, T.BooleanType())] if checked else []
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(size, T.LongType()), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
+        own = vocabulary.value.batch()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                made = [None if t is None else v.encode(t) for t in part.column(where).to_pylist()]
-                cols = [pa.array(made, pa.list_(pa.int32())), pa.array([len(x or ()) for x in made], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, ids, size])
+            at = 0
+            for texts in groups(batch.column(where).to_pylist()):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                sizes, made = own.encode(texts)
+                cols = [_lists(sizes, made, [t is None for t in texts]), pa.array(sizes, pa.int64())]
+                if checked:
+                    cols.append(pa.array([t is None or t == back for t, back in zip(texts, own.decode(sizes, made), strict=True)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -352,16 +546,22 @@ def _long(texts: DataFrame, vocabulary, chunk: int) -> DataFrame:
     return done.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x")).select("digest", F.flatten("x.ids").alias("ids"))
 
 
-def encode(docs: DataFrame, vocabulary, text: str = "text", ids: str = "token_ids", size: str = "n_tokens", chunk: int = CHUNK) -> DataFrame:
-    """All columns, the ids and their number. Rows of long texts are joined to their encoding by digest."""
-    kept = docs.drop(ids, size)
+def encode(docs: DataFrame, vocabulary, text: str = "text", ids: str = "token_ids", size: str = "n_tokens", chunk: int = CHUNK, checked: str | None = None) -> DataFrame:
+    """All columns, the ids and their number. Rows of long texts are joined to their encoding by digest.
+
+    With `checked`, a column of that name says whether decoding the ids gives the text again.
+    """
+    kept = docs.drop(ids, size, *([checked] if checked else []))
     digest, key = fresh(kept, "_digest", "_key")
     is_long = F.coalesce(F.char_length(F.col(f"`{text}`")) > chunk, F.lit(False))
-    short = _short(kept.filter(~is_long), vocabulary, text, ids, size)
+    short = _short(kept.filter(~is_long), vocabulary, text, ids, size, checked)
     giant = kept.filter(is_long).withColumn(digest, F.md5(F.col(f"`{text}`").cast("binary")))
     texts = giant.select(F.col(digest).alias("digest"), F.col(f"`{text}`").alias("text")).dropDuplicates(["digest"])
     coded = stored(_long(texts, vocabulary, chunk).withColumnRenamed("digest", key).withColumnRenamed("ids", ids), "long-encodings")
     joined = giant.join(coded, giant[digest] == coded[key]).drop(digest, key).withColumn(size, F.size(F.col(ids)).cast("long"))
+    if checked:
+        (back,) = fresh(joined, "_decoded")
+        joined = decode(joined, vocabulary, ids, back).withColumn(checked, F.col(back) == F.col(f"`{text}`")).drop(back)
     return short.unionByName(joined.select(*short.columns))
 
 
@@ -369,13 +569,17 @@ def decode(coded: DataFrame, vocabulary, ids: str = "token_ids", out: str = "dec
     """All columns and the text of the ids; null ids give null."""
     kept = coded.drop(out)
     where = kept.columns.index(ids)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
+        own = vocabulary.value.batch()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                made = [None if x.as_py() is None else v.decode(x.as_py()) for x in part.column(where)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*part.schema.names, out])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                lists = part.column(where)
+                sizes = lists.value_lengths().fill_null(0).to_numpy()
+                made = own.decode(sizes, lists.flatten().to_numpy())
+                texts = [t if there else None for t, there in zip(made, lists.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
+
+    return kept.mapInArrow(run, schema)

@@ -169,8 +169,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, path: str | None = None, d
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the documents with all their columns below shard=N, by a map (broadcast: it is bounded)."""
-    records = docs.withColumns({"_slot": F.pmod(F.xxhash64(text_of(text)), F.lit(SLOTS)).cast("int"), "_part": F.pmod(F.xxhash64(F.lit("part"), F.col(f"`{doc_id}`")), F.lit(SUBS)).cast("int")})
+    """Write the documents with all their columns below shard=N, by a map (broadcast: it is bounded).
+
+    A column named shard is replaced.
+    """
+    records = docs.drop("shard").withColumns({"_slot": F.pmod(F.xxhash64(text_of(text)), F.lit(SLOTS)).cast("int"), "_part": F.pmod(F.xxhash64(F.lit("part"), F.col(f"`{doc_id}`")), F.lit(SUBS)).cast("int")})
     split = slot_map.groupBy("virtual_slot").agg(F.max("part").alias("_last"))
     at = F.broadcast(slot_map.join(split, "virtual_slot").select(F.col("virtual_slot").alias("_slot"), F.col("part").alias("_p"), F.col("shard").alias("_shard"), "_last"))
     held = records.join(at, "_slot").filter((F.col("_last") == 0) | (F.col("_p") == F.col("_part")))

@@ -36,7 +36,9 @@ CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 SYLLABLES_LATIN = ("ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "we", "zi", "du")
 SYLLABLES_CYRILLIC = ("ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "си", "то", "ва", "же", "зи", "ду")
 
-ROUNDS = 32
+#: Draws until the search for distinct surrogates is given up, and after which forms grow by a letter.
+ROUNDS = 40
+GROW = 4
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TITLE = "|".join((*TITLES_F, *TITLES_M))
@@ -126,11 +128,11 @@ def _letters(text: Column, h: Column, hexadecimal: Column | bool = False) -> Col
     return F.array_join(F.transform(F.split(text, ""), sub), "")
 
 
-def _name(canon: Column, h: Column, end: tuple[str, str]) -> Column:
-    """A made-up name of two to four syllables in the script of the original."""
+def _name(canon: Column, h: Column, attempt: Column, end: tuple[str, str]) -> Column:
+    """A made-up name of two to four syllables, more at high attempts, in the script of the original."""
 
     def of(syllables: tuple[str, ...], last: str) -> Column:
-        n = F.greatest(F.lit(2), F.least(F.lit(4), F.ceil(F.length(canon) / 2)))
+        n = F.greatest(F.lit(2), F.least(F.lit(4), F.ceil(F.length(canon) / 2))) + (attempt / GROW).cast("int")
         chosen = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.element_at(F.array(*map(F.lit, syllables)), _byte(h, i) % len(syllables) + 1))
         return F.concat(F.array_join(chosen, ""), F.lit(last))
 
@@ -162,16 +164,18 @@ def surrogate(name: Column, canon: Column, attempt: Column, key: str) -> Column:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(h, i) % 223 + 1).cast("string")), ".")
     code = F.substring_index(canon, "|", 1)
     rest = F.substring_index(canon, "|", -1)
+    # where draws go on colliding, forms that can grow get longer
+    more = F.substring(F.translate(h, "0123456789", "ghijklmnop"), F.lit(100), (attempt / GROW).cast("int"))
     return (
-        F.when(name == "email", _letters(F.substring_index(canon, "@", 1), h))
-        .when(name == "host", host)
+        F.when(name == "email", F.concat(_letters(F.substring_index(canon, "@", 1), h), more))
+        .when(name == "host", F.concat(more, host))
         .when(name == "ip", octets)
         .when(name == "phone", F.concat(code, F.lit("|"), _letters(rest, h)))
         .when(name == "card", _checked(F.concat(F.substring(canon, 1, 1), F.substring(_letters(canon, h), 2, 99)), canon))
         .when(name == "account", F.concat(F.substring(canon, 1, 2), F.substring(_letters(canon, h), 3, 99)))
-        .when(name == "given_f", _name(canon, h, ("na", "на")))
-        .when(name == "given_m", _name(canon, h, ("n", "н")))
-        .when(name == "surname", _name(canon, h, ("r", "р")))
+        .when(name == "given_f", _name(canon, h, attempt, ("na", "на")))
+        .when(name == "given_m", _name(canon, h, attempt, ("n", "н")))
+        .when(name == "surname", _name(canon, h, attempt, ("r", "р")))
         .otherwise(_letters(canon, h, canon.rlike("^[0-9a-f]+$")))
     )
 
@@ -179,22 +183,23 @@ def surrogate(name: Column, canon: Column, attempt: Column, key: str) -> Column:
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
     """type, canon, surrogate, attempt for all distinct entities of `found`; no two alike, none real.
 
-    The surrogate of an address is its local part alone (its host is an entity of its own), so two
-    addresses never share a local part.
+    The surrogate of an address is its local part alone, because its host is an entity of its own:
+    local parts have to differ within a host only, and no surrogate host is a real one.
     """
-    every = stored(found.select("type", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
-    real = every.select(F.col("type"), F.when(F.col("type") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("surrogate")).distinct()
-    real = stored(real, "real-forms")
+    scope = F.when(F.col("type") == "email", F.substring_index("canon", "@", -1)).otherwise(F.lit(""))
+    every = stored(found.select("type", "canon").distinct().select("type", scope.alias("scope"), "canon", F.lit(0).alias("attempt")), "entities")
+    real = every.filter("type <> 'email'").select("type", F.col("canon").alias("surrogate"))
     for _ in range(ROUNDS):
         made = stored(every.withColumn("surrogate", surrogate(F.col("type"), F.col("canon"), F.col("attempt"), key)), "surrogates")
         # the entity of the lowest attempt, then the first, keeps a shared surrogate
-        keeper = stored(made.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("k"), F.count("*").alias("n")).filter("n > 1"), "shared")
-        shared = made.join(keeper, ["type", "surrogate"]).filter(F.col("canon") != F.col("k.canon")).select("type", "canon")
+        at = ["type", "scope", "surrogate"]
+        keeper = stored(made.groupBy(*at).agg(F.min(F.struct("attempt", "canon")).alias("k"), F.count("*").alias("n")).filter("n > 1"), "shared")
+        shared = made.join(keeper, at).filter(F.col("canon") != F.col("k.canon")).select("type", "canon")
         mistaken = made.join(real, ["type", "surrogate"], "left_semi").select("type", "canon")
         again = stored(shared.union(mistaken).distinct().withColumn("again", F.lit(1)), "drawn-again")
         if again.isEmpty():
-            return made
-        every = made.join(again, ["type", "canon"], "left").select("type", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+            return made.drop("scope")
+        every = made.join(again, ["type", "canon"], "left").select("type", "scope", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
     raise RuntimeError("entities are too many for their format: no distinct surrogates were found")
 
 

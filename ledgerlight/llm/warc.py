@@ -77,8 +77,8 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
 
 
-def write_archive(records: DataFrame, path: str, date: str | None = None) -> str:
-    """Write resolved records as gzipped WARC files with fresh headers; returns the archive's folder.
+def write_archive(records: DataFrame, path: str, date: str | None = None, compression: str = "gzip") -> str:
+    """Write resolved records as WARC files with fresh headers; returns the archive's folder.
 
     A revisit record keeps the HTTP header and leaves out the payload.
     """
@@ -103,7 +103,7 @@ def write_archive(records: DataFrame, path: str, date: str | None = None) -> str
         F.lit(CRLF * 2),
     )
     at = f"{path.rstrip('/')}/{token}"
-    records.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(at)
+    records.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(at)
     return at
 
 
