@@ -68,6 +68,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year(_day("o_orderdate")).cast("string").alias("fy"),
         F.concat(F.lit("Q"), F.quarter(_day("o_orderdate")).cast("string")).alias("fp"),
         D.quarter_label(_day("o_orderdate")).alias("data_qtr"),
+        D.quarter_label(F.date_add(_day("o_orderdate"), F.pmod("o_orderkey", F.lit(90)).cast("int"))).alias("filed_qtr"),
     )
 
 
@@ -87,7 +88,8 @@ CTES = {
   case o_orderstatus when 'F' then '10-K' else '10-Q' end as form, case when l_returnflag = 'A' then 1 else 0 end as custom_tag,
   case when l_linestatus = 'F' or l_returnflag = 'N' then 'USD' else 'shares' end as uom,
   cast(year(o_orderdate) as varchar) as fy, 'Q' || quarter(o_orderdate) as fp,
-  year(o_orderdate) || 'q' || quarter(o_orderdate) as data_qtr
+  year(o_orderdate) || 'q' || quarter(o_orderdate) as data_qtr,
+  (cast(o_orderdate as date) + cast(o_orderkey % 90 as int)) as filed_day, year(filed_day) || 'q' || quarter(filed_day) as filed_qtr
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
   join nation on c_nationkey = n_nationkey join part on l_partkey = p_partkey)""",
     "std": """std as (select distinct cik, tag, ddate, qtrs, period, form, segments, value from facts
@@ -100,6 +102,14 @@ CTES = {
 }
 
 
+# the same per quarter of filing
+CTES["std_q"] = CTES["std"].replace("std as", "std_q as").replace("distinct cik", "distinct filed_qtr, cik")
+CTES["summary_q"] = (
+    CTES["summary"].replace("summary as", "summary_q as").replace("from std ", "from std_q ").replace("std.*", "std_q.*")
+    .replace("(select cik, tag", "(select filed_qtr, cik, tag").replace("partition by cik", "partition by filed_qtr, cik")
+)
+
+
 def metric_facts(spark: SparkSession, sf_dir: str, by_customer: bool = False) -> DataFrame:
     """Facts under the tracked metric names, with negative and zero values.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,17 +47,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(F.lower(a), F.lower(b)) / longest)
 
 
-def sequence_similarity(a: Column, b: Column) -> Column:
-    """Opt-in parity with the standard library's matching-block ratio (Arrow batches, slower)."""
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(left, right)])
-
-    return ratio(a, b)
-
-
 def word_similarity(words: Column, other: Column, similarity: Callable = edit_similarity) -> Column:
     """Mean best match of each word (0.6) plus the share of words matched at 0.7 or better (0.4)."""
     best = F.transform(words, lambda w: F.array_max(F.transform(other, lambda o: similarity(w, o))))

@@ -150,16 +150,12 @@ def normalize_labels(df: DataFrame, col: str, out: str = "label_name") -> DataFr
     return df.withColumn(out, expr)
 
 
-def contrastive_separation(df: DataFrame, key: str, vector: str, label: str, batch: int = 256, temperature: float = 0.1) -> DataFrame:
-    """Supervised-contrastive loss of each anchor against its batch: (key, batch, loss).
+def contrastive_separation(df: DataFrame, key: str, vector: str, label: str, batch: str, temperature: float = 0.1) -> DataFrame:
+    """Supervised-contrastive loss of each anchor against the other rows of its batch: (key, batch, loss).
 
-    Batches hold `batch` consecutive rows by key, so work grows with the rows, not with
-    their square; a batch is scored as one small matrix product in a task.
+    `batch` names the column of training batches, which are bounded by their purpose; a batch is
+    scored as one small matrix product in a task. Their mean is `contrastive_loss`.
     """
-    from ledgerlight.operators.ordered import global_row_number
-
-    keyed = global_row_number(df.select(key, label, vector), [], [F.col(key)], "_n")
-    batched = keyed.withColumn("batch", F.floor((F.col("_n") - 1) / batch).cast("long"))
     eps = 1e-8
 
     def score(pdf):
@@ -172,7 +168,12 @@ def contrastive_separation(df: DataFrame, key: str, vector: str, label: str, bat
         y = pdf[label].to_numpy()
         same = y[:, None] == y[None, :]
         loss = -np.log((e * same).sum(1) / (e.sum(1) + eps) + eps)
-        return pdf[[key, "batch"]].assign(loss=loss)
+        return pdf[[key, batch]].assign(loss=loss)
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, batch)]
+    return df.select(key, batch, label, vector).groupBy(batch).applyInPandas(score, f"{', '.join(kinds)}, loss double")
+
 
-    kind = df.schema[key].dataType.simpleString()
-    return batched.select(key, "batch", label, vector).groupBy("batch").applyInPandas(score, f"{key} {kind}, batch long, loss double")
+def contrastive_loss(losses: DataFrame, batch: str = "batch") -> DataFrame:
+    """Mean loss and anchors of every batch, and of all batches together (batch NULL)."""
+    return losses.rollup(batch).agg(F.avg("loss").alias("loss"), F.count("*").alias("anchors"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import dates as D
 from ledgerlight.functions import text as S
+from ledgerlight.operators.ordered import global_row_number
 
 
 def parse_feature_names(df: DataFrame, col: str = "feature") -> DataFrame:
@@ -151,6 +152,15 @@ def tag_pair_usage(facts: DataFrame, exact: str, part: str) -> DataFrame:
     return usage.join(both.select("cik"), "cik", "left_semi")
 
 
+def rank_tags(stats: DataFrame, first: int = 0) -> DataFrame:
+    """(tag, rank) of all tags by the number of companies, then by name, counted from `first`.
+
+    Tags are numbered over range blocks: custom tags grow with the filings.
+    """
+    ranked = global_row_number(stats.select("tag", "distinct_companies"), [], [F.desc("distinct_companies"), F.asc("tag")], "_n")
+    return ranked.select("tag", (F.col("_n") - 1 + first).cast("int").alias("rank"))
+
+
 def popular_matches(facts: DataFrame, ranked: DataFrame, text: str = "percent") -> DataFrame:
     """Counts of standard tags containing `text`, with their popularity rank."""
     hit = facts.filter((F.col("custom_tag") == 0) & F.lower("tag").contains(text.lower()))

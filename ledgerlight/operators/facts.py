@@ -48,24 +48,26 @@ def segment_profile(rows: DataFrame, keys: Sequence[str] = FACT_KEY) -> DataFram
     )
 
 
-def _fact_rows(facts: DataFrame, forms: Iterable[str]) -> DataFrame:
+def _fact_rows(facts: DataFrame, forms: Iterable[str], by: Sequence[str] = ()) -> DataFrame:
     """Standard-tag USD facts with a value, duplicates included."""
     return facts.filter(
         (F.col("custom_tag") == 0) & F.col("form").isin(*forms) & F.col("value").isNotNull() & (F.col("uom") == C.UNIT)
-    ).select(*FACT_KEY, "segments", "value")
+    ).select(*FACT_KEY, *by, "segments", "value")
 
 
-def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFrame:
+def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS, by: Sequence[str] = ()) -> DataFrame:
     """One row per fact key: the only row, else the company-level row, else the largest value.
 
+    `by` adds columns to the key: with the data quarter, each quarter is summarised on its own.
+
     Duplicated rows change nothing below, so the full-row distinct is not run: "one row" is
     "smallest equals largest". That leaves a single shuffle, with partial aggregation.
     Ties: the largest company-level value; the first segment among equal values.
     """
     require(facts, [*FACT_KEY, "segments", "value", "uom", "custom_tag"])
-    rows = _fact_rows(facts, forms)
+    rows = _fact_rows(facts, forms, by)
     total_value = F.max(F.when(F.col("segments").isNull(), F.col("value")))
-    g = rows.groupBy(*FACT_KEY).agg(
+    g = rows.groupBy(*FACT_KEY, *by).agg(
         F.count("*").alias("_n"),
         F.count("segments").alias("_named"),
         total_value.alias("_total"),
@@ -80,6 +82,7 @@ def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFra
     single = (F.col("_low") == F.col("_high")) & same_segment
     return g.select(
         *FACT_KEY,
+        *by,
         F.when(~has_null, F.col("_at_high")).alias("segments"),
         F.when(has_null, F.col("_total")).otherwise(F.col("_high")).alias("value"),
         F.lit(1).alias("summary_flag"),
@@ -87,44 +90,51 @@ def segment_summary(facts: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFra
     )
 
 
-def _dated(rows: DataFrame) -> DataFrame:
+def _dated(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One value per (history key, raw date), repaired and parsed dates, no NULL keys.
 
     The date is parsed from an aggregate's output, so the check on it stays above the
     grouping and runs once per item date instead of once per raw fact.
     """
-    one = rows.dropna(subset=HISTORY_KEY).groupBy(*HISTORY_KEY, F.col("ddate").alias("_raw")).agg(
+    one = rows.dropna(subset=HISTORY_KEY).groupBy(*HISTORY_KEY, *by, F.col("ddate").alias("_raw")).agg(
         F.max("value").alias("value"), F.max("ddate").alias("_same")
     )
-    return one.select(*HISTORY_KEY, "value", D.parse_day(D.repair_year(F.col("_same"))).alias("ddate")).filter(F.col("ddate").isNotNull())
+    return one.select(*HISTORY_KEY, *by, "value", D.parse_day(D.repair_year(F.col("_same"))).alias("ddate")).filter(F.col("ddate").isNotNull())
 
 
-def history_points(rows: DataFrame) -> DataFrame:
+def history_points(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every dated value of an item with the item's latest date and value, interval and change.
 
     Collapsed to one row per (item, date) first, so an item's window holds at most its dates.
     """
-    newest = F.max(F.struct("ddate", "value")).over(Window.partitionBy(*HISTORY_KEY))
-    p = _dated(rows).withColumn("_m", newest)
-    p = p.select(*HISTORY_KEY, "ddate", "value", F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
+    newest = F.max(F.struct("ddate", "value")).over(Window.partitionBy(*HISTORY_KEY, *by))
+    p = _dated(rows, by).withColumn("_m", newest)
+    p = p.select(*HISTORY_KEY, *by, "ddate", "value", F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
     return p.withColumns({
         "quarter_interval": D.days_to_quarter(D.round_quarter_days(F.datediff("crt_ddate", "ddate"))),
         "percentage_diff": change(F.col("crt_value"), F.col("value"), "current"),
     })
 
 
-def history_comparisons(rows: DataFrame) -> DataFrame:
+def newest_values(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Latest value of each item without its past: one aggregate, no arrays."""
+    newest = F.max(F.struct("ddate", "value"))
+    g = _dated(rows, by).groupBy(*HISTORY_KEY, *by).agg(newest.alias("_m"))
+    return g.select(*HISTORY_KEY, *by, F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
+
+
+def history_comparisons(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Latest value of each item with arrays of its earlier dates, values, intervals and changes.
 
     Groups the points where the window left them: no further shuffle.
     """
     point = F.struct("ddate", "value", "quarter_interval", "percentage_diff")
-    g = history_points(rows).groupBy(*HISTORY_KEY).agg(
+    g = history_points(rows, by).groupBy(*HISTORY_KEY, *by).agg(
         F.first("crt_ddate").alias("crt_ddate"), F.first("crt_value").alias("crt_value"), F.sort_array(F.collect_list(point)).alias("_p")
     )
     others = F.slice("_p", 1, F.size("_p") - 1)
     return g.withColumn("_o", others).select(
-        *HISTORY_KEY, "crt_ddate", "crt_value",
+        *HISTORY_KEY, *by, "crt_ddate", "crt_value",
         F.col("_o.ddate").alias("other_ddates"), F.col("_o.value").alias("other_values"),
         F.col("_o.quarter_interval").alias("quarter_intervals"), F.col("_o.percentage_diff").alias("percentage_diffs"),
         F.size("_o").alias("num_historical_points"),
@@ -143,12 +153,12 @@ def latest_values(df: DataFrame, forms: Iterable[str] = C.FORMS) -> DataFrame:
     return g.select(*HISTORY_KEY, F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
 
 
-def tall_features(history: DataFrame, tags: DataFrame | Sequence[str] | None = None) -> DataFrame:
+def tall_features(history: DataFrame, tags: DataFrame | Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Current values as (cik, period, form, tag, qtrs, value), kept tall for all later work."""
     out = history.filter(F.col("qtrs") <= C.MAX_QTRS)
     if tags is not None:
         out = out.join(tags.select("tag").distinct(), "tag", "left_semi") if isinstance(tags, DataFrame) else out.filter(F.col("tag").isin(*tags))
-    return out.select(*HISTORY_KEY, F.col("crt_value").alias("value"))
+    return out.select(*HISTORY_KEY, *by, F.col("crt_value").alias("value"))
 
 
 def item_names(rows: DataFrame, tags: Sequence[str]) -> list[str]:
@@ -163,8 +173,8 @@ def item_names(rows: DataFrame, tags: Sequence[str]) -> list[str]:
     return sorted(f"{r['tag']}_{r['qtrs']}qtrs" for r in found)
 
 
-def pivot_features(history: DataFrame, tags: Sequence[str], n_history: int = C.HISTORY_QUARTERS, names: Sequence[str] | None = None) -> DataFrame:
-    """Wide table: one row per filing, `_current` and `_change_q{n}` columns, names sorted.
+def pivot_features(history: DataFrame, tags: Sequence[str], n_history: int = C.HISTORY_QUARTERS, names: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Wide table: one row per filing (and value of `by`), `_current` and `_change_q{n}` columns, names sorted.
 
     Filings without a chosen tag keep their row. One pass: current and change values are
     exploded into named cells and pivoted with an explicit name list.
@@ -186,10 +196,10 @@ def pivot_features(history: DataFrame, tags: Sequence[str], n_history: int = C.H
         # the first entry of a cell wins, as the arrays run from old to new
         cells = F.concat(cells, named)
     none = F.array(F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("double").alias("v")))
-    rows = history.select(*FILING_KEY, F.posexplode(F.when(chosen, cells).otherwise(none)).alias("_at", "_cell"))
-    rows = rows.select(*FILING_KEY, F.col("_cell.c").alias("_c"), "_at", F.col("_cell.v").alias("_v"))
-    wide = rows.groupBy(*FILING_KEY).pivot("_c", expected).agg(F.min_by("_v", "_at"))
-    return wide.select(*FILING_KEY, *[f"`{c}`" for c in expected])
+    rows = history.select(*FILING_KEY, *by, F.posexplode(F.when(chosen, cells).otherwise(none)).alias("_at", "_cell"))
+    rows = rows.select(*FILING_KEY, *by, F.col("_cell.c").alias("_c"), "_at", F.col("_cell.v").alias("_v"))
+    wide = rows.groupBy(*FILING_KEY, *by).pivot("_c", expected).agg(F.min_by("_v", "_at"))
+    return wide.select(*FILING_KEY, *by, *[f"`{c}`" for c in expected])
 
 
 def completeness(wide: DataFrame, keys: Sequence[str] = ("cik", "period", "form", "data_qtr")) -> DataFrame:
@@ -215,7 +225,8 @@ def completeness_filter(wide: DataFrame, ranking: DataFrame, mapped: DataFrame,
     kept = wide.join(mapped.select("cik").distinct(), "cik", "left_semi")
     rest = [c for c in cols if c not in ("cik", "period")]
     form = F.col("form") if "form" in wide.columns else F.lit("")
-    newest = F.max("data_qtr").alias("data_qtr")
-    latest = kept.join(kept.groupBy("cik", "period").agg(newest), ["cik", "period", "data_qtr"], "left_semi")
-    one = latest.groupBy("cik", "period").agg(F.min_by(F.struct(*[f"`{c}`" for c in rest]), form).alias("_row"))
+    # newest quarter first, then the smallest form: the form's inverted characters make it the largest
+    inverted = F.transform(F.split(form, ""), lambda c: -F.ascii(c))
+    order = F.struct(F.col("data_qtr"), F.concat(inverted, F.array(F.lit(1))))
+    one = kept.groupBy("cik", "period").agg(F.max_by(F.struct(*[f"`{c}`" for c in rest]), order).alias("_row"))
     return one.select("cik", "period", "_row.*").select(*[f"`{c}`" for c in cols])

@@ -62,7 +62,9 @@ def nearest_join(
     both = _days(left, right, by, left_on, right_on, cols)
     w = Window.partitionBy(*by).orderBy("_day", "_side")
     before = F.last("_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_row", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the next day is the last one seen from the other end: a growing frame costs one step a row
+    back_w = Window.partitionBy(*by).orderBy(F.desc("_day"), F.desc("_side"))
+    after = F.last("_row", ignorenulls=True).over(back_w.rowsBetween(Window.unboundedPreceding, 0))
     seen = both.withColumn("_before", before).withColumn("_after", after).filter(F.col("_side") == 1)
     back, fwd = F.datediff("_day", F.col("_before._on")), F.datediff(F.col("_after._on"), "_day")
     use_back = F.col("_after").isNull() | (back <= fwd)

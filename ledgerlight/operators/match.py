@@ -49,10 +49,15 @@ def match_scores(cands: DataFrame, similarity: Callable = S.edit_similarity) ->
 
 def tag_matches(
     tags: DataFrame, metrics: Sequence[str] = C.KEY_METRICS, threshold: float = 0.9, keys: Sequence[str] = (),
-    similarity: Callable = S.edit_similarity, best: int = BEST,
+    similarity: Callable = S.edit_similarity, best: int = BEST, prefilter_to: int | None = None,
 ) -> DataFrame:
-    """Best matches per metric: score, then complete word matches, then the shorter name."""
-    scored = match_scores(prefilter(candidates(tags, metrics, keys, similarity), PREFILTER, keys), similarity)
+    """Best matches per metric: score, then complete word matches, then the shorter name.
+
+    Every candidate is scored; `prefilter_to` keeps only that many by the quick score, which is
+    faster and may lose matches.
+    """
+    found = candidates(tags, metrics, keys, similarity)
+    scored = match_scores(found if prefilter_to is None else prefilter(found, prefilter_to, keys), similarity)
     order = [F.desc("score"), F.desc("all_words"), F.length("tag").asc(), F.asc("tag")]
     top = top_rows(scored.filter(F.col("score") >= threshold), [*keys, "metric"], order, best, "match_rank")
     return top.select(*keys, "metric", "tag", "score", "match_rank")

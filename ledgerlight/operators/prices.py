@@ -50,24 +50,26 @@ def normalized_series(prices: DataFrame, key: str = "ticker", date: str = "date"
     return prices.join(first, key).withColumn("normalized", safe_divide(F.col(value) * 100.0, F.col("_first"))).drop("_first")
 
 
-def lag_features(df: DataFrame, features: Sequence[str], lags: Sequence[int] = C.LAGS, keys: Sequence[str] = ("cik",), order: Sequence[str] = ("month_end_date",), check: int = 50) -> DataFrame:
-    """Add `{feature}_lag_{k}` by rows of a monthly series; keep rows where the smallest lag exists.
+def lag_features(df: DataFrame, features: Sequence[str], lags: Sequence[int] = C.LAGS, keys: Sequence[str] = ("cik",), order: Sequence[str] = ("month_end_date",)) -> DataFrame:
+    """Add `{feature}_lag_{k}` by rows of a monthly series; keep rows where any feature's smallest lag exists.
 
     Expects month grain (one row per series and month), so a series is bounded by its months.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     made = {f"{c}_lag_{k}": F.lag(F.col(f"`{c}`"), k).over(w) for k in lags for c in features}
     out = df.withColumns(made)
-    first = [f"{c}_lag_{min(lags)}" for c in features[:check]]
-    return out.filter(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in first]).isNotNull())
+    first = [f"{c}_lag_{min(lags)}" for c in features]
+    return out.filter(F.coalesce(F.lit(None).cast("int"), *[F.when(F.col(f"`{c}`").isNotNull(), F.lit(1)) for c in first]).isNotNull())
 
 
 def fill_gaps(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("cik",), order: Sequence[str] = ("month_end_date",)) -> DataFrame:
     """Last known value, else the next one, else 0, per monthly series."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    sofar = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*sofar)
+    # the next value is the last one seen from the other end: a growing frame costs one step a row
+    ahead = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(*sofar)
     filled = {
-        c: F.coalesce(F.last(F.col(f"`{c}`"), True).over(back), F.first(F.col(f"`{c}`"), True).over(ahead), F.lit(0.0)) for c in features
+        c: F.coalesce(F.last(F.col(f"`{c}`"), True).over(back), F.last(F.col(f"`{c}`"), True).over(ahead), F.lit(0.0)) for c in features
     }
     return df.withColumns(filled)
 
@@ -78,7 +80,7 @@ def sequences(
 ) -> DataFrame:
     """Per series the ordered feature vectors and targets, most recent `longest`, at least `shortest`.
 
-    Rows beyond the most recent ones are cut in each task before the shuffle.
+    Gaps are filled from the whole series, so a series is in one task before its old rows go.
     """
     known = df.filter(F.col(target).isNotNull())
     filled = fill_gaps(known, features, keys, order)

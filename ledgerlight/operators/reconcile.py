@@ -78,27 +78,18 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
     return keep_first(pairs, ["cik", "form"], [F.col("period_delta_days"), -F.col("period_catchup")])
 
 
-def compare_pairs(batch: DataFrame, catchup: DataFrame, pairs: DataFrame, features: Sequence[str], rtol: float = C.VALUE_RTOL, atol: float = C.VALUE_ATOL, sample: int = 10) -> DataFrame:
-    """Closeness of the shared features of each matched pair, with the first disagreeing names.
+def compare_pairs(batch: DataFrame, catchup: DataFrame, pairs: DataFrame, features: Sequence[str], rtol: float = C.VALUE_RTOL, atol: float = C.VALUE_ATOL) -> DataFrame:
+    """Closeness of the shared features of each matched pair, with all disagreeing names.
 
     Inputs are tall (cik, form, period, feature, value); the tolerance refers to the catch-up
     side. `features` is the shared column list, so names per pair are bounded by it.
     """
-    wanted = F.col("feature").isin(*features)
-    b = batch.filter(wanted).select("cik", "form", F.col("period").alias("period_batch"), "feature", F.col("value").alias("v1"))
-    c = catchup.filter(wanted).select("cik", "form", F.col("period").alias("period_catchup"), "feature", F.col("value").alias("v2"))
-    left = pairs.join(b, ["cik", "form", "period_batch"])
-    right = pairs.join(c, ["cik", "form", "period_catchup"])
     cols = ["cik", "form", "period_catchup", "period_batch", "period_delta_days", "feature"]
-    both = left.select(*cols, "v1", F.lit(None).cast("double").alias("v2")).unionByName(right.select(*cols, F.lit(None).cast("double").alias("v1"), "v2"))
-    cells = both.groupBy(*cols).agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"))
-    present = F.col("v1").isNotNull() & F.col("v2").isNotNull()
-    close = present & is_close(F.col("v1"), F.col("v2"), rtol, atol)
-    one = F.col("v1").isNull() != F.col("v2").isNull()
-    bad = F.slice(F.sort_array(F.collect_list(F.when(present & ~close, F.col("feature")))), 1, sample)
+    cells = pair_cells(batch, catchup, pairs, features, rtol, atol)
+    bad = F.sort_array(F.collect_list(F.when(F.col("present") & ~F.col("close"), F.col("feature"))))
     g = cells.groupBy(*cols[:-1]).agg(
-        F.count_if(present).alias("n_both_present"), F.count_if(close).alias("n_value_close"),
-        F.count_if(one).alias("n_one_nan"), F.array_join(bad, ",").alias("sample_disagreements"),
+        F.count_if("present").alias("n_both_present"), F.count_if("close").alias("n_value_close"),
+        F.count_if(F.col("v1").isNull() != F.col("v2").isNull()).alias("n_one_nan"), F.array_join(bad, ",").alias("disagreements"),
     )
     none = pairs.join(g, cols[:-1], "left")
     n = {k: F.coalesce(k, F.lit(0)) for k in ("n_both_present", "n_value_close", "n_one_nan")}
@@ -107,10 +98,29 @@ def compare_pairs(batch: DataFrame, catchup: DataFrame, pairs: DataFrame, featur
         (n["n_both_present"] - n["n_value_close"]).alias("n_disagree"),
         safe_divide(n["n_value_close"].cast("double"), n["n_both_present"]).alias("match_rate_present"),
         (F.lit(len(features)) - n["n_both_present"] - n["n_one_nan"]).alias("n_both_nan"),
-        F.coalesce("sample_disagreements", F.lit("")).alias("sample_disagreements"),
+        F.coalesce("disagreements", F.lit("")).alias("disagreements"),
     )
 
 
+def pair_cells(batch: DataFrame, catchup: DataFrame, pairs: DataFrame, features: Sequence[str], rtol: float = C.VALUE_RTOL, atol: float = C.VALUE_ATOL) -> DataFrame:
+    """Every compared cell of the matched pairs: both values, whether both are there, whether they are close."""
+    wanted = F.col("feature").isin(*features)
+    b = batch.filter(wanted).select("cik", "form", F.col("period").alias("period_batch"), "feature", F.col("value").alias("v1"))
+    c = catchup.filter(wanted).select("cik", "form", F.col("period").alias("period_catchup"), "feature", F.col("value").alias("v2"))
+    left = pairs.join(b, ["cik", "form", "period_batch"])
+    right = pairs.join(c, ["cik", "form", "period_catchup"])
+    cols = ["cik", "form", "period_catchup", "period_batch", "period_delta_days", "feature"]
+    both = left.select(*cols, "v1", F.lit(None).cast("double").alias("v2")).unionByName(right.select(*cols, F.lit(None).cast("double").alias("v1"), "v2"))
+    cells = both.groupBy(*cols).agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"))
+    present = F.col("v1").isNotNull() & F.col("v2").isNotNull()
+    return cells.select(*cols, "v1", "v2", present.alias("present"), F.coalesce(present & is_close(F.col("v1"), F.col("v2"), rtol, atol), F.lit(False)).alias("close"))
+
+
+def disagreements(batch: DataFrame, catchup: DataFrame, pairs: DataFrame, features: Sequence[str], rtol: float = C.VALUE_RTOL, atol: float = C.VALUE_ATOL) -> DataFrame:
+    """Every cell in which both sides have a value and the values are not close."""
+    return pair_cells(batch, catchup, pairs, features, rtol, atol).filter("present and not close").drop("present", "close")
+
+
 def source_match(bulk: DataFrame, api: DataFrame, on: Sequence[str] = ("cik", "tag", "ddate", "qtrs")) -> DataFrame:
     """Company-level bulk values against the API's: matched and mismatching pairs.
 

@@ -11,7 +11,6 @@ from ledgerlight import config as C
 from ledgerlight.operators import facts as A
 from ledgerlight.operators import features as R
 from ledgerlight.operators.clean import flag_custom_tags
-from ledgerlight.schema import FILING_KEY
 from ledgerlight.sources.sinks import missing_quarters, read_features, write_features
 
 
@@ -23,20 +22,20 @@ def choose_tags(facts: DataFrame, k: int = C.TOP_TAGS) -> list[str]:
 def build_features(facts: DataFrame, tags: Sequence[str], n_history: int = C.HISTORY_QUARTERS, by: str = "data_qtr") -> DataFrame:
     """Wide features of every quarter and form in one plan.
 
-    The quarter belongs to the filing, so it rides along as the newest quarter of each filing
-    key instead of a loop over quarters.
+    The quarter is part of every key, so one build of all quarters has the rows of building
+    quarter by quarter. Item names are the chosen tags at all quarter counts, known without a
+    look at the facts; without history columns only the newest values are aggregated.
     """
-    history = A.history_comparisons(A.segment_summary(facts))
-    wide = A.pivot_features(history, tags, n_history, A.item_names(facts, tags))
-    quarter = facts.groupBy(*FILING_KEY).agg(F.max(by).alias("data_qtr"))
-    return wide.join(quarter, FILING_KEY)
+    rows = A.segment_summary(facts.withColumn("data_qtr", F.col(by)), by=["data_qtr"])
+    values = A.history_comparisons(rows, ["data_qtr"]) if n_history else A.newest_values(rows, ["data_qtr"])
+    names = [f"{t}_{q}qtrs" for t in tags for q in range(C.MAX_QTRS + 1)]
+    return A.pivot_features(values, tags, n_history, names, ["data_qtr"])
 
 
 def build_tall_features(facts: DataFrame, tags: Sequence[str] | None = None, by: str = "data_qtr") -> DataFrame:
     """The same values kept tall: (cik, period, form, tag, qtrs, value, data_qtr)."""
-    history = A.history_comparisons(A.segment_summary(facts))
-    quarter = facts.groupBy(*FILING_KEY).agg(F.max(by).alias("data_qtr"))
-    return A.tall_features(history, tags).join(quarter, FILING_KEY)
+    rows = A.segment_summary(facts.withColumn("data_qtr", F.col(by)), by=["data_qtr"])
+    return A.tall_features(A.newest_values(rows, ["data_qtr"]), tags, ["data_qtr"])
 
 
 def store_new_quarters(facts: DataFrame, path: str, tags: Sequence[str], n_history: int = C.HISTORY_QUARTERS) -> DataFrame:

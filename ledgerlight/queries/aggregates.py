@@ -8,7 +8,7 @@ from ledgerlight import config as C
 from ledgerlight import fixtures as X
 from ledgerlight.functions import dates as D
 from ledgerlight.operators import clean, explore, facts, features, match, reconcile, selection
-from ledgerlight.plans.features import catchup_features
+from ledgerlight.plans.features import build_features, build_tall_features, catchup_features
 from ledgerlight.queries.registry import query, rounded
 
 _KEY = "cik, tag, ddate, qtrs, period, form"
@@ -77,12 +77,16 @@ _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
 _ITEMS = [f"{t}_{q}qtrs" for t in _TYPES for q in (0, 1, 2)]
 
 
-@query("a06", "summary", ", crt as (select cik, period, form, tag, qtrs, arg_max(value, ddate) as v from summary group by all) select cik, period, form, "
-       + ", ".join(f"round(max(case when tag = '{t}' and qtrs = {q} then v end), 6) as \"{t}_{q}qtrs_current\"" for t in _TYPES for q in (0, 1, 2)) + " from crt group by all")
+@query("a06", "facts std_q summary_q", ", crt as (select cik, period, form, filed_qtr, tag, qtrs, arg_max(value, ddate) as v from summary_q group by all) select cik, period, form, filed_qtr as data_qtr, "
+       + ", ".join(f"round(max(case when tag = '{t}' and qtrs = {q} then v end), 6) as \"{t}_{q}qtrs_current\"" for t in _TYPES for q in range(C.MAX_QTRS + 1)) + " from crt group by all")
 def a06(spark, sf):
-    f = X.facts(spark, sf)
-    h = facts.history_comparisons(facts.segment_summary(f))
-    return rounded(facts.pivot_features(h, _TYPES, names=facts.item_names(f, _TYPES)))
+    return rounded(build_features(X.facts(spark, sf), _TYPES, 0, "filed_qtr"))
+
+
+@query("a06_tall", "facts std_q summary_q", """, crt as (select cik, period, form, filed_qtr, tag, qtrs, arg_max(value, ddate) as v from summary_q group by all)
+  select cik, period, form, filed_qtr as data_qtr, tag, qtrs, round(v, 6) as value from crt""")
+def a06_tall(spark, sf):
+    return rounded(build_tall_features(X.facts(spark, sf), by="filed_qtr"))
 
 
 @query("a07", "summary", f""", {_HIST}, cells as (select cik, period, form, tag || '_' || qtrs || 'qtrs' as item, qi, arg_min(pd, d) as pd from pts2
@@ -213,8 +217,7 @@ def _profile(spark, sf):
   group by tag having avg(cast(has_summary as int)) < 0.95 and any_value(rank) < 500""")
 def a14(spark, sf):
     stats = facts.tag_stats(X.facts(spark, sf))
-    ranked = facts.top_tags(stats, 6).withColumn("rank", F.col("rank") - 1)
-    return rounded(explore.tags_lacking_summary(_profile(spark, sf), ranked, 0.95))
+    return rounded(explore.tags_lacking_summary(_profile(spark, sf), explore.rank_tags(stats), 0.95))
 
 
 @query("a14_totals", "std", f""", {_PROFILE} select count(*) as groups, count(*) filter (has_null) as with_null, count(*) filter (one) as single,
@@ -250,7 +253,7 @@ def a16_usage(spark, sf):
   select tag, count(*) as count, any_value(rank) as rank from facts join ranked using (tag) where custom_tag = 0 and contains(lower(tag), 'm') group by tag""")
 def a17(spark, sf):
     f = X.facts(spark, sf)
-    return explore.popular_matches(f, facts.top_tags(facts.tag_stats(f), 6), "M")
+    return explore.popular_matches(f, explore.rank_tags(facts.tag_stats(f), 1), "M")
 
 
 @query("a18", "sub_fine", """, per as (select cik, max(cast(form = '10-K' as int)) as a, max(cast(form = '10-Q' as int)) as b from sub_fine group by cik)
@@ -347,7 +350,7 @@ MATCH_SQL = """words as (select distinct {keys} tag, list_transform(regexp_split
     + 0.4 * (1.0 - levenshtein(lower(metric), lower(tag)) / greatest(len(metric), len(tag))) as quick_score,
     1.0 - levenshtein(lower(metric), lower(tag)) / greatest(len(metric), len(tag)) as phrase from cand),
   pre as (select *, row_number() over (partition by {keys} metric order by quick_score desc, tag) as quick_rank from sc qualify quick_rank <= 50),
-  best as (select *, list_transform(mw, lambda w: list_max(list_transform(tw, lambda o: 1.0 - levenshtein(w, o) / greatest(len(w), len(o))))) as bs from pre),
+  best as (select *, list_transform(mw, lambda w: list_max(list_transform(tw, lambda o: 1.0 - levenshtein(w, o) / greatest(len(w), len(o))))) as bs from sc where len(tw) > 0),
   ws as (select *, list_sum(bs) / len(mw) * 0.6 + len(list_filter(bs, lambda s: s >= 0.7)) / len(mw) * 0.4 as word_score,
     len(list_intersect(mw, tw)) = len(list_distinct(mw)) as all_words, len(list_distinct(mw)) = len(list_distinct(tw)) as same_size from best),
   scored as (select *, case when all_words and same_size then 1.0 when all_words and 0.7 * least(word_score, 1) + 0.3 * phrase >= 0.7

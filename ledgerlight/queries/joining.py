@@ -127,13 +127,6 @@ def j08(spark, sf):
     return joins.map_dimension(n, st, "cik", ["annual"], "left").fillna(0, ["annual"]).select("cik", "n", "annual")
 
 
-def _ranked(stats):
-    from pyspark.sql import Window
-
-    # one row per tag name: the tag list is small metadata
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("distinct_companies"), "tag")) - 1)
-
-
 _RANKED = """stats as (select tag, count(*) as occurrences, count(distinct cik) as distinct_companies from tag_names group by tag),
   ranked as (select *, row_number() over (order by distinct_companies desc, tag) - 1 as rank from stats)"""
 
@@ -145,7 +138,7 @@ def _names(spark, sf):
 @query("j09", "tag_names", f", {_RANKED} select tag, count(*) as count, any_value(rank) as rank from tag_names join ranked using (tag) where contains(lower(tag), 'gear') group by tag")
 def j09(spark, sf):
     t = _names(spark, sf)
-    return explore.popular_matches(t, _ranked(facts.tag_stats(t)).select("tag", "rank"), "gear")
+    return explore.popular_matches(t, explore.rank_tags(facts.tag_stats(t)), "gear")
 
 
 _SIC = "sic as (select cik // 100 as cik0, cik, any_value(sic) as sic from metric_facts where sic <> 'BUILDING' group by all)"
@@ -266,7 +259,7 @@ def _two_pipelines(spark, sf):
     return t, c
 
 
-@query("j19", "features_tall", """, t as (select cik, form, period, tag || '_' || qtrs as feature, value from features_tall),
+_J19 = """, t as (select cik, form, period, tag || '_' || qtrs as feature, value from features_tall),
   c as (select cik, form, cast(strftime(strptime(cast(period as varchar), '%Y%m%d')::date + cast(cik % 7 as int), '%Y%m%d') as int) as period, feature,
     case when length(feature) % 3 = 0 then value + 0.4 when length(feature) % 5 = 0 then value * 1.01 else value end as value
     from t where period > 20000101 and feature <> 'Revenues_0'),
@@ -278,19 +271,32 @@ def _two_pipelines(spark, sf):
   cell as (select p.*, s.feature, t.value as v1, c.value as v2 from pairs p cross join shared s
     left join t on t.cik = p.cik and t.form = p.form and t.period = p.period_batch and t.feature = s.feature
     left join c on c.cik = p.cik and c.form = p.form and c.period = p.period_catchup and c.feature = s.feature),
-  f as (select *, v1 is not null and v2 is not null as present, coalesce(abs(v1 - v2) <= 1.0 + 1e-5 * abs(v2), false) as close from cell)
+  f as (select *, v1 is not null and v2 is not null as present, coalesce(abs(v1 - v2) <= 1.0 + 1e-5 * abs(v2), false) as close from cell)"""
+
+
+@query("j19", "features_tall", _J19 + """
   select cik, form, period_catchup, period_batch, dd as period_delta_days, count(*) as n_shared_features, count(*) filter (present) as n_both_present,
   count(*) filter (close) as n_value_close, count(*) filter (present and not close) as n_disagree,
   round(count(*) filter (close) / nullif(count(*) filter (present), 0), 6) as match_rate_present,
   count(*) filter (v1 is null and v2 is null) as n_both_nan, count(*) filter ((v1 is null) <> (v2 is null)) as n_one_nan,
-  coalesce(array_to_string(list_slice(list_sort(list(feature) filter (present and not close)), 1, 10), ','), '') as sample_disagreements
+  coalesce(array_to_string(list_sort(list(feature) filter (present and not close)), ','), '') as disagreements
   from f group by cik, form, period_catchup, period_batch, dd""")
 def j19(spark, sf):
+    return rounded(reconcile.compare_pairs(*_matched(spark, sf)))
+
+
+def _matched(spark, sf):
     t, c = (durable(d) for d in _two_pipelines(spark, sf))
     names = {side: {r["feature"] for r in d.select("feature").distinct().collect()} for side, d in (("t", t), ("c", c))}
     shared = sets.column_diff(names["t"], names["c"])["shared"]
     pairs = reconcile.overlapping_reports(t.select("cik", "form", "period"), c.select("cik", "form", "period"))
-    return rounded(reconcile.compare_pairs(t, c, pairs, shared))
+    return t, c, pairs, shared
+
+
+@query("j19_cells", "features_tall", _J19 + """
+  select cik, form, period_catchup, period_batch, dd as period_delta_days, feature, round(v1, 6) as v1, round(v2, 6) as v2 from f where present and not close""")
+def j19_cells(spark, sf):
+    return rounded(reconcile.disagreements(*_matched(spark, sf)))
 
 
 @query("j20", "facts", """, i as (select cik, tag, segments, ddate, version, min(case when form = '10-K' then value end) as v1, min(case when form = '10-Q' then value end) as v2

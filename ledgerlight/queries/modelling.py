@@ -119,12 +119,26 @@ def m07_confusion(spark, sf):
     return evaluate.confusion_matrix(_three(spark, sf), "class", "predicted")
 
 
-@query("m08", sql="""with e as (select vec_id, label, (row_number() over (order by vec_id) - 1) // 256 as batch, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+_M08 = """with e as (select vec_id, label, vec_id // 256 as batch, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
   u as (select vec_id, label, batch, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
-  p as (select a.vec_id, a.batch, exp(list_dot_product(a.v, b.v) / 0.1) as s, a.label = b.label as same from u a join u b on a.batch = b.batch and a.vec_id <> b.vec_id)
+  p as (select a.vec_id, a.batch, exp(list_dot_product(a.v, b.v) / 0.1) as s, a.label = b.label as same from u a join u b on a.batch = b.batch and a.vec_id <> b.vec_id)"""
+
+
+@query("m08", sql=_M08 + """
   select vec_id, batch, round(-ln(coalesce(sum(s) filter (same), 0) / (sum(s) + 1e-8) + 1e-8), 5) as loss from p group by vec_id, batch""")
 def m08(spark, sf):
-    return rounded(evaluate.contrastive_separation(X.table(spark, sf, "embeddings"), "vec_id", "embedding", "label"), 5)
+    return rounded(_losses(spark, sf), 5)
+
+
+def _losses(spark, sf):
+    e = X.table(spark, sf, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 256).cast("long"))
+    return evaluate.contrastive_separation(e, "vec_id", "embedding", "label", "batch")
+
+
+@query("m08_mean", sql=f"""{_M08}, l as (select vec_id, batch, -ln(coalesce(sum(s) filter (same), 0) / (sum(s) + 1e-8) + 1e-8) as loss from p group by vec_id, batch)
+  select batch, round(avg(loss), 5) as loss, count(*) as anchors from l group by rollup (batch)""")
+def m08_mean(spark, sf):
+    return rounded(evaluate.contrastive_loss(_losses(spark, sf)), 5)
 
 
 _AUG = [r.column for r in C.RATIOS]

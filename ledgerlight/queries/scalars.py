@@ -47,11 +47,11 @@ def x03(spark, sf):
     return _days(spark, sf).groupBy("days", D.round_quarter_days_fine(F.col("days")).alias("rounded")).agg(F.count("*").alias("n"))
 
 
-@query("x04", sql=f"""with {_DAYS}, u as (select {_SIX} as near from d where days > 0)
+@query("x04", sql=f"""with {_DAYS}, u as (select case when days > 0 then {_SIX} else days end as near from d)
   select case near when 0 then 0 when 91 then 1 when 182 then 2 when 273 then 3 when 365 then 4 when 730 then 8 end as quarter, count(*) as n from u group by 1""")
 def x04(spark, sf):
     q = D.days_to_quarter(D.round_quarter_days(F.col("days")))
-    return _days(spark, sf).filter("days > 0").groupBy(q.alias("quarter")).agg(F.count("*").alias("n"))
+    return _days(spark, sf).groupBy(q.alias("quarter")).agg(F.count("*").alias("n"))
 
 
 @query("x08", sql="""select l_orderkey, l_linenumber, l_partkey, round(case when l_discount <> 0 and l_quantity > 3 then (l_extendedprice - 50000) / l_discount end, 6) as ratio from lineitem""")
@@ -211,23 +211,16 @@ def x22(spark, sf):
 
 @query("x23", "tag_names", f", {match_sql('', 0.0)} select metric, tag, round(least(word_score, 1.0), 6) as word_score from ws")
 def x23(spark, sf):
-    c = match.match_scores(match.prefilter(match.candidates(X.tag_names(spark, sf), METRICS)))
+    c = match.match_scores(match.candidates(X.tag_names(spark, sf), METRICS))
     return rounded(c.select("metric", "tag", "word_score"))
 
 
 @query("x24", "tag_names", f", {match_sql('', 0.0)} select metric, tag, round(score, 6) as score, all_words from scored")
 def x24(spark, sf):
-    c = match.match_scores(match.prefilter(match.candidates(X.tag_names(spark, sf), METRICS)))
+    c = match.match_scores(match.candidates(X.tag_names(spark, sf), METRICS))
     return rounded(c.select("metric", "tag", "score", "all_words"))
 
 
-@query("r1")
-def r1(spark, sf):
-    """Opt-in library ratio over the candidate pairs."""
-    c = match.candidates(X.tag_names(spark, sf), METRICS)
-    return c.select("metric", "tag", S.sequence_similarity(F.col("metric"), F.col("tag")).alias("ratio"))
-
-
 @query("x25", sql="select p_partkey, replace(lower(p_name || ' Stocks'), ' ', '_') as folder from part")
 def x25(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", S.normalize_name(F.concat("p_name", F.lit(" Stocks"))).alias("folder"))
@@ -291,7 +284,7 @@ def x30(spark, sf):
     return d.select("day", D.shift_month_end(F.col("day"), -6).alias("back"), D.shift_month_end(F.col("day"), 3).alias("ahead"), D.month_label(D.month_index(F.col("day"))).alias("label"))
 
 
-_X31 = ["GrossMargin", "CurrentRatio", "QuickRatio", "DebtToAssets", "ROE"]
+_X31 = [r.name for r in C.RATIOS]
 
 
 def _either(tag: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
@@ -10,6 +12,7 @@ from ledgerlight.functions import dates as D
 from ledgerlight.operators import explore, selection
 from ledgerlight.plans.features import store_new_quarters
 from ledgerlight.queries.registry import query, rounded
+from ledgerlight.queries.selection import STRATEGY_SQL
 from ledgerlight.session import table_path
 from ledgerlight.sources import companyfacts, entities, filings, prices, sinks
 
@@ -39,21 +42,24 @@ _NUM_SQL = """nums as (select cast(l_orderkey as varchar) as adsh, 'Tag' || l_pa
   l_linenumber % 5 as qtrs, 'USD' as uom, cast(nullif(l_suppkey % 4, 0) as varchar) as segments, case when l_quantity > 1 then l_extendedprice end as value from lineitem)"""
 
 
-def _written(spark, df, name):
+def _written(spark, df, name, drop):
+    """Files in two column orders; the second lacks the column `drop`, which is NULL there."""
     path = table_path(spark, name)
-    filings.write_tsv(df, path)
-    return path
+    second = F.pmod(F.xxhash64("adsh"), F.lit(2)) == 1
+    filings.write_tsv(df.filter(~second), f"{path}/a")
+    filings.write_tsv(df.filter(second).select(*[c for c in reversed(df.columns) if c != drop]), f"{path}/b")
+    return f"{path}/*"
 
 
 @query("s01", "sub_fine", f", {_SUB_SQL} select adsh, cik, name, sic, form, period, filed, cast(y as varchar) as fy from subs")
 def s01(spark, sf):
-    got = filings.read_headers(spark, _written(spark, _sub_text(spark, sf), "sub"))
+    got = filings.read_headers(spark, _written(spark, _sub_text(spark, sf), "sub", "countryba"))
     return got.select("adsh", "cik", "name", "sic", "form", "period", "filed", "fy")
 
 
 @query("s02", "", f"with {_NUM_SQL} select adsh, tag, version, ddate, qtrs, uom, segments, round(value, 6) as value from nums")
 def s02(spark, sf):
-    got = filings.read_facts(spark, _written(spark, _num_text(spark, sf), "num"))
+    got = filings.read_facts(spark, _written(spark, _num_text(spark, sf), "num", "footnote"))
     return rounded(got.select("adsh", "tag", "version", "ddate", "qtrs", "uom", "segments", "value"))
 
 
@@ -63,7 +69,10 @@ def _quarter_folders(spark, sf):
     sub = _sub_text(spark, sf).withColumn("q", D.quarter_label(D.parse_day(F.col("filed"))))
     num = _num_text(spark, sf).join(sub.select("adsh", "q"), "adsh")
     for name, df in (("sub", sub), ("num", num)):
-        df.write.partitionBy("q").csv(f"{base}/{name}", sep="\t", header=True)
+        # the years from 1996 on have another column order
+        late = F.col("q") >= "1996q1"
+        df.filter(~late).write.partitionBy("q").csv(f"{base}/{name}", sep="\t", header=True)
+        df.filter(late).select(*reversed(df.columns)).write.mode("append").partitionBy("q").csv(f"{base}/{name}", sep="\t", header=True)
     return f"{base}/sub/q=*", f"{base}/num/q=*"
 
 
@@ -75,25 +84,28 @@ def s03(spark, sf):
     return rounded(g, 2)
 
 
-def _price_lines(spark, sf):
-    """Lines of one price file per ticker: two header dialects, some preferred shares."""
+def _price_folder(spark, sf):
+    """One price file per ticker: two header dialects, some preferred shares."""
     p = X.prices(spark, sf)
     odd = F.col("cik") % 2 == 1
     folder = F.when(F.col("cik") % 3 == 0, "nasdaq stocks").otherwise("nyse stocks")
     mark = F.when(F.col("cik") % 10 == 9, F.lit("_A")).otherwise(F.lit(""))
-    file = F.concat(F.lit("file:/data/"), folder, F.lit("/"), F.lower("ticker"), mark, F.lit(".us."), F.when(odd, "csv").otherwise("txt"))
+    file = F.concat(F.lower("ticker"), mark, F.lit(".us"))
     day = F.when(odd, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "yyyyMMdd"))
     price = F.col("close_price").cast("string")
     row = F.when(odd, F.concat_ws(",", day, F.lit("1.0"), price)).otherwise(F.concat_ws(",", "ticker", F.lit("D"), day, price, F.lit("0")))
     head = F.when(odd, "Date,Open,Close").otherwise("<TICKER>,<PER>,<DATE>,<CLOSE>,<VOL>")
-    rows = p.select(file.alias("file"), row.alias("value"))
-    return rows.unionByName(p.select(file.alias("file"), head.alias("value")).distinct())
+    at = [folder.alias("exchange"), file.alias("file")]
+    rows = p.select(*at, F.lit(1).alias("n"), row.alias("value")).unionByName(p.select(*at, F.lit(0).alias("n"), head.alias("value")).distinct())
+    path = table_path(spark, "prices")
+    rows.repartition("file").sortWithinPartitions("exchange", "file", "n").select("exchange", "file", "value").write.partitionBy("exchange", "file").text(path)
+    return path
 
 
 @query("s04", "prices", """select lower(ticker) || '.us' as ticker, case when cik % 3 = 0 then 'nasdaq stocks' else 'nyse stocks' end as exchange, date, round(close_price, 6) as close_price
   from prices where cik % 10 <> 9""")
 def s04(spark, sf):
-    return rounded(prices.parse_price_lines(_price_lines(spark, sf)))
+    return rounded(prices.read_price_files(spark, _price_folder(spark, sf), layout=prices.BY_PARTITION))
 
 
 @query("s05", "prices", """select ticker, cik, case when cik % 3 = 0 then 'nasdaq_stocks' else 'nyse_stocks' end as exchange, date, round(close_price, 6) as close_price
@@ -101,7 +113,7 @@ def s04(spark, sf):
 def s05(spark, sf):
     n = X.table(spark, sf, "nation").filter("n_nationkey < 20")
     entity = n.select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("ticker"), F.col("n_nationkey").cast("long").alias("cik"))
-    return rounded(prices.map_exchanges(_price_lines(spark, sf), entity))
+    return rounded(prices.map_exchanges(prices.read_price_files(spark, _price_folder(spark, sf), True, prices.BY_PARTITION), entity))
 
 
 def _ticker_docs(spark, sf):
@@ -240,7 +252,11 @@ def _bundles(spark, sf):
     sub = _sub_text(spark, sf).withColumn("period", F.when(F.col("adsh").cast("long") % 11 == 0, "unknown").otherwise(F.col("period").cast("string")))
     num = _num_text(spark, sf).withColumn("value", F.when(F.col("qtrs") == 4, "n/a").otherwise(F.col("value").cast("string")))
     for name, df in (("sub", sub), ("num", num)):
-        df.withColumn("b", block).write.partitionBy("b").csv(f"{base}/{name}", sep="\t", header=True)
+        # the even bundles have another column order and lack a column
+        df, even = df.withColumn("b", block), F.col("adsh").cast("long") % 2 == 0
+        df.filter(~even).write.partitionBy("b").csv(f"{base}/{name}", sep="\t", header=True)
+        fewer = [c for c in reversed(df.columns) if c not in ("countryba", "footnote")]
+        df.filter(even).select(*fewer).write.mode("append").partitionBy("b").csv(f"{base}/{name}", sep="\t", header=True)
     return base
 
 
@@ -256,12 +272,14 @@ def s12(spark, sf):
 @query("s13", "prices", "select cik, ticker, date, round(close_price, 6) as close_price from prices where cik % 4 <> 3")
 def s13(spark, sf):
     p = X.prices(spark, sf)
-    file = F.concat(F.lit("file:/data/batch_"), (F.col("cik") % 4).cast("string"), F.lit(".csv"))
+    file = F.concat(F.lit("batch_"), (F.col("cik") % 4).cast("string"))
     stamp = F.concat(F.col("date").cast("string"), F.lit(" 05:00:00+02:00"))
-    rows = p.select(file.alias("file"), F.concat_ws(",", stamp, F.lit("1.5"), F.col("close_price").cast("string"), F.col("cik").cast("string"), "ticker").alias("value"))
+    rows = p.select(file.alias("file"), F.lit(1).alias("n"), F.concat_ws(",", stamp, F.lit("1.5"), F.col("close_price").cast("string"), F.col("cik").cast("string"), "ticker").alias("value"))
     head = F.when(F.col("cik") % 4 == 3, "Date,Open,Price,cik,ticker").otherwise("Date,Open,Close,cik,ticker")
-    heads = p.select(file.alias("file"), head.alias("value")).distinct()
-    return rounded(prices.parse_batch_lines(rows.unionByName(heads)))
+    heads = p.select(file.alias("file"), F.lit(0).alias("n"), head.alias("value")).distinct()
+    path = table_path(spark, "batches")
+    rows.unionByName(heads).repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
+    return rounded(prices.read_price_batches(spark, path))
 
 
 @query("s14", "features_tall", """select case when data_qtr < '1996q1' then 'Unknown' else form end as form, data_qtr, case when data_qtr = '1998q2' then tag || '!' else tag end as tag,
@@ -277,22 +295,24 @@ def s14(spark, sf):
     return rounded(got.groupBy("form", "data_qtr", "tag").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)
 
 
-@query("s14_reuse", "facts std", """, k as (select distinct cik, period, form from std), q as (select cik, period, form, max(data_qtr) as data_qtr from facts group by all)
-  select data_qtr, form, count(*) as n from k join q using (cik, period, form) group by all""")
+# filings of one (cik, period, form) are filed in two quarters, and each quarter keeps its row
+@query("s14_reuse", "facts", """, k as (select distinct cik, period, form, filed_qtr from facts
+    where custom_tag = 0 and form in ('10-K', '10-Q') and value is not null and uom = 'USD')
+  select filed_qtr as data_qtr, form, count(*) as n from k group by all""")
 def s14_reuse(spark, sf):
-    f = X.facts(spark, sf)
+    f = X.facts(spark, sf).withColumn("data_qtr", F.col("filed_qtr"))
     path = table_path(spark, "features")
     store_new_quarters(f.filter("data_qtr < '1998q1'"), path, ["LARGE"])
     return store_new_quarters(f, path, ["LARGE"]).groupBy("data_qtr", "form").agg(F.count("*").alias("n"))
 
 
-@query("s15", "scores", """select 'top_5' as strategy_name, year_month, cik, ticker, round(y_pred_proba, 6) as y_pred_proba from scores
-  qualify row_number() over (partition by year_month order by y_pred_proba desc, cik, ticker) <= 5""")
+@query("s15", "scores", f", {STRATEGY_SQL} select strategy_name, year_month, cik, ticker, round(y_pred_proba, 6) as y_pred_proba from picks")
 def s15(spark, sf):
+    """All strategies written, each read back by its own partition."""
     path = table_path(spark, "records")
-    picks = selection.pick_all(X.scores(spark, sf), [C.STRATEGIES[0], C.STRATEGIES[5]])
-    sinks.write_invest_records(picks, path)
-    got = sinks.read_invest_records(spark, path, "top_5")
+    sinks.write_invest_records(selection.pick_all(X.scores(spark, sf)), path)
+    parts = [sinks.read_invest_records(spark, path, s.name) for s in C.STRATEGIES]
+    got = reduce(lambda a, b: a.unionByName(b), parts)
     return rounded(got.select("strategy_name", "year_month", "cik", "ticker", "y_pred_proba"))
 
 
@@ -305,11 +325,12 @@ def s16(spark, sf):
 
 
 @query("s16_bundles", "sub_fine", """select 'run' || (period // 10000) as batch, form, count(*) as headers, sum(k)::bigint as facts
-  from sub_fine join (select l_orderkey, count(*) as k from lineitem group by 1) on l_orderkey = adsh where period // 10000 in (1998, 1999) group by all""")
+  from sub_fine join (select l_orderkey, count(*) as k from lineitem group by 1) on l_orderkey = adsh group by all""")
 def s16_bundles(spark, sf):
     base = table_path(spark, "bundles")
     s, li = X.sub_fine(spark, sf), X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("adsh"), "l_extendedprice")
-    for year in (1998, 1999):
+    years = [r["y"] for r in s.select(F.floor(F.col("period") / 10000).alias("y")).distinct().orderBy("y").collect()]
+    for year in years:
         part = s.filter(F.floor(F.col("period") / 10000) == year)
         filings.write_bundles(part, li.join(part.select("adsh"), "adsh", "left_semi"), base, f"run{year}")
     num = spark.read.parquet(f"{base}/num").groupBy("batch", "adsh").agg(F.count("*").alias("k"))

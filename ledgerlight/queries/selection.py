@@ -49,13 +49,13 @@ def k05(spark, sf):
     return _pick(spark, sf, C.STRATEGIES[5])
 
 
-_STRATS = "strat(strategy_name, lo, hi, lim) as (values " + ", ".join(
+STRATEGY_SQL = "strat(strategy_name, lo, hi, lim) as (values " + ", ".join(
     f"('{s.name}', {s.low if s.low is not None else -1e9}, {s.high if s.high is not None else 1e9}, {s.limit if s.limit is not None else 10**9})" for s in C.STRATEGIES
 ) + """), picks as (select strategy_name, scores.*, row_number() over (partition by strategy_name, year_month order by y_pred_proba desc, cik, ticker) as rank
   from scores join strat on y_pred_proba between lo and hi qualify rank <= max(lim) over (partition by strategy_name))"""
 
 
-@query("k06", "scores", f", {_STRATS} select strategy_name, {_COLS}, rank from picks")
+@query("k06", "scores", f", {STRATEGY_SQL} select strategy_name, {_COLS}, rank from picks")
 def k06(spark, sf):
     out = selection.pick_all(X.scores(spark, sf))
     return rounded(out.select("strategy_name", "year_month", "cik", "ticker", "y_pred_proba", "price_return", F.col("rank")))
@@ -78,7 +78,7 @@ def k09(spark, sf):
     return selection.ever_top(X.scores(spark, sf), 3)
 
 
-@query("m19", "scores score_prices", f""", {_STRATS}, {_STR}, s as (select strategy_name, count(*) as picks, avg(price_return) as mean_return, avg(y_pred_proba) as mean_score, stddev_samp(y_pred_proba) as std_score,
+@query("m19", "scores score_prices", f""", {STRATEGY_SQL}, {_STR}, s as (select strategy_name, count(*) as picks, avg(price_return) as mean_return, avg(y_pred_proba) as mean_score, stddev_samp(y_pred_proba) as std_score,
     min(y_pred_proba) as min_score, max(y_pred_proba) as max_score from picks group by 1),
   l as (select strategy_name, count(*) as with_long_term, avg(st.price_return) as mean_long_return from picks p join st on p.cik = st.cik and p.year_month = st.year_month group by 1)
   select s.strategy_name, picks, round(mean_return, 6) as mean_return, round(mean_score, 6) as mean_score, round(std_score, 6) as std_score, round(min_score, 6) as min_score, round(max_score, 6) as max_score,

@@ -21,10 +21,13 @@ def _as_stream(spark, df, name):
 def t01(spark, sf):
     s = X.sub_fine(spark, sf)
     head = s.select("adsh", "cik", "form", "period", F.to_timestamp("filed").alias("filed_at"))
-    twice = head.unionByName(head)
-    known = s.filter("period < 20000101 or sic = 'BUILDING'")
-    stream = catchup.new_filings(_as_stream(spark, twice, "headers"), known, delay="4000 days")
-    return catchup.drain(stream, "new-filings").select("adsh", "cik", "form", "period")
+    known = table_path(spark, "known")
+    s.filter("period < 20000101 or sic = 'BUILDING'").select("adsh").write.parquet(known)
+    # the newest files come first, and everything comes twice
+    path = table_path(spark, "headers")
+    head.unionByName(head).repartitionByRange(8, F.desc("filed_at")).write.parquet(path)
+    stream = catchup.read_stream(spark, path, "*.parquet", head.schema, 4)
+    return catchup.store_new_filings(stream, known, table_path(spark, "new-filings")).select("adsh", "cik", "form", "period")
 
 
 @query("t02", "facts", "select cik, period, form, tag, qtrs, max(ddate) as crt_ddate, round(max((ddate, value))[2], 6) as crt_value from facts group by all")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight import config as C
 from ledgerlight import fixtures as X
 from ledgerlight.operators import clean, evaluate, features, portfolio, prices, selection
 from ledgerlight.plans import labels
@@ -213,10 +214,10 @@ def w16(spark, sf):
     return rounded(evaluate.feature_correlation(w, ["GrossMargin_1qtrs_augment", "ROE_1qtrs_augment", "CurrentRatio_0qtrs_augment"], "y"))
 
 
-@query("k10", "sub_fine", "select cik, period, form as form_type, max(filed) as file_date from sub_fine where form = '10-K' group by all")
+@query("k10", "sub_fine", "select cik, period, form as form_type, max(filed) as file_date from sub_fine where form in ('10-K', '10-Q') group by all")
 def k10(spark, sf):
     from ledgerlight.operators.explore import filing_dates
 
-    return filing_dates(X.sub_fine(spark, sf), ["10-K"]).orderBy("cik", "file_date")
+    return filing_dates(X.sub_fine(spark, sf), C.FORMS).orderBy("cik", "file_date")
 
 

@@ -10,22 +10,15 @@ from ledgerlight.functions.text import dataset_key
 from ledgerlight.operators.clean import drop_refiled, flag_custom_tags
 from ledgerlight.operators.ordered import keep_first
 from ledgerlight.schema import NUM, SUB
+from ledgerlight.sources.headers import files_of, read_named
 
 QUARTER_GLOB = "[0-9][0-9][0-9][0-9][qQ][1-4]"
 QUARTER_DIR = r"[/=](\d{4}[qQ][1-4])/"
 
 
 def read_tsv(spark: SparkSession, path: str, shape: T.StructType) -> DataFrame:
-    """Typed columns of `shape`, by header name; other columns are not parsed, blanks are NULL.
-
-    One header line is read to learn the order, so no schema inference pass runs.
-    """
-    first = spark.read.text(path).limit(1).first()
-    names = first["value"].split("\t") if first else shape.fieldNames()
-    known = {f.name: f.dataType for f in shape.fields}
-    full = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
-    df = spark.read.csv(path, sep="\t", header=True, schema=full, mode="PERMISSIVE")
-    return df.select(*[F.col(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in known.items()], "_metadata.file_path")
+    """Typed columns of `shape` by the header of each file, and `file_path`; blanks are NULL."""
+    return read_named(spark, files_of(spark, path), "\t", shape)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:

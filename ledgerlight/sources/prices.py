@@ -2,94 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.functions import dates as D
 from ledgerlight.functions.text import normalize_name, pad_cik
+from ledgerlight.sources.headers import files_of, read_named
 
 # fixed values: (date, close) header names of the two dialects, and exchange folder names
 DIALECTS = (("<DATE>", "<CLOSE>"), ("Date", "Close"))
 EXCHANGE_GLOBS = ("nasdaq_stock*", "nyse_stock*", "nysemkt_stock*")
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): the lines of all files below `path`."""
-    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+# exchange and ticker in a file's path: folder and name, or the two partition values of a written table
+BY_NAME = r"([^/]+)/([^/]+)\.(?:csv|txt)$"
+BY_PARTITION = r"exchange=([^/]+)/file=([^/]+)/[^/]+$"
 
 
-def _split(raw: DataFrame) -> DataFrame:
-    """Non-empty lines with their file, split into cells."""
-    stem = F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1)
-    return raw.filter(F.trim("value") != "").select("file", stem.alias("stem"), F.split(F.trim("value"), ",").alias("cells"))
+def _text(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _columns(lines: DataFrame, wanted: Sequence[Sequence[str]]) -> DataFrame:
-    """Per file the position of each wanted column, from whichever dialect its header shows.
-
-    One row per file; files without such a header drop out.
-    """
-    spots = [F.array(*[F.array_position("cells", name).cast("int") for name in names]) for names in wanted]
-    found = F.filter(F.array(*spots), lambda s: ~F.array_contains(s, 0))
-    heads = lines.select("file", F.try_element_at(found, F.lit(1)).alias("at")).filter(F.col("at").isNotNull())
-    return heads.groupBy("file").agg(F.min("at").alias("at"))
+def price_files(spark: SparkSession, path: str) -> list[str]:
+    """All `.csv` and `.txt` files below `path`."""
+    return files_of(spark, path, recursiveFileLookup="true", pathGlobFilter="*.{csv,txt}")
 
 
-def _cell(i: int) -> Column:
-    return F.try_element_at("cells", F.element_at("at", i))
+def _dialect(spark: SparkSession, files: list[str], date: str, close: str) -> DataFrame:
+    rows = read_named(spark, files, ",", _text(date, close), [date, close])
+    return rows.select("file_path", F.col(f"`{date}`").alias("day"), F.col(f"`{close}`").try_cast("double").alias("close_price"))
 
 
-def parse_price_lines(raw: DataFrame, upper: bool = False) -> DataFrame:
-    """(ticker, exchange, date, close_price) of price file lines (file, value).
+def read_price_files(spark: SparkSession, path: str, upper: bool = False, layout: str = BY_NAME) -> DataFrame:
+    """(ticker, exchange, date, close_price) of all price files below `path`, without a shuffle.
 
-    The ticker is the file's name, the exchange its folder. Names with `_` or `-` (preferred
-    shares) are skipped; unreadable dates become NULL; header lines hold no price.
+    Each dialect is one scan; ticker and exchange come from the path. Names with `_` or `-`
+    (preferred shares) are skipped before their files are opened; unreadable dates become NULL.
     """
-    lines = _split(raw).filter(F.col("file").rlike(r"\.(csv|txt)$") & ~F.col("stem").rlike("[_-]"))
-    rows = lines.join(_columns(lines, DIALECTS), "file").withColumn("close_price", _cell(2).try_cast("double")).filter("close_price is not null")
-    name = F.upper("stem") if upper else F.col("stem")
-    text = F.regexp_replace(_cell(1), "-", "")
+    files = [f for f in price_files(spark, path) if (m := re.search(layout, f)) and not re.search("[_-]", m[2])]
+    rows = reduce(DataFrame.unionByName, [_dialect(spark, files, *names) for names in DIALECTS]).filter("close_price is not null")
+    name = F.regexp_extract(F.url_decode("file_path"), layout, 2)
     return rows.select(
-        F.regexp_replace(name, r"\.US$", "").alias("ticker"),
-        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("exchange"),
-        D.parse_day(text).alias("date"),
+        F.regexp_replace(F.upper(name) if upper else name, r"\.US$", "").alias("ticker"),
+        F.regexp_extract(F.url_decode("file_path"), layout, 1).alias("exchange"),
+        D.parse_day(F.regexp_replace("day", "-", "")).alias("date"),
         "close_price",
     )
 
 
-def read_price_files(spark: SparkSession, path: str) -> DataFrame:
-    """Prices of all `.csv` and `.txt` files below `path`."""
-    return parse_price_lines(file_lines(spark, path))
-
-
 def read_exchanges(spark: SparkSession, base: str, entity: DataFrame) -> DataFrame:
     """Prices of all exchange folders, mapped to companies."""
-    return map_exchanges(file_lines(spark, f"{base}/{{{','.join(EXCHANGE_GLOBS)}}}"), entity)
+    return map_exchanges(read_price_files(spark, f"{base}/{{{','.join(EXCHANGE_GLOBS)}}}", upper=True), entity)
 
 
-def map_exchanges(raw: DataFrame, entity: DataFrame) -> DataFrame:
+def map_exchanges(prices: DataFrame, entity: DataFrame) -> DataFrame:
     """Upper-case tickers mapped to companies, unmapped dropped; `entity` has one row per ticker."""
-    prices = parse_price_lines(raw, upper=True).withColumn("exchange", normalize_name(F.col("exchange")))
+    named = prices.withColumn("exchange", normalize_name(F.col("exchange")))
     listed = entity.groupBy(F.upper("ticker").alias("ticker")).agg(F.max("cik").alias("cik"))
-    return prices.join(listed, "ticker")
+    return named.join(listed, "ticker")
 
 
-def read_price_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Prices of all `batch_*.csv` files below `path`."""
-    return parse_batch_lines(file_lines(spark, path))
-
-
-def parse_batch_lines(raw: DataFrame) -> DataFrame:
+def read_price_batches(spark: SparkSession, path: str, name: str = "batch_") -> DataFrame:
     """(cik, ticker, date, close_price) of batch files that have the four columns; dates in UTC.
 
-    Timestamps carry their own offset; the session runs in UTC.
+    Batch files carry `batch_` in their path. Timestamps carry their own offset; the session
+    runs in UTC.
     """
-    lines = _split(raw).filter(F.col("stem").startswith("batch_"))
-    rows = lines.join(_columns(lines, [("cik", "ticker", "Date", "Close")]), "file")
-    day = _cell(3).try_cast("timestamp").cast("date")
-    out = rows.select(_cell(1).try_cast("long").alias("cik"), _cell(2).alias("ticker"), day.alias("date"), _cell(4).try_cast("double").alias("close_price"))
+    wanted = ["cik", "ticker", "Date", "Close"]
+    files = [f for f in price_files(spark, path) if name in f]
+    rows = read_named(spark, files, ",", _text(*wanted), wanted)
+    out = rows.select(
+        F.col("cik").try_cast("long").alias("cik"), "ticker", F.col("Date").try_cast("timestamp").cast("date").alias("date"), F.col("Close").try_cast("double").alias("close_price")
+    )
     return out.filter("cik is not null and date is not null and close_price is not null")
 
 

@@ -11,11 +11,10 @@ RETURNS = ("price_return", "price_return_long_term")
 def write_features(df: DataFrame, path: str) -> None:
     """Feature rows partitioned by quarter; only the quarters at hand are replaced.
 
-    Rows are first brought together by quarter and company, so a quarter gets a bounded number
-    of files and one large quarter is still written by many tasks.
+    Rows are brought together by quarter; the rebalance splits a large quarter into as many tasks
+    and files as its bytes ask for (the advisory partition size), and joins small ones.
     """
-    spread = F.pmod(F.xxhash64("cik"), F.lit(64))
-    out = df.repartition(F.col("data_qtr"), spread)
+    out = df.hint("rebalance", "data_qtr")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_qtr").parquet(path)
 
 

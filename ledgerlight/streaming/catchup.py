@@ -8,27 +8,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.operators.ordered import keep_first
 from ledgerlight.schema import HISTORY_KEY
 from ledgerlight.session import table_path
 
 
+# state on local disk with changes in the checkpoint folder: its size is not bounded by memory
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
     """Parquet file stream of a folder's files that match `name`."""
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def new_filings(headers: DataFrame, known: DataFrame, time: str = "filed_at", delay: str = "30 days") -> DataFrame:
-    """Headers not in `known`, each accession once; state is dropped after the delay.
+def store_new_filings(headers: DataFrame, known: str, path: str, key: str = "adsh") -> DataFrame:
+    """Run a header stream over everything available; each filing not known is stored once.
 
-    The known table is joined as the static side, read again by every micro-batch.
+    Nothing is dropped for being late. Every micro-batch reads the table at `known` again, takes
+    one row per filing (the smallest) and leaves out what is known or was stored by an earlier
+    batch. A batch that is run again replaces its own folder. A later run with the same `path`
+    goes on where the last one ended. Returns all rows stored so far.
     """
-    once = headers.withWatermark(time, delay).dropDuplicatesWithinWatermark(["adsh"])
-    seen = known.select("adsh").distinct().withColumn("_known", F.lit(True))
-    return once.join(seen, "adsh", "left").filter(F.col("_known").isNull()).drop("_known")
+    spark = headers.sparkSession
+    rest = [c for c in headers.columns if c != key]
+    rows = T.StructType([*headers.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], headers.schema).write.mode("ignore").parquet(f"{path}/rows/batch=-1")
+
+    def stored() -> DataFrame:
+        return spark.read.schema(rows).parquet(f"{path}/rows")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        once = keep_first(batch, [key], [F.col(c) for c in rest])
+        seen = spark.read.parquet(known).select(key).union(stored().filter(F.col("batch") < batch_id).select(key))
+        once.join(seen, key, "left_anti").select(*headers.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    query = headers.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    return stored().drop("batch")
 
 
 def latest_facts(facts: DataFrame, keys: Sequence[str] = HISTORY_KEY) -> DataFrame:
-    """Newest fact of each item so far; a late older fact does not overwrite (update mode)."""
+    """Newest fact of each item so far; a late older fact does not overwrite (update mode).
+
+    Every item stays in the state, so run it with a state store on disk, as `drain` does.
+    """
     newest = F.max(F.struct("ddate", "value"))
     g = facts.groupBy(*keys).agg(newest.alias("_m"))
     return g.select(*keys, F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
@@ -57,7 +82,12 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode)
-    query = writer.foreachBatch(append).start()
+    before = spark.conf.get(STORE_CONF)
+    spark.conf.set(STORE_CONF, STORE)  # read when the query starts
+    try:
+        query = writer.foreachBatch(append).start()
+    finally:
+        spark.conf.set(STORE_CONF, before)
     query.awaitTermination()
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.schema(stored).parquet(f"{path}/rows")

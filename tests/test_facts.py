@@ -165,3 +165,17 @@ def test_quarter_rounding(spark):
         near = min(C.QUARTER_DAYS_FINE, key=lambda x: abs(x - d))
         assert r["a"] == a and r["b"] == (near if d > 0 and abs(near - d) <= 15 else d)
         assert r["q"] == C.QUARTER_DAYS.get(a)
+
+
+def test_one_build_equals_quarterly_builds(spark, tmp_path):
+    from ledgerlight.plans.features import build_features, store_new_quarters
+
+    cols = "cik long, tag string, ddate int, qtrs int, period int, form string, segments string, value double, uom string, custom_tag int, data_qtr string"
+    rows = [(1, "A", 20240331, 0, 20240331, "10-Q", None, 5.0, "USD", 0, "2024q1"), (1, "A", 20240331, 0, 20240331, "10-Q", None, 9.0, "USD", 0, "2024q2"), (2, "A", 20240331, 0, 20240331, "10-Q", None, 4.0, "USD", 0, "2024q2")]
+    df = spark.createDataFrame(rows, cols)
+    key = lambda d: sorted((r["cik"], r["data_qtr"], r["A_0qtrs_current"]) for r in d.collect())
+    want = [(1, "2024q1", 5.0), (1, "2024q2", 9.0), (2, "2024q2", 4.0)]
+    assert key(build_features(df, ["A"])) == want
+    assert key(store_new_quarters(df, str(tmp_path / "one"), ["A"])) == want
+    store_new_quarters(df.filter("data_qtr = '2024q1'"), str(tmp_path / "two"), ["A"])
+    assert key(store_new_quarters(df, str(tmp_path / "two"), ["A"])) == want

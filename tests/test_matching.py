@@ -1,6 +1,5 @@
 """Names, tag matching and pipeline comparison."""
 
-from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,12 +35,6 @@ def test_feature_names(spark):
     assert got == [("A_b", 1, "current"), ("ROE", 1, "augment"), ("X", 0, "change_q4"), ("GrossMargin", None, "augment")]
 
 
-def test_library_ratio(spark):
-    df = spark.createDataFrame([("Revenues", "RevenueNet"), ("", "")], "a string, b string")
-    got = [r["s"] for r in df.select(S.sequence_similarity(F.col("a"), F.col("b")).alias("s")).collect()]
-    assert got == pytest.approx([SequenceMatcher(None, "revenues", "revenuenet").ratio(), 1.0])
-
-
 def test_matches_prefer_exact_words(spark):
     tags = spark.createDataFrame([("AssetsCurrent",), ("CurrentAssets",), ("Assets",), ("Goodwill",)], "tag string")
     out = match.tag_matches(tags, ["AssetsCurrent"], 0.7).orderBy("match_rank").collect()
@@ -61,7 +54,7 @@ def test_pair_comparison(spark):
     pairs = reconcile.overlapping_reports(batch, catch)
     r = reconcile.compare_pairs(batch, catch, pairs, ["a", "b", "c", "d"]).first()
     assert (r["period_delta_days"], r["n_both_present"], r["n_value_close"], r["n_disagree"], r["n_one_nan"], r["n_both_nan"]) == (2, 2, 1, 1, 1, 1)
-    assert r["match_rate_present"] == 0.5 and r["sample_disagreements"] == "b"
+    assert r["match_rate_present"] == 0.5 and r["disagreements"] == "b"
 
 
 def test_catchup_actions(spark):

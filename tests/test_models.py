@@ -59,14 +59,29 @@ def test_walk_forward_trains_on_the_past_only(data):
     assert out.count() == data.filter("year_month in (3, 5)").count()
 
 
-def test_new_filings_come_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00"), ("a", "2024-01-01 00:00:00")], "adsh string, t string")
-    head = rows.select("adsh", F.to_timestamp("t").alias("filed_at"))
-    for i in range(2):
-        head.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    known = spark.createDataFrame([("b",)], "adsh string")
-    stream = catchup.read_stream(spark, str(tmp_path / "in"), "*.parquet", head.schema, 1)
-    assert [r["adsh"] for r in catchup.drain(catchup.new_filings(stream, known), "t").collect()] == ["a"]
+def test_new_filings_come_once_and_none_is_lost(spark, tmp_path):
+    places = {n: str(tmp_path / n) for n in ("in", "known", "out")}
+
+    def file(*rows):
+        spark.createDataFrame(rows, "adsh string, t string").select("adsh", F.to_timestamp("t").alias("filed_at")).coalesce(1).write.mode("append").parquet(places["in"])
+
+    def know(*names):
+        spark.createDataFrame([(n,) for n in names], "adsh string").write.mode("append").parquet(places["known"])
+
+    def run():
+        schema = spark.read.parquet(places["in"]).schema
+        stream = catchup.read_stream(spark, places["in"], "*.parquet", schema, 1)
+        return sorted(r["adsh"] for r in catchup.store_new_filings(stream, places["known"], places["out"]).collect())
+
+    know("b")
+    file(("a", "2024-06-30 00:00:00"), ("b", "2024-06-30 00:00:00"))
+    file(("c", "2024-06-29 00:00:00"), ("a", "2024-06-30 00:00:00"))
+    file(("d", "2024-01-05 00:00:00"))
+    assert run() == ["a", "c", "d"]
+    # a repeat in a later run stays out, and so does a filing that became known meanwhile
+    know("e")
+    file(("d", "2024-01-05 00:00:00"), ("e", "2024-07-01 00:00:00"), ("f", "2020-01-01 00:00:00"))
+    assert run() == ["a", "c", "d", "f"]
 
 
 def test_late_older_facts_do_not_overwrite(spark, tmp_path):

@@ -107,8 +107,11 @@ def test_auc_counts_ties_half(spark):
 def test_contrastive_batches_match_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), int(i % 3), [float(x) for x in rng.normal(size=4)]) for i in range(25)]
-    out = evaluate.contrastive_separation(spark.createDataFrame(rows, "id long, y int, v array<double>"), "id", "v", "y", batch=10)
-    got = {r["id"]: (r["batch"], r["loss"]) for r in out.collect()}
+    df = spark.createDataFrame([(*r, r[0] // 10) for r in rows], "id long, y int, v array<double>, part int")
+    out = evaluate.contrastive_separation(df, "id", "v", "y", "part")
+    means = {r["part"]: (r["loss"], r["anchors"]) for r in evaluate.contrastive_loss(out, "part").collect()}
+    assert means[None][1] == 25 and means[2][1] == 5 and means[0][0] == pytest.approx(np.mean([r["loss"] for r in out.collect() if r["part"] == 0]))
+    got = {r["id"]: (r["part"], r["loss"]) for r in out.collect()}
     unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
     for i, y, _ in rows:
         mates = [(j, k) for j, k, _ in rows if j // 10 == i // 10 and j != i]

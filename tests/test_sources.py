@@ -143,3 +143,16 @@ def test_bundle_shape(spark):
     bulk = companyfacts.to_bulk(flat)
     assert bulk.columns == companyfacts.BULK_COLUMNS
     assert {(r["ddate"], r["qtrs"]) for r in bulk.filter(F.col("adsh") == "n").collect()} == {(20240331, 1), (20230331, 0)}
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    for q, text in (
+        ("2009q4", "adsh\ttag\tversion\tddate\tqtrs\tuom\tvalue\n1\tA\tv\t20091231\t0\tUSD\t5.0\n"),
+        ("2010q1", "value\tsegments\tadsh\ttag\tversion\tuom\tqtrs\tddate\textra\n7.5\tX=1\t2\tB\tv\tUSD\t1\t20100331\tz\n"),
+        ("2010q2", ""),
+    ):
+        (tmp_path / q).mkdir()
+        (tmp_path / q / "num.txt").write_text(text)
+    got = {r["adsh"]: r for r in filings.read_facts(spark, str(tmp_path / "*" / "num.txt")).collect()}
+    assert (got["1"]["ddate"], got["1"]["qtrs"], got["1"]["uom"], got["1"]["value"], got["1"]["segments"]) == (20091231, 0, "USD", 5.0, None)
+    assert (got["2"]["ddate"], got["2"]["qtrs"], got["2"]["uom"], got["2"]["value"], got["2"]["segments"]) == (20100331, 1, "USD", 7.5, "X=1")
