@@ -104,8 +104,8 @@ def quarter_label(date: Column) -> Column:
 
 
 def label_end_month(label: Column) -> Column:
-    """Month index of the last month of a quarter label."""
-    return F.substring(label, 1, 4).cast("int") * 12 + F.substring(label, 6, 1).cast("int") * 3 - 1
+    """Month index of the last month of a quarter label; NULL for labels like 'catchup'."""
+    return F.substring(label, 1, 4).try_cast("int") * 12 + F.substring(label, 6, 1).try_cast("int") * 3 - 1
 
 
 def quarter_end_int(date: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
@@ -181,8 +181,8 @@ def impute_constant(train: DataFrame, test: DataFrame, features: Sequence[str],
 
 
 def quarter_split(df: DataFrame, cutoff_month: int, label: str = "data_qtr"):
-    """Quarters ending up to the cutoff month, and the rest."""
-    ended = D.label_end_month(F.col(label)) <= cutoff_month
+    """Quarters ending up to the cutoff month, and the rest; 'catchup' rows are newer than any quarter."""
+    ended = F.coalesce(D.label_end_month(F.col(label)) <= cutoff_month, F.lit(False))
     return df.filter(ended), df.filter(~ended)
 
 
@@ -222,15 +222,15 @@ def split_by_value(df: DataFrame, train_share: float, by: str, order: str = "bot
     values and both sides are plain filters. NULL goes to validation.
     """
     value = F.col(by)
-    keyed = {"bottom": [value.asc()], "top": [value.desc()], "random": [F.xxhash64(value, F.lit(seed)).asc(), value.asc()]}
+    keyed = {"bottom": [value.asc()], "top": [value.desc()], "random": [_spot([by], seed).asc(), value.asc()]}
     if order not in keyed:
         raise ValueError(f"unknown order {order}")
     total = df.count()
     counts = df.filter(value.isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
     fits = running(counts, [], keyed[order], {"_cum": F.col("_n")}).filter(F.col("_cum") <= int(total * train_share))
     if order == "random":
-        last = fits.agg(F.max(F.struct(F.xxhash64(value, F.lit(seed)).alias("h"), value.alias("v"))).alias("m")).first()["m"]
-        here = F.struct(F.xxhash64(value, F.lit(seed)).alias("h"), value.alias("v"))
+        here = F.struct(_spot([by], seed).alias("h"), value.alias("v"))
+        last = fits.agg(F.max(here).alias("m")).first()["m"]
         edge = None if last is None else F.struct(F.lit(last["h"]).alias("h"), F.lit(last["v"]).alias("v"))
         inside = F.lit(False) if edge is None else here <= edge
     else:
@@ -249,9 +249,15 @@ def split_by_columns(df: DataFrame, train_share: float, rules: dict[str, str] |
     return train, rest
 
 
+def _spot(keys: Sequence[str], seed: int) -> Column:
+    """A number in [0, 1) from the keys: 32 bits of an MD5, which any engine can repeat."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
 def hash_split(df: DataFrame, keys: Sequence[str], shares: Sequence[float], seed: int = 42) -> list[DataFrame]:
     """Reproducible split: equal keys land together, whatever the partitioning."""
-    spot = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    spot = _spot(keys, seed)
     edges, low = [], 0.0
     for i, share in enumerate(shares):
         high = 1.0 if i == len(shares) - 1 else low + share

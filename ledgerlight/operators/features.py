@@ -300,6 +300,23 @@ def substitute_metrics(
     return present, usable
 
 
+def metric_substitutes(available: DataFrame, mapping: Mapping[str, str], metrics: Sequence[str] = C.KEY_METRICS) -> DataFrame:
+    """(metric, tag): each configured metric with the tag that stands for it, NULL where none is used."""
+    spark = available.sparkSession
+    listed = spark.createDataFrame([(m, t, i) for m in metrics for i, t in enumerate((m, mapping.get(m))) if t], "metric string, tag string, choice int")
+    have = available.select("tag").join(F.broadcast(listed.select("tag").distinct()), "tag", "left_semi").distinct()
+    best = listed.join(have.withColumn("_have", F.lit(1)), "tag", "left").filter("_have = 1").groupBy("metric").agg(F.min_by("tag", "choice").alias("tag"))
+    return listed.select("metric").distinct().join(best, "metric", "left")
+
+
+def usable_ratios(substitutes: DataFrame, ratios: Sequence[C.Ratio] = C.RATIOS) -> DataFrame:
+    """(ratio,) whose tags all have a metric in use."""
+    spark = substitutes.sparkSession
+    needs = spark.createDataFrame([(r.name, t) for r in ratios for t in sorted(set(r.tags))], "ratio string, metric string")
+    kept = needs.join(substitutes, "metric", "left").groupBy("ratio").agg(F.count("*").alias("n"), F.count("tag").alias("k"))
+    return kept.filter("n = k").select("ratio")
+
+
 def tag_coverage(available: DataFrame, metrics: Sequence[str] = C.KEY_METRICS, ratios: Sequence[C.Ratio] = C.RATIOS) -> DataFrame:
     """Per configured tag: tracked, used by a ratio, companies reporting it."""
     used = {t for r in ratios for t in r.tags}

@@ -25,11 +25,10 @@ CLASSES = ("bad", "mediocre", "good")
 # fixed values: parameters of the two classifiers and the regressors
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, "seed": 42}
 BOOSTED = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42}
-CLASSIFIERS = {"rf": (RandomForestClassifier, FOREST), "xgb": (GBTClassifier, BOOSTED)}
+CLASSIFIERS = {"rf": (RandomForestClassifier, FOREST), "boosted": (GBTClassifier, BOOSTED)}
 REGRESSORS = {
-    "xgboost": (GBTRegressor, {**BOOSTED, "subsamplingRate": 0.8}),
+    "boosted_sampled": (GBTRegressor, {**BOOSTED, "subsamplingRate": 0.8}),
     "random_forest": (RandomForestRegressor, FOREST),
-    "lightgbm": (GBTRegressor, {**BOOSTED, "subsamplingRate": 0.8}),
     "gradient_boosting": (GBTRegressor, BOOSTED),
 }
 
@@ -92,7 +91,7 @@ def classify(train: DataFrame, test: DataFrame, features: Sequence[str], label:
 def model_grid(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "trend_up_or_down", target: str = "price_return",
     selections: Iterable[str] = ("completeness", "current", "change", "all"), imputations: Iterable[str] = ("none", "median"),
-    models: Iterable[str] = ("rf", "xgb"), params: dict | None = None,
+    models: Iterable[str] = ("rf", "boosted"), params: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(one row per configuration with its metrics, importances of the best by ROC area).
 
@@ -124,7 +123,7 @@ def model_grid(
     return table, best[1]
 
 
-def regress(train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "price_return", model: str = "xgboost", **params):
+def regress(train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "price_return", model: str = "boosted_sampled", **params):
     """(test rows with y_pred, fitted model). Features must be filled."""
     known = train.filter(F.col(target).isNotNull())
     fitted = _estimator(REGRESSORS, model, target, params).fit(_vectors(known, features))
@@ -178,7 +177,7 @@ def three_class_report(scored: DataFrame, label: str = "class", trend: str = "tr
 
 
 def lag_regression(
-    aligned: DataFrame, features: Sequence[str], target: str, cutoff: str, lags: Sequence[int] = C.LAGS, model: str = "xgboost",
+    aligned: DataFrame, features: Sequence[str], target: str, cutoff: str, lags: Sequence[int] = C.LAGS, model: str = "boosted_sampled",
     keys: Sequence[str] = ("cik",), order: Sequence[str] = ("month_end_date",), **params,
 ) -> DataFrame:
     """Regression on features and their lags, split by date; test rows with y_pred."""
@@ -199,7 +198,7 @@ def binary_scorer(features: Sequence[str], label: str = "trend_up_or_down", mode
     return score
 
 
-def regression_scorer(features: Sequence[str], target: str = "price_return", model: str = "xgboost", **params) -> Callable:
+def regression_scorer(features: Sequence[str], target: str = "price_return", model: str = "boosted_sampled", **params) -> Callable:
     """Scorer for back-tests: predicted return placed in the range of the train returns."""
 
     def score(train: DataFrame, test: DataFrame) -> DataFrame:

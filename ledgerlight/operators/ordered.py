@@ -81,26 +81,50 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+#: Rank accuracy of the sketch that brackets a quantile, and the bracket's half width in ranks (of n).
+SKETCH = 10_000
+HALF = 4 / SKETCH
+#: Groups up to this size are bracketed by nothing: so few ranks either side would not hold the neighbours.
+WHOLE = 20_000
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one output column per entry of `probs`.
 
-    Equal values are counted before the shuffle, and the sorted counts are split over blocks,
-    so one group of any size never meets in one task. Adds `n`, the non-null count.
+    A sketch gives a bracket around every quantile; a second pass counts the values below each
+    bracket and, value by value, those inside it, which are under a thousandth of the rows of a
+    large group. Only these counts are shuffled and sorted. Adds `n`, the non-null count.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running(counts, keys, [F.col(value)], {"_cum": F.col("_n")}, totals={"_cum": "_total"})
-    aggs = [F.first("_total").alias("n")]
-    for name, p in probs.items():
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        aggs.append(F.min(F.when(F.col("_cum") > F.floor(pos), F.col(value))).alias(f"_lo_{name}"))
-        aggs.append(F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(value))).alias(f"_hi_{name}"))
-    grouped = ranked.groupBy(*keys).agg(*aggs)
+    known = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    edges = [q for p in probs.values() for q in (max(0.0, p - HALF), min(1.0, p + HALF))]
+    sketch = F.percentile_approx("_v", [float(q) for q in edges], SKETCH)
+    large = F.col("n") > WHOLE
+    at = F.array(*[
+        F.struct(F.lit(i).alias("q"), F.when(large, F.col("_e")[2 * i]).alias("lo"), F.when(large, F.col("_e")[2 * i + 1]).alias("hi")) for i in range(len(probs))
+    ])
+    brackets = known.groupBy(*keys).agg(F.count("*").alias("n"), sketch.alias("_e")).withColumn("_q", at)
+    group = F.struct(*keys) if keys else F.lit(0)
+    # one struct as the key: NULL keys meet as well
+    joined = known.withColumn("_g", group).join(brackets.select(group.alias("_g"), "n", "_q"), "_g")
+    near = joined.select("_g", "n", "_v", F.explode("_q").alias("_b")).filter(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
+    inside = F.when(F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo")), F.col("_v"))
+    counts = near.groupBy("_g", "n", F.col("_b.q").alias("q"), inside.alias("_v")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("_g", "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_cum", F.sum("_n").over(order))
+    aggs = [F.first("n").alias("n")]
+    for i, (name, p) in enumerate(probs.items()):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        here = (F.col("q") == i) & F.col("_v").isNotNull()
+        aggs.append(F.min(F.when(here & (F.col("_cum") > F.floor(pos)), F.col("_v"))).alias(f"_lo_{name}"))
+        aggs.append(F.min(F.when(here & (F.col("_cum") > F.ceil(pos)), F.col("_v"))).alias(f"_hi_{name}"))
+    grouped = ranked.groupBy("_g").agg(*aggs)
     out = []
     for name, p in probs.items():
         pos = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return grouped.select(*keys, "n", *out)
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        out.append(F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return grouped.select(*[F.col("_g")[k].alias(k) for k in keys], "n", *out)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
-from ledgerlight.operators.ordered import global_row_number, top_rows
+from ledgerlight.operators.ordered import exact_quantiles, global_row_number, top_rows
 
 SCORE_ORDER = ("y_pred_proba", "cik", "ticker")
 
@@ -96,6 +96,11 @@ def strategy_average(picks: DataFrame) -> DataFrame:
     )
 
 
+def score_quartiles(picks: DataFrame) -> DataFrame:
+    """Exact quartiles of the scores per strategy."""
+    return exact_quantiles(picks, ["strategy_name"], "y_pred_proba", {"q1_score": 0.25, "median_score": 0.5, "q3_score": 0.75}).drop("n")
+
+
 def long_term_returns(picks: DataFrame, trends: DataFrame) -> DataFrame:
     """Picks with their longer-horizon return; matched on the ticker too when both carry it."""
     on = ["cik", "year_month"] + (["ticker"] if "ticker" in picks.columns and "ticker" in trends.columns else [])
@@ -108,6 +113,7 @@ def finalize(picks: DataFrame, trends: DataFrame) -> DataFrame:
     long = long_term_returns(picks, trends).groupBy("strategy_name").agg(
         F.count("*").alias("with_long_term"), F.avg("price_return_long_term").alias("mean_long_return")
     )
+    short = short.join(score_quartiles(picks), "strategy_name", "left")
     return short.join(long, "strategy_name", "left").withColumn("with_long_term", F.coalesce("with_long_term", F.lit(0)))
 
 

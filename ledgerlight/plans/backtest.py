@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight import config as C
 from ledgerlight.operators import portfolio, selection
@@ -15,27 +17,46 @@ from ledgerlight.session import durable, table_path
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def _store_month(scores: DataFrame, path: str) -> None:
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(path)
+
+
+def _months_at(spark: SparkSession, path: str) -> dict[int, T.StructType]:
+    """Months stored at a path (one small row each) with the table's columns."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return {}
+    return {r["year_month"]: df.schema for r in df.select("year_month").distinct().collect()}
+
+
 def walk_forward(
     data: DataFrame, months: Sequence[int], scorer: Scorer, keep: Sequence[str] = ("year_month", "cik", "period", "ticker", "price_return"),
-    min_train: int = 1,
+    min_train: int = 1, path: str | None = None,
 ) -> DataFrame:
     """Score each month with a model trained on the months before it.
 
     Fits follow each other on the driver; each fit and score is a distributed job. The
-    dataset is checkpointed once; every month's scores are appended to a table partitioned by
-    month in the shared folder, so a lost executor or a restart costs one month at most.
+    dataset is checkpointed once; a month's scores replace its partition of the table at `path`
+    (a new one in the shared folder unless named). Months that are there already are not scored
+    again, so a restart with the same path costs one month at most.
     """
     data = durable(data)
     # rows per month: one small row for each month of the calendar
     size = {r["year_month"]: r["n"] for r in data.groupBy("year_month").agg(F.count("*").alias("n")).collect()}
-    path = table_path(data.sparkSession, "scores")
-    schema = None
+    path = path or table_path(data.sparkSession, "scores")
+    schema, have = None, _months_at(data.sparkSession, path)
     for month in months:
+        if month in have:
+            schema = have[month]
+            continue
         if size.get(month, 0) == 0 or sum(n for m, n in size.items() if m < month) < min_train:
             continue
         scored = scorer(data.filter(F.col("year_month") < month), data.filter(F.col("year_month") == month))
         out = scored.select(*[c for c in keep if c in scored.columns], "y_pred_proba")
-        out.write.mode("append").partitionBy("year_month").parquet(path)
+        _store_month(out, path)
         schema = out.schema
     if schema is None:
         raise ValueError("no month could be scored")
@@ -54,9 +75,12 @@ def monthly_rebuild(
 
     month_of = D.month_index(D.parse_day(F.col("period")))
     features, trends = durable(features), durable(trends)
-    path = table_path(features.sparkSession, "scores")
-    schema = None
+    path = path or table_path(features.sparkSession, "scores")
+    schema, have = None, _months_at(features.sparkSession, path)
     for month in months:
+        if month in have:
+            schema = have[month]
+            continue
         before = features.filter(month_of < month)
         train = durable(assemble(before, trends.filter(F.col("year_month") < month), **assembly))
         test = durable(assemble(features.filter(month_of == month), trends.filter(F.col("year_month") == month), history=before, **assembly))
@@ -64,7 +88,7 @@ def monthly_rebuild(
             continue
         out = scorer(train, test)
         out = out.select(*[c for c in ("year_month", "cik", "period", "ticker", "price_return") if c in out.columns], "y_pred_proba")
-        out.write.mode("append").partitionBy("year_month").parquet(path)
+        _store_month(out, path)
         schema = out.schema
     if schema is None:
         raise ValueError("no month could be scored")

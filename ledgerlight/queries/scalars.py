@@ -261,10 +261,11 @@ _MISSING = ("Revenues", "InventoryNet")
 def x28(spark, sf):
     t = X.metric_facts(spark, sf).filter(~F.col("tag").isin(*_MISSING))
     mapping = {"Revenues": "RevenueFromContractWithCustomerExcludingAssessedTax"}
-    present, usable = features.substitute_metrics(t, mapping)
-    rows = [("metric", m) for m in dict.fromkeys(present)] + [("ratio", r.name) for r in usable]
-    rows += [("substitute", m) for m in mapping.values() if present.count(m) > 1]
-    return spark.createDataFrame(rows, "kind string, name string")
+    found = features.metric_substitutes(t, mapping)
+    metric = found.filter("tag is not null").select(F.lit("metric").alias("kind"), F.col("tag").alias("name")).distinct()
+    ratio = features.usable_ratios(found).select(F.lit("ratio").alias("kind"), F.col("ratio").alias("name"))
+    twice = found.filter("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1")
+    return metric.union(ratio).union(twice.select(F.lit("substitute"), "tag"))
 
 
 _TRACKED = [m for m in C.KEY_METRICS if m != "InventoryNet"] + ["Goodwill"]

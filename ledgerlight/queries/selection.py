@@ -79,10 +79,11 @@ def k09(spark, sf):
 
 
 @query("m19", "scores score_prices", f""", {STRATEGY_SQL}, {_STR}, s as (select strategy_name, count(*) as picks, avg(price_return) as mean_return, avg(y_pred_proba) as mean_score, stddev_samp(y_pred_proba) as std_score,
-    min(y_pred_proba) as min_score, max(y_pred_proba) as max_score from picks group by 1),
+    min(y_pred_proba) as min_score, max(y_pred_proba) as max_score, quantile_cont(y_pred_proba, 0.25) as q1_score, quantile_cont(y_pred_proba, 0.5) as median_score,
+    quantile_cont(y_pred_proba, 0.75) as q3_score from picks group by 1),
   l as (select strategy_name, count(*) as with_long_term, avg(st.price_return) as mean_long_return from picks p join st on p.cik = st.cik and p.year_month = st.year_month group by 1)
   select s.strategy_name, picks, round(mean_return, 6) as mean_return, round(mean_score, 6) as mean_score, round(std_score, 6) as std_score, round(min_score, 6) as min_score, round(max_score, 6) as max_score,
-  coalesce(with_long_term, 0) as with_long_term, round(mean_long_return, 6) as mean_long_return from s left join l using (strategy_name)""")
+  round(q1_score, 6) as q1_score, round(median_score, 6) as median_score, round(q3_score, 6) as q3_score, coalesce(with_long_term, 0) as with_long_term, round(mean_long_return, 6) as mean_long_return from s left join l using (strategy_name)""")
 def m19(spark, sf):
     return rounded(selection.finalize(selection.pick_all(X.scores(spark, sf)), _score_trends(spark, sf)))
 

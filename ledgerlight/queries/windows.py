@@ -189,7 +189,9 @@ def w14_top(spark, sf):
     return _split(spark, sf, "top")
 
 
-@query("w14_random")
+@query("w14_random", "features_wide", """, vc as (select period, count(*) as n, ('0x' || md5(cast(period as varchar) || '|42')[1:8])::bigint as h from features_wide group by period),
+  cs as (select period, sum(n) over (order by h, period) as cum from vc), tr as (select period from cs where cum <= floor((select count(*) from features_wide) * 0.7))
+  select period in (select period from tr) as train, count(*) as n, count(distinct period) as periods from features_wide group by 1""")
 def w14_random(spark, sf):
     return _split(spark, sf, "random").groupBy("train").agg(F.count("*").alias("n"), F.count_distinct("period").alias("periods"))
 

@@ -118,3 +118,14 @@ def test_contrastive_batches_match_brute_force(spark):
         e = {j: np.exp(unit[i] @ unit[j] / 0.1) for j, _ in mates}
         want = -np.log(sum(e[j] for j, k in mates if k == y) / (sum(e.values()) + 1e-8) + 1e-8)
         assert got[i][0] == i // 10 and got[i][1] == pytest.approx(want, rel=1e-6)
+
+
+def test_exact_quantiles_of_large_groups_use_brackets(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=30_000), np.full(9_000, 0.25), rng.integers(0, 5, size=11_000)])
+    df = spark.createDataFrame([(None if i % 2 else 1, float(v)) for i, v in enumerate(values)] + [(1, None)], "g int, x double")
+    got = {r["g"]: r for r in ordered.exact_quantiles(df, ["g"], "x", {"a": 0.01, "b": 0.5, "c": 0.999, "d": 1.0}).collect()}
+    for g, part in ((1, values[::2]), (None, values[1::2])):
+        assert got[g]["n"] == len(part)
+        for name, p in (("a", 0.01), ("b", 0.5), ("c", 0.999), ("d", 1.0)):
+            assert got[g][name] == pytest.approx(np.quantile(part, p), abs=1e-12)
