@@ -64,7 +64,7 @@ def walk_forward(
 
 
 def monthly_rebuild(
-    features: DataFrame, trends: DataFrame, months: Sequence[int], scorer: Scorer, min_train: int = C.MIN_TRAIN_ROWS, **assembly
+    features: DataFrame, trends: DataFrame, months: Sequence[int], scorer: Scorer, min_train: int = C.MIN_TRAIN_ROWS, path: str | None = None, **assembly
 ) -> DataFrame:
     """Walk forward with datasets rebuilt per month.
 
