@@ -74,4 +74,21 @@ def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_line_crf": op1_line_crf, "op2_maxplus_pieces": op2_maxplus_pieces, "op5_surrogates": op5_surrogates, "op6_simhash_bktree": op6_simhash_bktree, "op7_benchmark_windows": op7_benchmark_windows, "op9_license_windows": op9_license_windows, "op10_language_mixture": op10_language_mixture}
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# the others need hashes, training or paths that SQL does not have: tests compare them with brute force
+ORACLES = {
+    "op7_benchmark_windows": f"""
+with b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+bw as (select distinct item, size, array_to_string(w[i:i + size - 1], ' ') as win
+  from (select item, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+d as (select doc_id, {_WORDS} as w from documents),
+dw as (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from bw))),
+hit as (select doc_id, i, size, item from dw join bw using (size, win)),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from hit) group by doc_id),
+it as (select doc_id, count(distinct item) as n_items, sha256(string_agg(distinct item, ',' order by item)) as items_sha256 from hit group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join it using (doc_id)
+""",
+}
