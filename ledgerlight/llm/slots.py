@@ -43,12 +43,8 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def divided(records: DataFrame) -> DataFrame:
     """`part` set to 0 in all but the wide slots (at most 2 * WIDE of them, so they are broadcast)."""
     per_slot = records.groupBy("virtual_slot").agg(F.sum("size").alias("_b"), F.count("*").alias("_n"))
-    total = per_slot.agg(F.sum("_b").alias("_tb"), F.sum("_n").alias("_tn"))
-    wide = (
-        per_slot.crossJoin(F.broadcast(total))  # one row of totals
-        .filter((F.col("_b") * WIDE > F.col("_tb")) | (F.col("_n") * WIDE > F.col("_tn")))
-        .select("virtual_slot", F.lit(True).alias("_wide"))
-    )
+    total, count = per_slot.agg(F.sum("_b")).scalar(), per_slot.agg(F.sum("_n")).scalar()
+    wide = per_slot.filter((F.col("_b") * WIDE > total) | (F.col("_n") * WIDE > count)).select("virtual_slot", F.lit(True).alias("_wide"))
     return (
         records.join(F.broadcast(wide), "virtual_slot", "left")
         .withColumn("part", F.when(F.col("_wide"), F.col("part")).otherwise(F.lit(0)))

@@ -259,9 +259,3 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pieces = F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
     changed = joined.withColumn(text, F.array_join(pieces, "")).drop(digest, at, parts)
     return clean.unionByName(changed.select(*[F.col(f"`{c}`") for c in docs.columns]))
-
-
-def count_mentions(docs: DataFrame, text: str = "text") -> Column:
-    """Number of matches of each type in a text, as a struct of long columns."""
-    kinds = F.transform(mentions(F.col(f"`{text}`")), kind)
-    return F.struct(*[F.size(F.filter(kinds, lambda k, n=n: k == n)).cast("long").alias(n) for n in PATTERNS])
