@@ -85,11 +85,15 @@ def m02_importance(spark, sf):
     return found.crossJoin(found.agg(F.count_distinct("rank").alias("ranks"))).select("feature", _inside("importance").alias("inside"), "ranks")
 
 
-@query("m03")
+_GRID = [f"{s}_{i}_{m}" for s in ("completeness", "current", "change", "all") for i in ("none", "median") for m in ("rf", "boosted")]
+
+
+@query("m03", sql="with t(approach) as (values " + ", ".join(f"('{a}')" for a in _GRID) + ") select approach, true as inside from t")
 def m03(spark, sf):
+    """All selections, imputations and models."""
     train, test = _split(spark, sf)
-    table, _ = models.model_grid(train, test, clean.suffix_columns(train.columns, ["_augment", "_current"]), selections=("current", "all"), params=SMALL)
-    return table
+    table, _ = models.model_grid(train, test, clean.feature_columns(train), params=SMALL)
+    return table.select("approach", _inside("accuracy", "precision", "recall", "roc_auc").alias("inside"))
 
 
 @query("m04", _CTES, f"{_D}, t(model) as (values " + ", ".join(f"('{m}')" for m in models.REGRESSORS) + ") select model, count(*) as n, true as sane from test, t group by model")
