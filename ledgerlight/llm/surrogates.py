@@ -44,17 +44,24 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TITLE = "|".join((*TITLES_F, *TITLES_M))
 # what may stand between the groups of a number
 _GAP = r"[^\p{L}\p{N}(+]{0,8}"
+#: Every pattern begins with what a rare first character rules out, so most positions cost one test.
 PATTERNS = {
-    "secret": r"(?<==[ ]{0,3}\")[0-9A-Za-z+/_-]{16,}(?=\")",
+    "secret": r"=[^\p{L}\p{N}\"]{0,8}\"[0-9A-Za-z+/_-]{16,}\"",
+    "number": (
+        r"(?=[+0-9])(?:"
+        rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"
+        rf"|\+[0-9]{{1,3}}{_GAP}\([0-9]{{2,4}}\){_GAP}[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])"
+        r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+        r"|(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
+        r")"
+    ),
+    "account": r"(?=[A-Z]{2}[0-9]{2})(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?![\p{L}\p{N}])",
+    "name": rf"(?=[FHMSГ])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "phone": rf"\+[0-9]{{1,3}}{_GAP}\([0-9]{{2,4}}\){_GAP}[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "account": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match needs; texts without it are not searched any further.
+HINT = rf"[0-9@=]|(?=[FHMSГ])(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def mentions(text: Column) -> Column:
@@ -65,17 +72,22 @@ def mentions(text: Column) -> Column:
 def kind(m: Column) -> Column:
     """Type of a match. The order settles what could be read as two types."""
     return (
-        F.when(m.contains("@"), "email")
+        F.when(m.startswith("="), "secret")
+        .when(m.contains("@"), "email")
         .when(m.rlike(rf"^(?:{_TITLE})\.? "), "name")
         .when(m.startswith("+"), "phone")
         .when(m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "ip")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(m.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}$"), "card")
-        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}$"), "account")
-        .otherwise("secret")
+        .otherwise("account")
     )
 
 
+def _inner(m: Column) -> Column:
+    """What a secret's quotes hold."""
+    return F.regexp_extract(m, '"([^"]+)"', 1)
+
+
 def entities(m: Column) -> Column:
     """The one or two entities of a mention: array of (part, type, canon)."""
 
@@ -95,7 +107,7 @@ def entities(m: Column) -> Column:
         .when(which.isin("ssn", "card"), F.array(one(0, which, digits)))
         .when(which == "account", F.array(one(0, "account", F.regexp_replace(m, " ", ""))))
         .when(which == "ip", F.array(one(0, "ip", m)))
-        .otherwise(F.array(one(0, "secret", F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lower(m)).otherwise(m))))
+        .otherwise(F.array(one(0, "secret", F.when(_inner(m).rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lower(_inner(m))).otherwise(_inner(m)))))
     )
 
 
@@ -227,15 +239,21 @@ def written(m: Column, first: Column, second: Column) -> Column:
         .when(which.isin("card", "ssn", "account"), _fill(m, first))
         .otherwise(first)
     )
-    loud = (m == F.upper(m)) & (m != F.lower(m)) & which.isin("email", "secret")
-    return F.when(loud, F.upper(plain)).otherwise(plain)
+    own = F.when(which == "secret", _inner(m)).otherwise(m)
+    loud = (own == F.upper(own)) & (own != F.lower(own)) & which.isin("email", "secret")
+    cased = F.when(loud, F.upper(plain)).otherwise(plain)
+    return F.when(which == "secret", F.concat(F.regexp_extract(m, '^(=[^"]*")', 1), cased, F.lit('"'))).otherwise(cased)
 
 
-def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The documents with every entity replaced by its surrogate; all other columns as they are."""
-    digest, at, parts = fresh(docs, "_digest", "_key", "_parts")
+def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+    """The documents with every entity replaced by its surrogate; all other columns as they are.
+
+    `count` names a column for the number of replaced mentions (one of that name is replaced).
+    """
+    docs = docs.drop(count) if count else docs
+    digest, at, parts, found_at = fresh(docs, "_digest", "_key", "_parts", "_mentions")
     body = F.col(f"`{text}`")
-    has = F.coalesce(body.rlike(PATTERN), F.lit(False))
+    has = F.coalesce(body.rlike(HINT) & body.rlike(PATTERN), F.lit(False))
     clean = docs.filter(~has)
     dirty = docs.filter(has)
     every = dirty.select(F.md5(body.cast("binary")).alias("digest"), body.alias("text"))
@@ -254,8 +272,10 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     by_text = stored(by_text.withColumnRenamed("digest", at), "replacements")
     joined = dirty.withColumn(digest, F.md5(body.cast("binary"))).join(by_text, F.col(digest) == F.col(at))
     spot = lambda i, part: F.col(parts)[F.concat(i.cast("string"), F.lit(f":{part}"))]
-    new = F.transform(mentions(body), lambda m, i: written(m, spot(i, 0), spot(i, 1)))
+    new = F.transform(F.col(found_at), lambda m, i: written(m, spot(i, 0), spot(i, 1)))
     gaps = F.split(body, PATTERN, -1)
     pieces = F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
-    changed = joined.withColumn(text, F.array_join(pieces, "")).drop(digest, at, parts)
-    return clean.unionByName(changed.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    columns = [F.array_join(pieces, "").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    number = [F.size(found_at).cast("long").alias(count)] if count else []
+    changed = joined.withColumn(found_at, mentions(body)).select(*columns, *number)
+    return (clean.withColumn(count, F.lit(0).cast("long")) if count else clean).unionByName(changed)
