@@ -188,7 +188,7 @@ def m09(spark, sf):
 @query("m10", _CTES, f"{_D} select year_month, count(*) as n, true as inside from d where year_month in (24008, 24011) group by all")
 def m10(spark, sf):
     scores = backtest.monthly_rebuild(
-        X.features_wide(spark, sf), _company_trends(spark, sf), [24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]), quarters=(1, 4)
+        X.features_wide(spark, sf), _company_trends(spark, sf), [24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]), min_train=1, quarters=(1, 4)
     )
     return scores.groupBy("year_month").agg(F.count("*").alias("n"), F.bool_and(_inside("y_pred_proba")).alias("inside"))
 
