@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import table_path
 
-#: ASCII white space, the separator of words in the contracts.
-SPACE = " \t\n\v\f\r"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
