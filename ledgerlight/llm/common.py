@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import table_path
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
