@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,21 +256,27 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return prints.join(near_copies(prints).drop("root"), "fingerprint")
 
 
+def row_hashes(docs: DataFrame, one: str, two: str) -> list[Column]:
+    """Two hashes of a row's every column, under these names."""
+    return [F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in docs.columns]).alias(name) for s, name in ((1, one), (2, two))]
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, h: list[Column], one: str, two: str) -> DataFrame:
+    """The documents that stay: of each root of `rows` the smallest id, then the smallest row hash."""
+    picked = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", one, two, "n")).alias("pick"))
+    keep = stored(picked.select(f"pick.{one}", f"pick.{two}", "pick.n"), "picked")
+    hashed = docs.select("*", *h)
+    alone = hashed.join(keep.filter("n = 1"), [one, two], "left_semi")
+    equal = hashed.join(keep.filter("n > 1"), [one, two], "left_semi").dropDuplicates([one, two])
+    return alone.unionByName(equal).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group stays: the smallest id, then the smallest row hash; of rows equal
     in all columns, one. The texts move through one shuffle."""
     one, two = fresh(docs, "_h1", "_h2")
-    h = [F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in docs.columns]).alias(name) for s, name in ((1, one), (2, two))]
+    h = row_hashes(docs, one, two)
     thin = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *h)
     prints = stored(fingerprints(thin), "document-fingerprints")
     rows = prints.groupBy("fingerprint", one, two, "doc_id").agg(F.count("*").alias("n"))
-    picked = (
-        rows.join(near_copies(prints), "fingerprint")
-        .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", one, two, "n")).alias("pick"))
-    )
-    keep = stored(picked.select(f"pick.{one}", f"pick.{two}", "pick.n"), "picked")
-    hashed = docs.select("*", *h)
-    alone = hashed.join(keep.filter("n = 1"), [one, two], "left_semi")
-    equal = hashed.join(keep.filter("n > 1"), [one, two], "left_semi").dropDuplicates([one, two])
-    return alone.unionByName(equal).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return first_rows(docs, rows.join(near_copies(prints), "fingerprint"), h, one, two)

@@ -1,10 +1,12 @@
 """The pipeline's stages on awkward rows and against plain versions."""
 
 import os
+import random
+import re
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
-from helpers import empty, hard, hard_rows  # noqa: E402
+from helpers import SPACE, ascii_lower, empty, hard, hard_rows, prose  # noqa: E402
 from test_llm_documents import hits, linked, print_of  # noqa: E402
 
 import corpus_pipeline
@@ -56,3 +58,35 @@ def test_run_equals_plain_stages(spark, small):
         plain += r.text == want[i].text
     mentions = spark.createDataFrame([(r.doc_id, r.text) for r in want.values()], "doc_id long, text string").filter(surrogates.F.size(surrogates.mentions(surrogates.F.col("text"))) > 0).count()
     assert plain == len(want) - mentions
+
+
+def shingles(text):
+    words = re.findall(SPACE, ascii_lower(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_equal_brute_force_jaccard(spark):
+    rng, rows = random.Random(11), []
+    for base in range(12):
+        for copy, changes in enumerate((0, 1, 2, 3, 4, 5, 6, 9, 14, 20)):
+            words = prose(150 + 30 * base, base).split()
+            for at in rng.sample(range(len(words)), changes):
+                words[at] = f"new{rng.randrange(10**6)}"
+            rows.append((base * 10 + copy, " ".join(words)))
+    rows += [(900, None), (901, " "), (902, "one"), (903, "ONE")]
+    label, sets = {i: i for i, _ in rows}, {i: shingles(t) for i, t in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    want = {find(i) for i in label}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()} == want
+    assert len(want) < len(rows) / 2
