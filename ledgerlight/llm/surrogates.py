@@ -44,6 +44,8 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TITLE = "|".join((*TITLES_F, *TITLES_M))
 # what may stand between the groups of a number
 _GAP = r"[^\p{L}\p{N}(+]{0,8}"
+# a part of a name, to its last letter: inner capitals, apostrophes and hyphens, without a possessive s
+_PART = r"\p{Lu}(?:['’]?\p{L}++)(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 #: Every pattern begins with what a rare first character rules out, so most positions cost one test.
 PATTERNS = {
     "secret": r"=[^\p{L}\p{N}\"]{0,8}\"[0-9A-Za-z+/_-]{16,}\"",
@@ -55,8 +57,8 @@ PATTERNS = {
         r"|(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
         r")"
     ),
-    "account": r"(?=[A-Z]{2}[0-9]{2})(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?![\p{L}\p{N}])",
-    "name": rf"(?=[FHMSГ])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "account": r"(?=[A-Z]{2}[0-9]{2})(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}|[ ](?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "name": rf"(?=[FHMSГ])(?<!\p{{L}})(?:{_TITLE})\.? {_PART}(?: {_PART})?",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())

@@ -226,6 +226,17 @@ def test_op5_awkward_rows(spark):
     assert surrogates.replaced(empty(spark), "k").count() == 0
 
 
+def test_op5_matches_end_with_the_entity(spark):
+    whole = ["Mr. McDonald", "Mrs. Anna O'Neil", "Ms. Smith-Jones", "Mr Jean-Luc D’Arcy", "GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "GB29NWBK60161331926819"]
+    texts = [f"so {m}{end}" for m in whole for end in (" said.", ".", "")] + ["Mr Smith's house"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select("doc_id", surrogates.mentions(F.col("text")).alias("m")).collect()
+    assert {r.doc_id: r.m for r in got} == {i: [whole[i // 3]] if i < 3 * len(whole) else ["Mr Smith"] for i in range(len(texts))}
+    out = " ".join(r.text for r in surrogates.replaced(df, "k").collect())
+    for left in ("Donald", "Neil", "Jones", "Arcy", "9268", "1643", "Smith"):
+        assert left not in out
+
+
 def test_op5_stays_out_of_python(spark, small):
     plan = queries()["op5_surrogates"](spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
