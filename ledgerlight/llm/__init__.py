@@ -1,5 +1,5 @@
 """Training-data operators: quality, tokens, chat, shards, privacy, near copies, benchmark leaks,
-web archives, licences and language. Nothing else in the library imports this subpackage."""
+web archives, licences, language, token spans, addresses and spelling variants. Nothing else in the library imports this subpackage."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("documents", "records")
+_MODULES = ("documents", "records", "vocabularies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
