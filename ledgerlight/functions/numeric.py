@@ -40,5 +40,13 @@ def minmax_score(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values, an aggregate; NULL where either is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def is_close(value: Column, reference: Column, rtol: float, atol: float) -> Column:
     return F.abs(value - reference) <= atol + rtol * F.abs(reference)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
-from ledgerlight.functions.numeric import clean
+from ledgerlight.functions.numeric import clean, correlation
 from ledgerlight.operators.ordered import exact_quantiles, running
 
 
@@ -81,15 +81,15 @@ def score_histogram(df: DataFrame, bins: int = 20, score: str = "score", label:
 def feature_correlation(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Absolute correlation of each median-filled feature with the label, ranked.
 
-    The tall form groups by feature, so all features are correlated in one aggregate.
+    The tall form groups by feature, so one aggregate of moments holds all features. Constant
+    features, and all features of a constant label, have no correlation (NULL) and come last.
     """
     cells = df.select(F.col(label).cast("double").alias("_y"), *[clean(F.col(f"`{c}`")).alias(c) for c in features])
     tall = cells.unpivot(["_y"], [F.col(f"`{c}`") for c in features], "feature", "value")
     med = exact_quantiles(tall, ["feature"], "value", {"median": 0.5}).drop("n")
     # one row per feature column: bounded by the table's width
     filled = tall.join(F.broadcast(med), "feature", "left").withColumn("value", F.coalesce("value", "median", F.lit(0.0)))
-    r = filled.groupBy("feature").agg(F.corr("value", "_y").alias("_r"))
-    r = r.select("feature", F.abs(F.when(~F.isnan("_r"), F.col("_r"))).alias("correlation"))
+    r = filled.groupBy("feature").agg(F.abs(correlation(F.col("value"), F.col("_y"))).alias("correlation"))
     rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("correlation"), "feature"))
     return r.withColumn("rank", rank)
 
@@ -101,13 +101,14 @@ def correlation_counts(correlations: DataFrame) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, target: str, predicted: str) -> DataFrame:
-    """mse, rmse, mae, r2 and Pearson correlation over rows with both values."""
+    """mse, rmse, mae, r2 and Pearson correlation over rows with both values; NULL r2 for a constant
+    target, NULL correlation where either side is constant."""
     y, p = clean(F.col(target)), clean(F.col(predicted))
     rows = df.select(y.alias("y"), p.alias("p")).filter("y is not null and p is not null")
     e = F.col("y") - F.col("p")
     m = rows.agg(
         F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
-        F.var_pop("y").alias("_v"), F.corr("y", "p").alias("pearson"),
+        F.var_pop("y").alias("_v"), correlation(F.col("y"), F.col("p")).alias("pearson"),
     )
     r2 = 1 - F.try_divide(F.col("mse"), F.col("_v"))
     return m.select("n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), "pearson")

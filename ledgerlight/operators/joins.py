@@ -1,18 +1,20 @@
 """Joins Spark has no operator for: as-of, nearest-date, shifted, and key/value diffs.
 
-All dates have day grain. The ordered part of each join runs on distinct (key, day) rows, so
-a key holds at most its days of history however many rows it has; the rows are then matched
-back by an equi join with one row per (key, day) on the other side, which adaptive
-execution splits when one key is hot.
+Points in time are dates or timestamps. The ordered part of each join runs on distinct (key, time)
+rows in blocks of the time order (`ordered.last_known`), so a key may hold any number of them; the
+rows are then matched back by an equi join with one row per (key, time) on the other side, which
+adaptive execution splits when one key is hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.operators.ordered import last_known
+
 
 def _days(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, cols: Sequence[str]):
     """Distinct left days (side 1) and right days (side 0) carrying one struct per right day."""
@@ -38,8 +40,7 @@ def asof_join(
     `right_on` is added too. `how='left'` keeps left rows without a match.
     """
     both = _days(left, right, by, left_on, right_on, cols)
-    w = Window.partitionBy(*by).orderBy("_day", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_hit", F.last("_row", ignorenulls=True).over(w))
+    seen = last_known(both, by, ["_day", "_side"], {"_hit": "_row"})
     hits = seen.filter((F.col("_side") == 1) & F.col("_hit").isNotNull()).select(*by, F.col("_day").alias(left_on), "_hit")
     picked = [F.col("_hit._on").alias(right_on)] + [F.col(f"_hit.{c}").alias(c) for c in cols]
     return left.join(hits, [*by, left_on], how).select(*[left[c] for c in left.columns], *picked)
@@ -60,12 +61,7 @@ def nearest_join(
     Only the neighbours before and after are looked at; no pairs are formed.
     """
     both = _days(left, right, by, left_on, right_on, cols)
-    w = Window.partitionBy(*by).orderBy("_day", "_side")
-    before = F.last("_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # the next day is the last one seen from the other end: a growing frame costs one step a row
-    back_w = Window.partitionBy(*by).orderBy(F.desc("_day"), F.desc("_side"))
-    after = F.last("_row", ignorenulls=True).over(back_w.rowsBetween(Window.unboundedPreceding, 0))
-    seen = both.withColumn("_before", before).withColumn("_after", after).filter(F.col("_side") == 1)
+    seen = last_known(both, by, ["_day", "_side"], {"_before": "_row"}, {"_after": "_row"}).filter(F.col("_side") == 1)
     back, fwd = F.datediff("_day", F.col("_before._on")), F.datediff(F.col("_after._on"), "_day")
     use_back = F.col("_after").isNull() | (back <= fwd)
     hits = seen.select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
-from ledgerlight.functions.numeric import expected_score, minmax_score, three_class
+from ledgerlight.functions.numeric import correlation, expected_score, minmax_score, three_class
 from ledgerlight.operators import evaluate as E
 from ledgerlight.operators.clean import (
     drop_constant, feature_columns, impute_constant, impute_median, split_by_columns, suffix_columns,
@@ -115,7 +115,7 @@ def model_grid(
                 scored, fitted = classify(a, b, used, label, name, **(params or {}).get(name, {}))
                 scored = durable(scored.select(label, target, "y_pred_proba"))
                 m = classification_metrics(scored, label).first()
-                corr = scored.agg(F.corr("y_pred_proba", target).alias("c")).first()["c"]
+                corr = scored.agg(correlation(F.col("y_pred_proba"), F.col(target)).alias("c")).first()["c"]
                 rows.append((f"{selection}_{imputation}_{name}", m["accuracy"], m["precision"], m["recall"], m["roc_auc"], corr))
                 if (m["roc_auc"] or 0.0) > best[0]:
                     best = (m["roc_auc"] or 0.0, importances(fitted, used, spark))
@@ -136,7 +136,7 @@ def regression_report(scored: DataFrame, target: str = "price_return", trend: st
     m = E.regression_metrics(scored, target, "y_pred")
     if trend is None or trend not in scored.columns:
         return m
-    m = m.withColumn("corr_trend", scored.agg(F.corr("y_pred", F.col(trend).cast("double"))).scalar())
+    m = m.withColumn("corr_trend", scored.agg(correlation(F.col("y_pred"), F.col(trend))).scalar())
     return m.withColumn("auc_trend", E.auc(scored, "y_pred", trend).scalar())
 
 
@@ -172,7 +172,7 @@ def classify_three(train: DataFrame, test: DataFrame, features: Sequence[str], l
 def three_class_report(scored: DataFrame, label: str = "class", trend: str = "trend_up_or_down") -> DataFrame:
     """Accuracy, correlation of the score with the class order, ROC area against the trend."""
     rank = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col(label)).cast("double")
-    m = scored.agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"), F.corr("y_pred_proba", rank).alias("corr_label"))
+    m = scored.agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"), correlation(F.col("y_pred_proba"), rank).alias("corr_label"))
     return m.withColumn("auc_trend", E.auc(scored, "y_pred_proba", trend).scalar())
 
 

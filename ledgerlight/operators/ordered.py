@@ -70,6 +70,34 @@ def running(
     )
 
 
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: Mapping[str, str] | None = None, after: Mapping[str, str] | None = None) -> DataFrame:
+    """Last non-null value up to each row, and first one from it on, within keys of any size.
+
+    `before` and `after` map new columns to the ones they are read from. A segmented scan: blocks
+    are scanned on their own, and a block hands its last (first) known value of a key on to the
+    blocks after (before) it, one row per key and block. Rows of equal order are taken as they come.
+    """
+    before, after = dict(before or {}), dict(after or {})
+    blocks = range_blocks(df, keys, [F.col(f"`{c}`") for c in order])
+    group = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
+    blocks = blocks.withColumn("_group", group)
+    place = F.struct(*[F.col(f"`{c}`") for c in order])
+    ends = {n: F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), place)) for n, c in before.items()}
+    ends |= {n: F.min_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), place)) for n, c in after.items()}
+    per_block = blocks.groupBy("_group", _BLOCK).agg(*[e.alias(f"_end{i}") for i, e in enumerate(ends.values())])
+    until = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy(_BLOCK).rowsBetween(*until)
+    later = Window.partitionBy("_group").orderBy(F.desc(_BLOCK)).rowsBetween(*until)
+    # the next value is the last one seen from the other end: a growing frame costs one step a row
+    handed = [F.last(f"_end{i}", True).over(earlier if n in before else later).alias(f"_from{i}") for i, n in enumerate(ends)]
+    joined = blocks.join(per_block.select("_group", _BLOCK, *handed), ["_group", _BLOCK])
+    sofar = (Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(_BLOCK, "_group").orderBy(*[F.asc(f"`{c}`") for c in order]).rowsBetween(*sofar)
+    back = Window.partitionBy(_BLOCK, "_group").orderBy(*[F.desc(f"`{c}`") for c in order]).rowsBetween(*sofar)
+    found = [F.last(F.col(f"`{c}`"), True).over(w) for cols, w in ((before, ahead), (after, back)) for c in cols.values()]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(x, f"_from{i}").alias(n) for i, (n, x) in enumerate(zip(ends, found))])
+
+
 def global_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Exact row number within `keys` for groups of any size."""
     return running(df, keys, order, row_number=out)

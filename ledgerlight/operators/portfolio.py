@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight import config as C
 from ledgerlight.operators.selection import score_order
-from ledgerlight.operators.ordered import top_rows
+from ledgerlight.operators.ordered import last_known, top_rows
 
 
 def buy_and_hold(scores: DataFrame, month_prices: DataFrame, monthly: float = C.MONTHLY_INVESTMENT, top_k: int = 10) -> DataFrame:
@@ -62,9 +62,9 @@ def dollar_cost_average(month_prices: DataFrame, start: int, end: int, monthly:
 
 
 def carry_forward(df: DataFrame, value: str, keys: list[str], order: str) -> DataFrame:
-    """Replace missing values by the last known one of a monthly series."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, True).over(w))
+    """Replace missing values by the last known one of a series of any length."""
+    seen = last_known(df, keys, [order], {"_known": value})
+    return seen.withColumn(value, F.col("_known")).drop("_known")
 
 
 def against_benchmark(strategy: DataFrame, bench: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlight import config as C
 from ledgerlight.functions import dates as D
 from ledgerlight.functions.numeric import safe_divide
+from ledgerlight.operators.ordered import last_known
 
 
 def month_end_prices(prices: DataFrame, keys: Sequence[str] = ("cik", "ticker"), tiebreak: str | None = None) -> DataFrame:
@@ -63,15 +64,10 @@ def lag_features(df: DataFrame, features: Sequence[str], lags: Sequence[int] = C
 
 
 def fill_gaps(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("cik",), order: Sequence[str] = ("month_end_date",)) -> DataFrame:
-    """Last known value, else the next one, else 0, per monthly series."""
-    sofar = (Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*sofar)
-    # the next value is the last one seen from the other end: a growing frame costs one step a row
-    ahead = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(*sofar)
-    filled = {
-        c: F.coalesce(F.last(F.col(f"`{c}`"), True).over(back), F.last(F.col(f"`{c}`"), True).over(ahead), F.lit(0.0)) for c in features
-    }
-    return df.withColumns(filled)
+    """Last known value, else the next one, else 0, per series of any length."""
+    seen = last_known(df, keys, order, {f"_back_{c}": c for c in features}, {f"_next_{c}": c for c in features})
+    filled = {c: F.coalesce(F.col(f"`_back_{c}`"), F.col(f"`_next_{c}`"), F.lit(0.0)) for c in features}
+    return seen.withColumns(filled).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def sequences(

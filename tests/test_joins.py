@@ -69,3 +69,11 @@ def test_key_diff(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     r = joins.key_diff(a, b, ["k"]).first()
     assert (r["in_both"], r["only_left"], r["only_right"], r["pct_of_left"]) == (1, 1, 1, 50.0)
+
+
+def test_asof_on_one_key_with_many_times(spark):
+    """Time stamps of a single key, more than its days."""
+    right = spark.range(0, 50000, 100).selectExpr("1 as k", "timestamp_millis(id * 1000) as r", "id as v")
+    left = spark.range(50000).selectExpr("1 as k", "timestamp_millis(id * 1000) as d", "id")
+    assert joins.asof_join(left, right, ["k"], "d", "r", ["v"]).filter("v <> id - id % 100").count() == 0
+    assert joins.asof_join(left, right, ["k"], "d", "r", ["v"]).count() == 50000

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import evaluate as E
 from ledgerlight.operators import models
 from ledgerlight.plans import backtest
 from ledgerlight.streaming import catchup
@@ -94,3 +95,28 @@ def test_late_older_facts_do_not_overwrite(spark, tmp_path):
     keys = ["cik", "period", "form", "tag", "qtrs"]
     out = catchup.drain(stream, "f", "update", keys).collect()
     assert [(r["crt_ddate"], r["crt_value"]) for r in out] == [(20240630, 7.0)]
+
+
+def test_correlations_of_constant_columns_are_null(spark):
+    rows = [(1.0, 2.0, 0, float(i), None) for i in range(6)]
+    df = spark.createDataFrame(rows, "fixed double, y_pred double, label int, x double, empty double")
+    r = {c["feature"]: c for c in E.feature_correlation(df.withColumn("y", F.col("x") * 2), ["fixed", "x", "empty"], "y").collect()}
+    assert r["x"]["correlation"] == pytest.approx(1.0) and r["x"]["rank"] == 1
+    assert r["fixed"]["correlation"] is None and r["empty"]["correlation"] is None
+    assert {c["correlation"] for c in E.feature_correlation(df, ["fixed", "x"], "label").collect()} == {None}
+    one = E.regression_metrics(df.withColumn("y", F.col("x")), "y", "y_pred").first()
+    assert one["pearson"] is None and one["n"] == 6 and one["r2"] is not None
+    flat = E.regression_metrics(df.withColumn("y", F.lit(3.0)), "y", "x").first()
+    assert flat["pearson"] is None and flat["r2"] is None
+    single = E.regression_metrics(df.limit(1), "x", "y_pred").first()
+    assert single["pearson"] is None and single["n"] == 1
+    report = models.regression_report(df.withColumn("price_return", F.col("x")), "price_return", "label").first()
+    assert report["corr_trend"] is None and report["auc_trend"] is None
+
+
+def test_grid_with_constant_scores_and_one_class(data):
+    """A label that never changes gives constant scores: metrics without a value are NULL, nothing fails."""
+    flat = data.withColumn("trend_up_or_down", F.lit(1))
+    table, best = models.model_grid(flat.filter("year_month < 6"), flat.filter("year_month >= 6"), FEATURES, selections=["current"], models=["rf"], params={"rf": {"numTrees": 2}})
+    rows = table.collect()
+    assert len(rows) == 2 and all(r["corr_confidence_growth"] is None and r["roc_auc"] is None and r["accuracy"] == 1.0 for r in rows)

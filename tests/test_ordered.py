@@ -129,3 +129,40 @@ def test_exact_quantiles_of_large_groups_use_brackets(spark):
         assert got[g]["n"] == len(part)
         for name, p in (("a", 0.01), ("b", 0.5), ("c", 0.999), ("d", 1.0)):
             assert got[g][name] == pytest.approx(np.quantile(part, p), abs=1e-12)
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_last_known_and_next_known_match_a_loop(spark, keys):
+    rng = random.Random(7)
+    rows = [(g, i, rng.random() if rng.random() < 0.05 else None, i % 2) for i, g in enumerate(rng.choice(["hot", "hot", "hot", "a", None]) for _ in range(4000))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, id int, v double, side int").repartition(5)
+    got = {r["id"]: (r["before"], r["after"]) for r in ordered.last_known(df, keys, ["id", "side"], {"before": "v"}, {"after": "v"}).collect()}
+    want_before, want_after, seen = {}, {}, {}
+    for g, i, v, _ in sorted(rows, key=lambda r: r[1]):
+        k = g if keys else 0
+        seen[k] = seen.get(k) if v is None else v
+        want_before[i] = seen[k]
+    seen = {}
+    for g, i, v, _ in sorted(rows, key=lambda r: -r[1]):
+        k = g if keys else 0
+        seen[k] = seen.get(k) if v is None else v
+        want_after[i] = seen[k]
+    assert got == {i: (want_before[i], want_after[i]) for i in want_before}
+
+
+def test_last_known_of_one_key_is_spread(spark):
+    """No window of the plan is over the key alone but that over its blocks' ends."""
+    df = spark.range(60000).selectExpr("1 as k", "id as t", "if(id % 1000 = 0, id, null) as v")
+    out = ordered.last_known(df, ["k"], ["t"], {"b": "v"}, {"a": "v"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window " in f" {line.strip(' +-:')} "]
+    assert windows and all("_block" in line for line in windows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in ordered.range_blocks(df, ["k"], [F.col("t")], "b").groupBy("b").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * 60000 / 8
+    assert out.filter("b <> t - t % 1000 or a <> (t + 999) - (t + 999) % 1000").count() == 0
+    assert ordered.last_known(df.limit(0), ["k"], ["t"], {"b": "v"}).count() == 0
