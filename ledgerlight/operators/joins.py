@@ -123,25 +123,27 @@ def key_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     )
 
 
-def value_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], feature: str, value: str) -> DataFrame:
-    """Tall values of keys present in both tables, side by side; NULL where a side lacks the feature.
+def shared_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], feature: str, value: str) -> DataFrame:
+    """Tall cells of both tables whose key occurs in both: keys, feature, v1, v2, and `first`, which is
+    true on one row of each key.
 
-    Both inputs hold one row per (keys, feature). Union and group instead of a join, so a
-    feature carried by a third of all rows still combines before the shuffle.
+    Each table is read once. The cells of a key, at most one for each feature, are put together, so the
+    join of the keys also says which are in both. Tables that are bucketed alike by the keys
+    (`sinks.write_tall`) are not shuffled.
     """
-    tagged = left.select(*keys, feature, F.col(value).alias("v1"), F.lit(None).cast("double").alias("v2")).unionByName(
-        right.select(*keys, feature, F.lit(None).cast("double").alias("v1"), F.col(value).alias("v2"))
-    )
-    return tagged.groupBy(*keys, feature).agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"))
 
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).cast("double").alias("v"))).alias(name))
 
-def common_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys present in both tables, from one aggregate over both: tall rows shrink to keys before the shuffle."""
-    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(right.select(*keys, F.lit(0), F.lit(1)))
-    return sides.groupBy(*keys).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r")).filter("_l = 1 and _r = 1").select(*keys)
+    empty = F.lit(None).cast("double")
+    one = F.transform("_a", lambda x: F.struct(x["f"].alias("f"), x["v"].alias("v1"), empty.alias("v2")))
+    two = F.transform("_b", lambda x: F.struct(x["f"].alias("f"), empty.alias("v1"), x["v"].alias("v2")))
+    both = cells(left, "_a").join(cells(right, "_b"), list(keys))
+    rows = both.select(*keys, F.posexplode(F.concat(one, two)).alias("_at", "_c")).select(*keys, F.col("_c.f").alias(feature), "_c.v1", "_c.v2", "_at")
+    return rows.groupBy(*keys, feature).agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"), (F.min("_at") == 0).alias("first"))
 
 
 __all__ = [
-    "anti_join", "asof_join", "common_keys", "key_diff", "map_dimension", "nearest_join",
-    "semi_join", "shift_join", "value_pairs",
+    "anti_join", "asof_join", "key_diff", "map_dimension", "nearest_join",
+    "semi_join", "shared_cells", "shift_join",
 ]

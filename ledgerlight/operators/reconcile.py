@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight import config as C
 from ledgerlight.functions import dates as D
 from ledgerlight.functions.numeric import is_close, safe_divide
-from ledgerlight.operators.joins import common_keys, nearest_join, value_pairs
+from ledgerlight.operators.joins import nearest_join, shared_cells
 from ledgerlight.operators.ordered import keep_first, top_rows
 
 
@@ -40,29 +40,26 @@ def duplicate_histogram(dups: DataFrame, df: DataFrame, part: str = "data_qtr")
 def value_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], feature: str = "feature", value: str = "value", eps: float = 1e-10) -> DataFrame:
     """Per feature: absolute and relative differences and mismatches over the common keys.
 
-    Tall inputs, one row per (keys, feature), empty cells included or not.
+    Tall inputs, one row per (keys, feature), empty cells included or not; each is read once.
     """
-    shared = common_keys(left, right, keys)
-    pairs = value_pairs(left, right, keys, feature, value).join(shared, list(keys), "left_semi")
-    n = shared.agg(F.count("*").alias("n"))
+    cells = shared_cells(left, right, keys, feature, value)
     d = F.abs(F.col("v1") - F.col("v2"))
     rel = d / (F.abs("v1") + eps) * 100
     both = F.col("v1").isNotNull() & F.col("v2").isNotNull()
     one = F.col("v1").isNull() != F.col("v2").isNull()
-    g = pairs.groupBy(feature).agg(
+    g = cells.groupBy(feature).agg(
         F.avg(d).alias("mean_abs_diff"), F.max(d).alias("max_abs_diff"), F.avg(rel).alias("mean_rel_diff_pct"), F.max(rel).alias("max_rel_diff_pct"),
-        (F.count_if(one) + F.count_if(d > eps)).alias("mismatches"), F.count_if(both).alias("matching_pairs"),
+        (F.count_if(one) + F.count_if(d > eps)).alias("mismatches"), F.count_if(both).alias("matching_pairs"), F.count_if("first").alias("_keys"),
     )
-    return g.withColumn("mismatch_pct", F.try_divide(F.col("mismatches") * 100.0, n.scalar()))
+    n = F.sum("_keys").over(Window.partitionBy())  # one row for each feature
+    return g.withColumn("mismatch_pct", F.try_divide(F.col("mismatches") * 100.0, n)).drop("_keys")
 
 
 def feature_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str, feature: str = "feature", value: str = "value") -> DataFrame:
-    """Row-level differences of one feature over the common keys."""
-    shared = common_keys(left, right, keys)
-    one = [d.filter(F.col(feature) == name) for d in (left, right)]
-    pairs = value_pairs(*one, keys, feature, value).join(shared, list(keys), "left_semi")
+    """Row-level differences of one feature over the common keys; each input is read once."""
+    cells = shared_cells(left, right, keys, feature, value).filter(F.col(feature) == name)
     v1, v2 = F.col("v1"), F.col("v2")
-    return pairs.filter(~v1.eqNullSafe(v2)).select(*keys, "v1", "v2", F.abs(v1 - v2).alias("abs_diff"))
+    return cells.filter(~v1.eqNullSafe(v2)).select(*keys, "v1", "v2", F.abs(v1 - v2).alias("abs_diff"))
 
 
 def overlapping_reports(batch: DataFrame, catchup: DataFrame, tolerance_days: int = C.PERIOD_TOLERANCE_DAYS) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlight import fixtures as X
 from ledgerlight.functions import dates as D
 from ledgerlight.operators import explore, facts, features, joins, match, prices, reconcile, selection, sets
 from ledgerlight.queries.registry import query, rounded
-from ledgerlight.session import durable
+from ledgerlight.session import durable, table_path
+from ledgerlight.sources import sinks
 
 
 def _num(spark, sf):
@@ -229,19 +232,29 @@ def j16(spark, sf):
     return rounded(joins.key_diff(a, b, ["cik", "period"]))
 
 
-@query("j17", "features_tall", f""", {_BUILDS},
+_J17 = f""", {_BUILDS},
   f as (select distinct feature from t), grid as (select cik, period, feature from kboth cross join f),
   p as (select grid.feature, a.value as v1, b.value as v2 from grid left join a using (cik, period, feature) left join b using (cik, period, feature)),
   d as (select *, abs(v1 - v2) as d from p)
   select feature, round(avg(d), 4) as mean_abs_diff, round(max(d), 4) as max_abs_diff, round(avg(d / (abs(v1) + 1e-10) * 100), 4) as mean_rel_diff_pct,
   round(max(d / (abs(v1) + 1e-10) * 100), 4) as max_rel_diff_pct, count(*) filter ((v1 is null) <> (v2 is null)) + count(*) filter (d > 1e-10) as mismatches,
   count(d) as matching_pairs, round((count(*) filter ((v1 is null) <> (v2 is null)) + count(*) filter (d > 1e-10)) * 100.0 / (select count(*) from kboth), 4) as mismatch_pct
-  from d group by feature""")
+  from d group by feature"""
+
+
+@query("j17", "features_tall", _J17)
 def j17(spark, sf):
     a, b = _two_builds(spark, sf)
     return rounded(reconcile.value_diff(a, b, ["cik", "period"]), 4)
 
 
+@query("j17_stored", "features_tall", _J17)
+def j17_stored(spark, sf):
+    """The same builds kept as tables bucketed by report, compared without a shuffle of their rows."""
+    a, b = (sinks.write_tall(d, f"build_{name}_{uuid.uuid4().hex}", table_path(spark, f"build-{name}"), 8) for name, d in zip("ab", _two_builds(spark, sf)))
+    return rounded(reconcile.value_diff(a, b, ["cik", "period"]), 4)
+
+
 @query("j18", "features_tall", f""", {_BUILDS}, x as (select * from a where feature = 'Revenues_1'), y as (select * from b where feature = 'Revenues_1')
   select cik, period, round(x.value, 4) as v1, round(y.value, 4) as v2, round(abs(x.value - y.value), 4) as abs_diff
   from kboth left join x using (cik, period) left join y using (cik, period) where x.value is distinct from y.value""")

@@ -10,7 +10,7 @@ from ledgerlight.functions.text import dataset_key
 from ledgerlight.operators.clean import drop_refiled, flag_custom_tags
 from ledgerlight.operators.ordered import keep_first
 from ledgerlight.schema import NUM, SUB
-from ledgerlight.sources.headers import files_of, read_named
+from ledgerlight.sources.headers import by_header, files_of, read_named
 
 QUARTER_GLOB = "[0-9][0-9][0-9][0-9][qQ][1-4]"
 QUARTER_DIR = r"[/=](\d{4}[qQ][1-4])/"
@@ -18,7 +18,7 @@ QUARTER_DIR = r"[/=](\d{4}[qQ][1-4])/"
 
 def read_tsv(spark: SparkSession, path: str, shape: T.StructType) -> DataFrame:
     """Typed columns of `shape` by the header of each file, and `file_path`; blanks are NULL."""
-    return read_named(spark, files_of(spark, path), "\t", shape)
+    return read_named(spark, by_header(spark, files_of(spark, path), "\t"), "\t", shape)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:

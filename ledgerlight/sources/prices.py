@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerlight.functions import dates as D
 from ledgerlight.functions.text import normalize_name, pad_cik
-from ledgerlight.sources.headers import files_of, read_named
+from ledgerlight.sources.headers import Headers, by_header, files_of, read_named
 
 # fixed values: (date, close) header names of the two dialects, and exchange folder names
 DIALECTS = (("<DATE>", "<CLOSE>"), ("Date", "Close"))
@@ -32,8 +32,8 @@ def price_files(spark: SparkSession, path: str) -> list[str]:
     return files_of(spark, path, recursiveFileLookup="true", pathGlobFilter="*.{csv,txt}")
 
 
-def _dialect(spark: SparkSession, files: list[str], date: str, close: str) -> DataFrame:
-    rows = read_named(spark, files, ",", _text(date, close), [date, close])
+def _dialect(spark: SparkSession, headers: Headers, date: str, close: str) -> DataFrame:
+    rows = read_named(spark, headers, ",", _text(date, close), [date, close])
     return rows.select("file_path", F.col(f"`{date}`").alias("day"), F.col(f"`{close}`").try_cast("double").alias("close_price"))
 
 
@@ -44,7 +44,8 @@ def read_price_files(spark: SparkSession, path: str, upper: bool = False, layout
     (preferred shares) are skipped before their files are opened; unreadable dates become NULL.
     """
     files = [f for f in price_files(spark, path) if (m := re.search(layout, f)) and not re.search("[_-]", m[2])]
-    rows = reduce(DataFrame.unionByName, [_dialect(spark, files, *names) for names in DIALECTS]).filter("close_price is not null")
+    headers = by_header(spark, files, ",")
+    rows = reduce(DataFrame.unionByName, [_dialect(spark, headers, *names) for names in DIALECTS]).filter("close_price is not null")
     name = F.regexp_extract(F.url_decode("file_path"), layout, 2)
     return rows.select(
         F.regexp_replace(F.upper(name) if upper else name, r"\.US$", "").alias("ticker"),
@@ -74,7 +75,7 @@ def read_price_batches(spark: SparkSession, path: str, name: str = "batch_") ->
     """
     wanted = ["cik", "ticker", "Date", "Close"]
     files = [f for f in price_files(spark, path) if name in f]
-    rows = read_named(spark, files, ",", _text(*wanted), wanted)
+    rows = read_named(spark, by_header(spark, files, ","), ",", _text(*wanted), wanted)
     out = rows.select(
         F.col("cik").try_cast("long").alias("cik"), "ticker", F.col("Date").try_cast("timestamp").cast("date").alias("date"), F.col("Close").try_cast("double").alias("close_price")
     )

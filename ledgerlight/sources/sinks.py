@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,14 @@ def read_invest_records(spark: SparkSession, path: str, strategy: str | None = N
     """Stored picks, of one strategy when named (only its partition is read)."""
     df = spark.read.parquet(path)
     return df if strategy is None else df.filter(F.col("strategy_name") == strategy)
+
+
+def write_tall(df: DataFrame, table: str, path: str, buckets: int, by: Sequence[str] = ("cik", "period")) -> DataFrame:
+    """Tall feature rows as a table at `path`, bucketed and sorted by report; returns it.
+
+    Aggregates by report, and diffs of two tables with equally many buckets
+    (`reconcile.value_diff`), then need no shuffle. Choose the buckets so that one fits a task.
+    """
+    spread = df.repartition(buckets, *by)
+    spread.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).format("parquet").option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from ledgerlight.operators import joins, sets
+from ledgerlight.operators import joins, reconcile, sets
+from ledgerlight.sources import sinks
 
 
 def _day(i):
@@ -77,3 +78,40 @@ def test_asof_on_one_key_with_many_times(spark):
     left = spark.range(50000).selectExpr("1 as k", "timestamp_millis(id * 1000) as d", "id")
     assert joins.asof_join(left, right, ["k"], "d", "r", ["v"]).filter("v <> id - id % 100").count() == 0
     assert joins.asof_join(left, right, ["k"], "d", "r", ["v"]).count() == 50000
+
+
+def _plan(df):
+    df.collect()  # the last plan is the one that ran
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_value_diff_reads_each_side_once_and_bucketed_tables_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(4)
+    cells = [(c, p, f"f{k}", rng.choice([None, 1.0, 2.0])) for c in range(40) for p in range(3) for k in range(6) if rng.random() < 0.7]
+    other = [(c, p, f, rng.choice([v, v, 3.0, None])) for c, p, f, v in cells if (c + p) % 4 and rng.random() < 0.9]
+    kind = "cik long, period int, feature string, value double"
+    a, b = spark.createDataFrame(cells, kind), spark.createDataFrame(other, kind)
+    one, two = {(c, p, f): v for c, p, f, v in cells}, {(c, p, f): v for c, p, f, v in other}
+    keys = {k[:2] for k in one} & {k[:2] for k in two}
+    want = {}
+    for f in {k[2] for k in one}:
+        pairs = [(one.get((*k, f)), two.get((*k, f))) for k in keys]
+        both = [abs(x - y) for x, y in pairs if x is not None and y is not None]
+        bad = sum((x is None) != (y is None) for x, y in pairs) + sum(d > 1e-10 for d in both)
+        want[f] = (len(both), bad, bad * 100.0 / len(keys), max(both))
+    stored = [sinks.write_tall(d, f"diff_{n}", str(tmp_path / n), 4) for n, d in (("a", a), ("b", b))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for left, right in ((a, b), stored):
+            out = reconcile.value_diff(left, right, ["cik", "period"])
+            assert {r["feature"]: (r["matching_pairs"], r["mismatches"], pytest.approx(r["mismatch_pct"]), r["max_abs_diff"]) for r in out.collect()} == want
+        plan = _plan(out)
+        # what is left to shuffle are sums for each feature
+        assert plan.count("FileScan parquet") == 2 and "Bucketed: true" in plan
+        assert all("hashpartitioning(feature" in x or "SinglePartition" in x for x in plan.splitlines() if " Exchange " in x)
+        diff = {(r["cik"], r["period"]): (r["v1"], r["v2"]) for r in reconcile.feature_diff(*stored, ["cik", "period"], "f1").collect()}
+        assert diff == {k: (one.get((*k, "f1")), two.get((*k, "f1"))) for k in keys if one.get((*k, "f1")) != two.get((*k, "f1"))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in "ab":
+            spark.sql(f"drop table diff_{n}")

@@ -5,8 +5,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlight.sources import companyfacts, entities, filings, prices, sinks
+from ledgerlight.sources import companyfacts, entities, filings, headers, prices, sinks
 
 SUB_HEAD = "adsh\tcik\tname\tsic\tcountryba\tfye\tform\tperiod\tfy\tfp\tfiled\n"
 NUM_HEAD = "adsh\ttag\tversion\tddate\tqtrs\tuom\tsegments\tcoreg\tvalue\tfootnote\n"
@@ -156,3 +157,33 @@ def test_files_are_read_by_their_own_header(spark, tmp_path):
     got = {r["adsh"]: r for r in filings.read_facts(spark, str(tmp_path / "*" / "num.txt")).collect()}
     assert (got["1"]["ddate"], got["1"]["qtrs"], got["1"]["uom"], got["1"]["value"], got["1"]["segments"]) == (20091231, 0, "USD", 5.0, None)
     assert (got["2"]["ddate"], got["2"]["qtrs"], got["2"]["uom"], got["2"]["value"], got["2"]["segments"]) == (20100331, 1, "USD", 7.5, "X=1")
+
+
+def test_many_files_are_read_by_their_own_headers(spark, tmp_path):
+    """2,000 files with three headers: one row for each header reaches the driver, which opens no file."""
+    heads = [("a", "b", "c"), ("c", "a"), ("b", "x,y", "a")]
+    for i in range(2000):
+        names = heads[i % 3]
+        text = ",".join(f'"{n}"' if "," in n else n for n in names) + ("\r\n" if i % 5 == 0 else "\n") + ",".join(f"{n[0]}{i}" for n in names) + "\n"
+        (tmp_path / f"f {i}.csv").write_text(("\ufeff" if i % 7 == 0 else "") + text)
+    (tmp_path / "empty.csv").write_text("")
+    files = headers.files_of(spark, str(tmp_path))
+    lines = headers.first_lines(spark, files)
+    assert lines.count() <= 6  # with and without a mark at the beginning
+    by = headers.by_header(spark, files, ",")
+    assert {k: len(v) for k, v in by.items()} == {heads[0]: 667, heads[1]: 667, heads[2]: 666}
+    shape = T.StructType([T.StructField(n, T.StringType()) for n in ("a", "b", "c")])
+    rows = headers.read_named(spark, by, ",", shape)
+    got = {r["a"]: (r["b"], r["c"]) for r in rows.collect()}
+    assert got == {f"a{i}": (f"b{i}" if i % 3 != 1 else None, f"c{i}" if i % 3 != 2 else None) for i in range(2000)}
+    assert headers.read_named(spark, {}, ",", shape).count() == 0 and headers.by_header(spark, [], ",") == {}
+
+
+def test_headers_come_from_the_first_block_only(spark, tmp_path):
+    """A file of many blocks has one header."""
+    (tmp_path / "long.csv").write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        assert headers.first_lines(spark, [str(tmp_path / "long.csv")]).collect()[0]["line"] == "a,b"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
