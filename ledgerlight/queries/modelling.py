@@ -1,8 +1,9 @@
 """Datasets, models, evaluation and back-tests (M01-M24; M19-M21 are with the strategies).
 
-Model queries run with fewer trees and epochs than the defaults; rows are never left out. They
-return what does not depend on the trainer (rows scored, classes, picks of limited strategies,
-values in range), which SQL can repeat.
+Forests run with the operators' defaults over every month of the test years; boosted models and the
+network with fewer rounds and epochs (see the README). Rows are never left out. They return what
+does not depend on the trainer (rows scored, classes, picks of limited strategies, values in range),
+which SQL can repeat, and whether a target that can be learned was.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight import config as C
 from ledgerlight import fixtures as X
+from ledgerlight.functions.numeric import three_class
 from ledgerlight.operators import clean, evaluate, models, prices, selection
 from ledgerlight.plans import backtest, dataset
 from ledgerlight.queries.registry import query, rounded
@@ -71,7 +73,7 @@ def _inside(*cols):
 def m02(spark, sf):
     train, test = _split(spark, sf)
     a, b, used = models.indicate_missing(train, test, clean.suffix_columns(train.columns, ["_current", "_augment"]))
-    scored = durable(models.classify(a, b, used, model="rf", **SMALL["rf"])[0])
+    scored = durable(models.classify(a, b, used, model="rf")[0])
     metrics = models.classification_metrics(scored, "trend_up_or_down").select(_inside("accuracy", "precision", "recall", "roc_auc").alias("metrics_inside"))
     return scored.agg(F.count("*").alias("n"), F.bool_and(_inside("y_pred_proba")).alias("scores_inside")).crossJoin(metrics)
 
@@ -156,6 +158,46 @@ _M08 = """with e as (select vec_id, label, vec_id // 256 as batch, list_transfor
   p as (select a.vec_id, a.batch, exp(list_dot_product(a.v, b.v) / 0.1) as s, a.label = b.label as same from u a join u b on a.batch = b.batch and a.vec_id <> b.vec_id)"""
 
 
+def _rule():
+    """A class that follows from the columns: what a model can learn."""
+    return F.when(F.col("cik") % 3 == 0, "good").when(F.col("cik") % 3 == 1, "bad").otherwise("mediocre")
+
+
+@query("m07_matrix", _CTES, f"{_D} select class, case cik % 3 when 0 then 'good' when 1 then 'bad' else 'mediocre' end as predicted, count(*) as n from d group by all")
+def m07_matrix(spark, sf):
+    """The whole matrix of a prediction that SQL can repeat."""
+    d = _data(spark, sf).withColumn("class", three_class(F.col("price_return"), 1.05, 0.95))
+    return evaluate.confusion_matrix(d.withColumn("predicted", _rule()), "class", "predicted")
+
+
+_LEARNERS = ["rf", "boosted", *models.REGRESSORS, "three_class"]
+
+
+@query("m02_learnable", _CTES, f"{_D}, t(model) as (values " + ", ".join(f"('{m}')" for m in _LEARNERS) + ") select model, count(*) as n, true as learns from test, t group by model")
+def m02_learnable(spark, sf):
+    """Every model on a target that follows from a column: ROC area above 0.9, r2 above 0.5, accuracy above 0.8.
+
+    The column is the remainder of the company number by 97, next to the ratios.
+    """
+    x = (F.col("cik") % 97).cast("double")
+    d = _data(spark, sf).select("year_month", "period", x.alias("x_augment"), *[f"`{c}`" for c in _AUG])
+    label, target = (F.col("x_augment") >= 48).cast("int"), 1 + (F.col("x_augment") - 48) / 400
+    d = durable(d.withColumns({"trend_up_or_down": label, "price_return": target}))
+    cols = ["x_augment", *_AUG]
+    a, b = clean.impute_median(d.filter("year_month < 24000"), d.filter("year_month >= 24000"), cols)
+    rows = []
+    for name in ("rf", "boosted"):
+        scored = durable(models.classify(a, b, cols, model=name, **SMALL[name])[0])
+        rows.append((name, scored.count(), (evaluate.auc(scored, "y_pred_proba", "trend_up_or_down").first()["auc"] or 0.0) > 0.9))
+    for name in models.REGRESSORS:
+        r = models.regression_report(durable(models.regress(a, b, cols, model=name, **SMALL["rf" if name == "random_forest" else "boosted"])[0])).first()
+        rows.append((name, r["n"], r["r2"] > 0.5))
+    classed = [t.withColumn("class", three_class(F.col("price_return"), 1.04, 0.96)) for t in (a, b)]
+    scored = durable(models.classify_three(classed[0], classed[1], ["x_augment"], layers=(16, 8), epochs=100))
+    rows.append(("three_class", scored.count(), evaluate.accuracy(scored, "class", "predicted").first()["accuracy"] > 0.8))
+    return spark.createDataFrame(rows, "model string, n long, learns boolean")
+
+
 @query("m08", sql=_M08 + """
   select vec_id, batch, round(-ln(coalesce(sum(s) filter (same), 0) / (sum(s) + 1e-8) + 1e-8), 5) as loss from p group by vec_id, batch""")
 def m08(spark, sf):
@@ -173,32 +215,47 @@ def m08_mean(spark, sf):
     return rounded(evaluate.contrastive_loss(_losses(spark, sf)), 5)
 
 
-_MONTHS = [24002, 24005, 24008, 24011]
-_IN = ", ".join(map(str, _MONTHS))
+_FIRST = 24000
+_FIXED = " union all ".join(f"select '{s.name}' as strategy_name, (select count(*) from r where k <= {s.limit}) as picks, true as inside" for s in C.STRATEGIES if s.low is None)
+_FREE = "".join(f" union all select '{s.name}', null, true" for s in C.STRATEGIES if s.low is not None)
 
 
-@query("m09", _CTES, f"""{_D}, r as (select year_month, row_number() over (partition by year_month order by cik, ticker) as k from d where year_month in ({_IN}))
-  select 'top_5' as strategy_name, count(*) as picks from r where k <= 5 union all select 'top_10', count(*) from r where k <= 10""")
-def m09(spark, sf):
-    """Picks of the strategies whose size does not depend on the scores."""
-    scores = backtest.walk_forward(_data(spark, sf), _MONTHS, models.binary_scorer(_AUG, **SMALL["rf"]))
-    return selection.strategy_average(selection.pick_all(scores)).filter("strategy_name in ('top_5', 'top_10')").select("strategy_name", "picks")
+def _families(columns):
+    """Current, change and ratio columns."""
+    return [c for c in columns if c.endswith(("_current", "_augment")) or "_change" in c]
 
 
-@query("m10", _CTES, f"{_D} select year_month, count(*) as n, true as inside from d where year_month in (24008, 24011) group by all")
+@query("m09", _CTES, f"""{_D}, r as (select year_month, row_number() over (partition by year_month order by cik, ticker) as k from test) {_FIXED}{_FREE}""")
+def m09(spark, sf):
+    """All strategies over every month of the test years: picks where they do not depend on the
+    scores; for the others, whether their scores and numbers keep the strategy's limits."""
+    d = durable(_data(spark, sf))
+    picks = selection.pick_all(backtest.walk_forward(d, None, models.binary_scorer(_families(d.columns)), start=_FIRST))
+    months = picks.groupBy("strategy_name", "year_month").agg(F.count("*").alias("n"), F.min("y_pred_proba").alias("lo"), F.max("y_pred_proba").alias("hi"))
+    found = {r["strategy_name"]: r for r in months.groupBy("strategy_name").agg(F.sum("n").alias("picks"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+    rows = []
+    for s in C.STRATEGIES:  # a strategy without picks has no row
+        r = found.get(s.name)
+        inside = r is None or ((s.limit is None or r["most"] <= s.limit) and (s.low is None or r["lo"] >= s.low) and (s.high is None or r["hi"] <= s.high))
+        rows.append((s.name, (r["picks"] if r else 0) if s.low is None else None, inside))
+    return spark.createDataFrame(rows, "strategy_name string, picks long, inside boolean")
+
+
+@query("m10", _CTES, f"""{_D} select year_month, count(*) as n, true as inside from test where (select count(*) from d b where b.year_month < test.year_month) >= {C.MIN_TRAIN_ROWS} group by all""")
 def m10(spark, sf):
-    scores = backtest.monthly_rebuild(
-        X.features_wide(spark, sf), _company_trends(spark, sf), [24008, 24011], models.binary_scorer(_AUG, **SMALL["rf"]), min_train=1, quarters=(1, 4)
-    )
+    """Every month of the test years with enough rows before it, all gradients, all columns."""
+    w = X.features_wide(spark, sf)
+    scorer = lambda train, test: models.binary_scorer(_families(train.columns))(train, test)
+    scores = backtest.monthly_rebuild(w, _company_trends(spark, sf), None, scorer, start=_FIRST)
     return scores.groupBy("year_month").agg(F.count("*").alias("n"), F.bool_and(_inside("y_pred_proba")).alias("inside"))
 
 
-@query("m11", _CTES, f"{_D} select scorer, year_month, cik, ticker, true as scored from d cross join (values ('regression'), ('three_class')) t(scorer) where year_month in (24008, 24011)")
+@query("m11", _CTES, f"{_D} select scorer, year_month, cik, ticker, true as scored from d cross join (values ('regression'), ('three_class')) t(scorer) where year_month >= 24000")
 def m11(spark, sf):
     d = durable(_data(spark, sf))
     out = None
     for name, scorer in (("regression", models.regression_scorer(_AUG, **SMALL["boosted"])), ("three_class", models.three_class_scorer(["_augment"], epochs=15, layers=(8,)))):
-        scores = backtest.walk_forward(d, [24008, 24011], scorer).withColumn("scorer", F.lit(name))
+        scores = backtest.walk_forward(d, None, scorer, start=_FIRST).withColumn("scorer", F.lit(name))
         out = scores if out is None else out.unionByName(scores)
     return out.select("scorer", "year_month", "cik", "ticker", F.col("y_pred_proba").isNotNull().alias("scored"))
 
@@ -210,9 +267,9 @@ def _habit(train, test):
 
 
 @query("r2", _CTES, f"""{_D} select a.year_month, a.cik, a.ticker, round(coalesce((select avg(trend_up_or_down) from d b where b.cik = a.cik and b.year_month < a.year_month), 0.5), 6) as y_pred_proba
-  from d a where a.year_month in ({_IN})""")
+  from d a where a.year_month >= {_FIRST}""")
 def r2(spark, sf):
-    scores = backtest.walk_forward(_data(spark, sf), _MONTHS, _habit)
+    scores = backtest.walk_forward(_data(spark, sf), None, _habit, start=_FIRST)
     return rounded(scores.select("year_month", "cik", "ticker", "y_pred_proba"))
 
 
