@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import stored
+from ledgerlight.llm.common import discard, stored
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -33,9 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("v", "u"))
         low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
         large = stored(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(now, low)
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(moved.union(low.select("u", "m")).distinct(), "edges")
+        discard(large, low)
         before, seen = seen, _print(now)
         if seen == before:
             break

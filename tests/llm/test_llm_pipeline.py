@@ -5,13 +5,17 @@ import random
 import re
 import sys
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(__file__))
 from helpers import SPACE, ascii_lower, empty, hard, hard_rows, prose  # noqa: E402
-from test_llm_documents import hits, linked, print_of  # noqa: E402
+from test_llm_documents import hits  # noqa: E402
 
 import corpus_pipeline
-from ledgerlight.llm import langid, sentencepiece_scan, surrogates
-from ledgerlight.llm.common import stored, table
+from ledgerlight.llm import minhash, sentencepiece_scan, surrogates
+from ledgerlight.llm.common import stored, stored_tables, table
 
 
 def test_stages_and_query():
@@ -33,21 +37,39 @@ def test_every_stage_on_awkward_rows(spark, small):
     assert ids == sorted(["1", "6", "7", "8", "9", "10", "None"])
 
 
+def shingles(text):
+    words = re.findall(SPACE, ascii_lower(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard_groups(rows):
+    """Smallest id of the group of every (id, text), by comparing all pairs."""
+    label, sets = {i: i for i, _ in rows}, {i: shingles(t) for i, t in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or (0.8 * max(len(a), len(b)) <= min(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b))):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    return {i: find(i) for i in label}
+
+
 def test_run_equals_plain_stages(spark, small):
-    rows = table(spark, small, "documents").collect()
+    rows = sorted(table(spark, small, "documents").collect(), key=lambda r: r.doc_id)
+    before = stored_tables()
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, small).collect()}
+    assert stored_tables() == before + 1  # the result alone
     led = [r for r in rows if any(c.isalpha() for c in r.text or "")]
-    counts = langid.learn(table(spark, small, "documents").filter(~corpus_pipeline.held_out()))
-    model = langid.Model.gather(counts)
-    led = [r for r in led if model.predict([r.text])[0][1] >= corpus_pipeline.MIN_SHARE]
-    led.sort(key=lambda r: r.doc_id)
-    groups = linked([print_of(r.text) for r in led])
-    first = {}
-    for r, g in zip(led, groups):
-        first.setdefault(g, r)
+    groups = jaccard_groups([(r.doc_id, r.text) for r in led])
+    first = {r.doc_id: r for r in led if groups[r.doc_id] == r.doc_id}
     items = [(r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect()]
     dirty = {h[0] for h in hits([(r.doc_id, r.text) for r in first.values()], items) if h[5]}
-    want = {r.doc_id: r for r in first.values() if r.doc_id not in dirty}
+    want = {i: r for i, r in first.items() if i not in dirty}
     assert got.keys() == want.keys()
     with open(sentencepiece_scan.MODEL, "rb") as f:
         vocabulary = sentencepiece_scan.Vocabulary(f.read())
@@ -60,9 +82,14 @@ def test_run_equals_plain_stages(spark, small):
     assert plain == len(want) - mentions
 
 
-def shingles(text):
-    words = re.findall(SPACE, ascii_lower(text))
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def test_language_keeps_documents_of_many_languages(spark, small):
+    docs = table(spark, small, "documents")
+    parts = {}
+    for r in docs.filter("text is not null and length(text) > 1200").collect():
+        parts.setdefault(r.lang, " ".join(r.text.split()[:120]))
+    assert len(parts) >= 3
+    mixed = docs.limit(1).withColumn("text", F.lit(" ".join(parts[k] for k in sorted(parts))))
+    assert corpus_pipeline.language(spark, docs.union(mixed.withColumn("doc_id", F.lit(-5).cast("long"))), small).filter("doc_id = -5").count() == 1
 
 
 def test_near_copies_equal_brute_force_jaccard(spark):
@@ -74,19 +101,54 @@ def test_near_copies_equal_brute_force_jaccard(spark):
                 words[at] = f"new{rng.randrange(10**6)}"
             rows.append((base * 10 + copy, " ".join(words)))
     rows += [(900, None), (901, " "), (902, "one"), (903, "ONE")]
-    label, sets = {i: i for i, _ in rows}, {i: shingles(t) for i, t in rows}
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if i < j and (a == b or len(a & b) >= 0.8 * len(a | b)):
-                x, y = sorted((find(i), find(j)))
-                label[y] = x
-    want = {find(i) for i in label}
+    want = set(jaccard_groups(rows).values())
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()} == want
     assert len(want) < len(rows) / 2
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3000])
+def test_a_bucket_of_members_below_the_limit(spark, monkeypatch, block):
+    """Many texts at a similarity of 0.5 to 0.78 to each other, and a few copies of some: what is written
+    and compared grows with the members, and no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "STAR", 50)
+    sizes = {}
+    plain_stored = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name: (out := plain_stored(df, name), sizes.__setitem__(name, out.count()))[0])
+    rng, base, rows = random.Random(2), [f"w{i}" for i in range(400)], []
+    for i in range(300 if block > 5000 else 150):
+        words = list(base[:300])
+        # four or five shingles change with a word, so 7 to 16 changed words leave 0.5 to 0.78 to another text
+        for at in rng.sample(range(300), rng.randrange(7, 16)):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+        if i % 50 == 0:
+            words[rng.randrange(300)] = "copy"
+            rows.append((10_000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = jaccard_groups(rows)
+    got = {r.doc_id for r in minhash.one_of_each(df).collect()}
+    assert got == set(groups.values()) and len(got) < len(rows)
+    assert max(sizes.values()) <= minhash.BANDS * len(rows)
+    assert sizes["block-links"] <= minhash.BANDS * len(rows) and sizes["open-buckets"] > 0
+
+
+def test_two_thousand_members_of_one_bucket(spark, monkeypatch):
+    """One group, no member linked: rows follow the members, not their 2 million pairs."""
+    rng = np.random.default_rng(3)
+    common = np.sort(rng.integers(1, 1 << 62, 150).astype(np.uint64))
+    own = [np.unique(np.concatenate([common, rng.integers(1, 1 << 62, 40).astype(np.uint64)])) for _ in range(2000)]
+    label = minhash.group_links(own, np.zeros(2000, dtype=np.int64), np.arange(2000))
+    assert (label == np.arange(2000)).all()  # 150 of 230 shingles: 0.65
+    own[1999] = np.unique(np.concatenate([own[7][:-3], own[7][:1]]))
+    label = minhash.group_links(own, np.zeros(2000, dtype=np.int64), np.arange(2000))
+    assert np.flatnonzero(label != np.arange(2000)).tolist() == [1999] and label[1999] == 7
+
+
+def test_overlaps_of_all_sets():
+    rng = np.random.default_rng(5)
+    for n, m, kinds in ((1, 1, 5), (3, 40, 30), (60, 50, 200), (40, 40, 10_000)):
+        a, b = ([np.unique(rng.integers(0, kinds, rng.integers(1, 80)).astype(np.int64)) for _ in range(k)] for k in (n, m))
+        want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+        assert minhash.overlaps(a, b).tolist() == want
