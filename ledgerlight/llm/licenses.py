@@ -11,10 +11,15 @@ A signature is `BANDS` minima of one row each. A window that holds SIMILAR = 0.8
 a Jaccard similarity of at least 0.8 / (2 * 4 - 0.8 + 1) to it even when all its other shingles
 come from other templates, so it shares a band with probability 1 - (1 - s)^64 or more: over
 0.997 in that worst case, and practically 1 for a plain occurrence. Templates of a shared band are
-verified exactly: a match has at least SIMILAR of the template's shingles inside the window.
-
-Templates are configuration; their table is collected and broadcast. Null and empty texts match
-nothing. Extra columns stay; result columns replace input columns of their names.
+looked up by band value, so the cost does not follow their number, and verified exactly: a match has
+at least SIMILAR of the template's shingles inside the window, and where the template would stand
+there are its numbers and variant words, no others (a template of more than SHORT words: those in
+this order). So one version or variant is never taken for another.
+
+Templates are configuration; their table is collected and broadcast, an error beyond `MOST`
+characters. Null and empty texts match nothing; very long texts are scanned whole; repeated rows and
+null ids are rows like any other. Extra columns stay; result columns replace input columns of their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from ledgerlight.llm.decontaminate import tokens, word_hashes, words_of
 SHINGLE = 5
 BANDS = 64
 SIMILAR = 0.8
+#: Characters of all templates, which every task holds.
+MOST = 10_000_000
 
 # Notices of widespread licences, with the class of use that they allow.
 TEMPLATES = (
@@ -66,7 +73,21 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "restricted", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "restricted", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "restricted", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "restricted", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "restricted", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "restricted", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("GPL-2.0", "copyleft", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("EPL-2.0", "copyleft", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "permissive", "Distributed under the Boost Software License, Version 1.0."),
+    (
+        "GPL",
+        "copyleft",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+        " as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     (
         "GPL",
         "copyleft",
@@ -79,6 +100,27 @@ TEMPLATES = (
 )
 
 
+# Words that tell variants of a licence apart, besides numbers.
+VARIANTS = frozenset(
+    b"affero lesser library sharealike noncommercial noderivatives sa nc nd cc0 mozilla eclipse boost apache mit isc bsd".split()
+)
+#: Templates up to this many words must have exactly the same numbers and variant words; in longer ones other numbers may stand between.
+SHORT = 24
+
+
+def marks(words: list[bytes]) -> list[bytes]:
+    """Numbers and variant words, in order."""
+    return [w for w in words if w.isdigit() or w in VARIANTS]
+
+
+def same_variant(found: list[bytes], wanted: list[bytes], short: bool) -> bool:
+    """Whether a place has a template's version and variant; a long template's may have other marks between."""
+    if short:
+        return found == wanted
+    rest = iter(found)
+    return all(w in rest for w in wanted)
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     """name, use, text of the templates above."""
     return spark.createDataFrame(list(TEMPLATES), "name string, use string, text string")
@@ -104,7 +146,12 @@ class Templates:
     """Templates by class: (shingle length, stride)."""
 
     def __init__(self, rows: list[tuple[str, str, str]]):
+        if sum(len(r[2]) for r in rows) > MOST:
+            raise ValueError(f"templates of more than {MOST} characters")
         self.rows = rows
+        self.words = [words_of(text) for _, _, text in rows]
+        self.marks = list(map(marks, self.words))
+        self.bands: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
         self.classes: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for number, (_, _, text) in enumerate(rows):
             words = words_of(text)
@@ -113,7 +160,11 @@ class Templates:
             k = min(SHINGLE, len(words))
             own = np.unique(tokens(word_hashes(words), k))
             stride = 1 << int(len(words) - k + 1).bit_length()
-            self.classes.setdefault((k, stride), []).append((number, own, signature(own)))
+            self.classes.setdefault((k, stride), []).append((number, own, tokens(word_hashes(words), k)))
+            index = self.bands.setdefault((k, stride), {})
+            for cell in enumerate(signature(own).tolist()):
+                index.setdefault(cell, []).append(number)
+        self.own = {number: (own, every) for ts in self.classes.values() for number, own, every in ts}
         self.known = {k: np.unique(np.concatenate([own for (size, _), ts in self.classes.items() if size == k for _, own, _ in ts])) for k in {k for k, _ in self.classes}}
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
@@ -125,26 +176,35 @@ class Templates:
             ids = tokens(hashes, k)
             at = np.flatnonzero(known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids)
             if len(at):
-                for (size, stride), templates in self.classes.items():
+                for size, stride in self.classes:
                     if size == k:
-                        found += self._windows(at, ids[at], k, stride, templates)
+                        found += self._windows(words, at, ids[at], k, stride)
         return merged(found)
 
-    def _windows(self, at: np.ndarray, ids: np.ndarray, k: int, stride: int, templates: list) -> Iterator[tuple[int, int, int, float]]:
-        block = at // stride
+    def _variant(self, words: list[bytes], number: int, places: np.ndarray, held: np.ndarray, k: int) -> bool:
+        """Whether the words that stand where the template would are of its version and variant.
+
+        The first and the last found shingle say where the template begins and ends there.
+        """
+        every = self.own[number][1]
+        first, last = int(np.flatnonzero(every == held[0])[0]), int(np.flatnonzero(every == held[-1])[-1])
+        begin, end = max(0, int(places[0]) - first), int(places[-1]) + len(every) - last + k - 1
+        return same_variant(marks(words[begin:end]), self.marks[number], len(self.words[number]) <= SHORT)
+
+    def _windows(self, words: list[bytes], at: np.ndarray, ids: np.ndarray, k: int, stride: int) -> Iterator[tuple[int, int, int, float]]:
+        block, index = at // stride, self.bands[k, stride]
         for j in np.unique(np.concatenate((block, np.maximum(block - 1, 0)))).tolist():
             lo, hi = np.searchsorted(block, j), np.searchsorted(block, j + 1, side="right")
             places, held = at[lo:hi], ids[lo:hi]
             if not len(held):
                 continue
-            own = np.unique(held)
-            bands = signature(own)
-            for number, shingles, signed in templates:
-                if not (bands == signed).any():
-                    continue
+            # templates that share a band, by one look-up for each band, however many templates there are
+            retrieved = {n for cell in enumerate(signature(np.unique(held)).tolist()) for n in index.get(cell, ())}
+            for number in sorted(retrieved):
+                shingles = self.own[number][0]
                 inside = np.isin(held, shingles)
                 share = len(np.unique(held[inside])) / len(shingles)
-                if share >= SIMILAR:
+                if share >= SIMILAR and self._variant(words, number, places[inside], held[inside], k):
                     yield number, int(places[inside][0]), int(places[inside][-1]) + k, share
 
 
