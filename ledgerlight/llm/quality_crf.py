@@ -5,10 +5,10 @@ few measurements (length, symbols, capitals, digits, repetition, punctuation). V
 marks lines as content or boilerplate; a text is kept if it passes the base rule and at least
 `SHARE` of its words stand in content lines.
 
-The field is trained on at most `SAMPLE` labelled documents, those with the smallest hash of
-their id: lines of good documents are content, lines of bad ones boilerplate. Sequences are cut at
-`CUT` lines for training only; decoding runs over whole texts. Where the labels lack a class,
-`untrained` weights are used.
+The field is trained on at most `SAMPLE` labelled documents of together at most `LINES` lines, those
+with the smallest hash of their id. Their labels are weak: line labels are latent and summed out, so
+a document may hold both kinds. Sequences are cut at `CUT` lines for training only; decoding runs
+over whole texts. Where the labels lack a class, `untrained` weights are used.
 
 Null and wordless texts have zero counts, no content and fail the base rule. Extra columns stay;
 result columns replace input columns of their names. Repeated rows are assessed alike. Repeated
@@ -29,6 +29,10 @@ from pyspark.sql import types as T
 SAMPLE = 4000
 CUT = 64
 SHARE = 0.5
+#: Nats by which a document's label speaks for each of its lines, and the prior of transitions (a penalty).
+TILT, STAY = 2.0, 1.0
+#: Lines that training holds at most.
+LINES = 200_000
 MIN_WORDS = 50
 MAX_REPEAT = 50
 
@@ -180,56 +184,77 @@ def untrained() -> Field:
     return Field(emission, np.array([[0.5, -0.5], [-0.5, 0.5]]), np.zeros(2))
 
 
-def train(bins: list[np.ndarray], good: list[bool], rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood of the line labels by gradient steps (Adam) over padded sequences."""
-    if not (any(good) and not all(good)):
-        return untrained()
-    parts = [(x[a : a + CUT], y) for x, y in zip(bins, good, strict=True) for a in range(0, len(x), CUT)]
-    steps = max(len(x) for x, _ in parts)
-    which = np.zeros((len(parts), steps, len(BINS)), dtype=np.int64)
-    there = np.zeros((len(parts), steps), dtype=bool)
-    label = np.array([int(y) for _, y in parts])
-    # both classes weigh the same, so that rare bad documents are learned as well
-    weight = np.array([0.5 / sum(good) if y else 0.5 / (len(good) - sum(good)) for _, y in parts])
-    for k, (x, _) in enumerate(parts):
-        which[k, : len(x)], there[k, : len(x)] = x, True
-    column = which + np.arange(len(BINS)) * WIDTH
-    size = len(BINS) * WIDTH
-    theta = np.zeros(size + 6)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    n = there.sum(axis=1)
-    for t in range(1, rounds + 1):
-        e, move, start = theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :]
-        emit = np.zeros((len(parts), steps, 2))
-        emit[:, :, 1] = e[column].sum(axis=2)
-        forward = np.zeros((len(parts), steps, 2))
-        backward = np.zeros((len(parts), steps, 2))
+class Chains:
+    """Padded sequences, and expectations of a field's features over their labellings."""
+
+    def __init__(self, bins: list[np.ndarray]):
+        steps = max(map(len, bins))
+        which = np.zeros((len(bins), steps, len(BINS)), dtype=np.int64)
+        self.there = np.zeros((len(bins), steps), dtype=bool)
+        for k, x in enumerate(bins):
+            which[k, : len(x)], self.there[k, : len(x)] = x, True
+        self.column = which + np.arange(len(BINS)) * WIDTH
+        self.size = len(BINS) * WIDTH
+
+    def expect(self, theta: np.ndarray, tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-partition, chance of content per line, pairs of labels (2 x 2) and first labels of each
+        sequence; `tilt` is added to the score of content on every line of a sequence."""
+        move, start, there = theta[self.size : self.size + 4].reshape(2, 2), theta[self.size + 4 :], self.there
+        emit = np.zeros((*there.shape, 2))
+        emit[:, :, 1] = theta[: self.size][self.column].sum(axis=2) + tilt[:, None]
+        forward, backward = np.zeros_like(emit), np.zeros_like(emit)
         forward[:, 0] = start + emit[:, 0]
-        for i in range(1, steps):
+        for i in range(1, there.shape[1]):
             got = np.logaddexp(forward[:, i - 1, 0, None] + move[0], forward[:, i - 1, 1, None] + move[1]) + emit[:, i]
             forward[:, i] = np.where(there[:, i, None], got, forward[:, i - 1])
-        for i in range(steps - 2, -1, -1):
+        for i in range(there.shape[1] - 2, -1, -1):
             ahead = emit[:, i + 1] + backward[:, i + 1]
             got = np.logaddexp(move[:, 0] + ahead[:, 0, None], move[:, 1] + ahead[:, 1, None])
             backward[:, i] = np.where(there[:, i + 1, None], got, 0.0)
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         chance = np.exp(np.minimum(forward + backward - total[:, None, None], 0.0)) * there[:, :, None]
-        w = weight[:, None] * there
-        grad = np.zeros_like(theta)
-        diff = w * ((label[:, None] == 1) - chance[:, :, 1])
-        grad[:size] = np.bincount(column.ravel(), weights=np.repeat(diff.ravel(), len(BINS)), minlength=size)
-        both = there[:, 1:]
+        pairs = np.zeros((len(there), 2, 2))
         for a in range(2):
             for b in range(2):
-                joint = np.exp(np.minimum(forward[:, :-1, a] + move[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, None], 0.0)) * both
-                seen = ((label == a) & (label == b)) * (n - 1)
-                grad[size + 2 * a + b] = (weight * (seen - joint.sum(axis=1))).sum()
-            grad[size + 4 + a] = (weight * ((label == a) - chance[:, 0, a])).sum()
-        grad -= penalty * theta
+                joint = forward[:, :-1, a] + move[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, None]
+                pairs[:, a, b] = (np.exp(np.minimum(joint, 0.0)) * there[:, 1:]).sum(axis=1)
+        return total, chance[:, :, 1], pairs, chance[:, 0]
+
+    def slope(self, theta: np.ndarray, tilt: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted log-likelihood of the documents' labels, line labels summed out, and its gradient."""
+        told, free = self.expect(theta, tilt), self.expect(theta, np.zeros_like(tilt))
+        grad = np.zeros_like(theta)
+        diff = weight[:, None] * (told[1] - free[1])
+        grad[: self.size] = np.bincount(self.column.ravel(), weights=np.repeat(diff.ravel(), len(BINS)), minlength=self.size)
+        grad[self.size : self.size + 4] = (weight[:, None, None] * (told[2] - free[2])).sum(axis=0).ravel()
+        grad[self.size + 4 :] = (weight[:, None] * (told[3] - free[3])).sum(axis=0)
+        return float((weight * (told[0] - free[0])).sum()), grad
+
+
+def train(bins: list[np.ndarray], good: list[bool], rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+    """Maximum likelihood of the documents' labels by gradient steps (Adam) over padded sequences.
+
+    Line labels are latent: a label of a document only makes each of its lines likelier content, or
+    boilerplate, by `TILT`. Transitions have a prior of their own, `STAY`, because documents that are
+    labelled as a whole say little about changes inside them.
+    """
+    if not (any(good) and not all(good)):
+        return untrained()
+    parts = [(x[a : a + CUT], y) for x, y in zip(bins, good, strict=True) for a in range(0, len(x), CUT)]
+    chains = Chains([x for x, _ in parts])
+    # both classes weigh the same, so that rare bad documents are learned as well
+    weight = np.array([0.5 / sum(good) if y else 0.5 / (len(good) - sum(good)) for _, y in parts])
+    tilt = np.array([TILT if y else -TILT for _, y in parts])
+    theta = np.zeros(chains.size + 6)
+    cost = np.full_like(theta, penalty)
+    cost[chains.size : chains.size + 4] = STAY
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, rounds + 1):
+        grad = chains.slope(theta, tilt, weight)[1] - cost * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         theta = theta + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return Field(theta[:size].reshape(len(BINS), WIDTH), theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
+    return Field(theta[: chains.size].reshape(len(BINS), WIDTH), theta[chains.size : chains.size + 4].reshape(2, 2), theta[chains.size + 4 :])
 
 
 def _again(lines: list[bytes]) -> list[bool]:
@@ -252,11 +277,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2).cast(pa.int32())], names=["id", "bins", "good"])
 
     kind = picked.schema["_id"].dataType.simpleString()
-    rows = picked.mapInArrow(run, f"id {kind}, bins binary, good int").orderBy("id").toArrow()
+    measured_ = picked.mapInArrow(run, f"id {kind}, bins binary, good int")
+    # numbers of lines first, so that no more than LINES come to the driver
+    order = measured_.select("id", F.floor(F.length("bins") / len(BINS)).alias("n"), F.xxhash64("id").alias("h")).filter("n > 0").orderBy("h", "id").collect()
+    total = np.cumsum([r["n"] for r in order])
+    chosen = [r["id"] for r, n in zip(order, total, strict=True) if n <= LINES]
+    rows = measured_.filter(F.col("id").isin(chosen)).orderBy("id").toArrow()
     bins = [np.frombuffer(x, dtype=np.uint8).reshape(-1, len(BINS)) for x in rows.column("bins").to_pylist()]
-    good = [x > 0 for x in rows.column("good").to_pylist()]
-    some_lines = [(x, y) for x, y in zip(bins, good, strict=True) if len(x)]
-    return train([x for x, _ in some_lines], [y for _, y in some_lines])
+    return train(bins, [x > 0 for x in rows.column("good").to_pylist()])
 
 
 def assess(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -84,6 +85,58 @@ def test_op1_viterbi_is_the_best_path():
         assert score(field.decode(bins).astype(int).tolist()) == pytest.approx(best)
 
 
+def test_op1_gradient_equals_enumeration():
+    rng = np.random.default_rng(4)
+    width = len(quality_crf.BINS) * quality_crf.WIDTH
+    bins = [rng.integers(0, 3, size=(n, len(quality_crf.BINS))) for n in (1, 3, 5)]
+    theta, tilt, weight = rng.normal(size=width + 6), np.array([2.0, -2.0, 2.0]), np.array([0.2, 0.5, 0.3])
+    chains = quality_crf.Chains(bins)
+
+    def likelihood(theta):
+        emission, move, start = theta[:width].reshape(len(quality_crf.BINS), -1), theta[width : width + 4].reshape(2, 2), theta[width + 4 :]
+        out = 0.0
+        for x, t, w in zip(bins, tilt, weight):
+            e = emission[np.arange(x.shape[1]), x].sum(axis=1)
+            told = free = 0.0
+            for path in itertools.product((0, 1), repeat=len(x)):
+                s = start[path[0]] + sum(e[i] for i, y in enumerate(path) if y) + sum(move[a, b] for a, b in itertools.pairwise(path))
+                told, free = told + np.exp(s + t * sum(path)), free + np.exp(s)
+            out += w * (np.log(told) - np.log(free))
+        return out
+
+    value, grad = chains.slope(theta, tilt, weight)
+    assert value == pytest.approx(likelihood(theta))
+    used = {*np.unique(chains.column[chains.there])[::7].tolist(), *range(width, width + 6)}
+    for k in used:
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        assert grad[k] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-5, abs=1e-6)
+
+
+def test_op1_shares_of_mixed_texts(spark, small, docs):
+    """Half of the lines from a bad document, half from a good one: about half of the words are content."""
+    field = quality_crf.fit(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), table(spark, small, "labels"))
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, small, "labels").collect()}
+    lines = {q: [x for i, t in docs.items() if labels.get(i) == q and t and len(t.split()) >= 60 for x in t.split("\n") if len(x.split()) >= 6][:400] for q in (0, 1)}
+    rows = []
+    for k in range(20):
+        good, bad = lines[1][k * 8 : k * 8 + 8], lines[0][k * 8 : k * 8 + 8]
+        if len(good) == len(bad) == 8:
+            rows.append((k, "\n".join(bad + good if k % 2 else good + bad), len(" ".join(good).split()) / len(" ".join(good + bad).split())))
+    got = quality_crf.assess(spark.createDataFrame(rows, "doc_id long, text string, truth double"), field).collect()
+    off = sorted(abs(r.content_words / r.n_words - r.truth) for r in got)
+    assert len(off) >= 5 and off[len(off) // 2] < 0.1 and sum(x < 0.1 for x in off) >= 0.8 * len(off), off
+
+
+def test_op1_lines_of_training_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "LINES", 30)
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda bins, good: seen.append(sum(map(len, bins))) or quality_crf.untrained())
+    rows = [(i, "\n".join(f"line {k} of {i}" for k in range(7))) for i in range(40)]
+    quality_crf.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert seen == [28]
+
+
 def test_op1_content_text(spark):
     text = prose(60) + "\n### $$$ %%% ###\n\n" + prose(60, 3)
     out = quality_crf.content_text(quality_crf.assess(spark.createDataFrame([(1, text)], "doc_id long, text string"), quality_crf.untrained())).first()
