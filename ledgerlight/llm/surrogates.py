@@ -1,7 +1,10 @@
 """Personal data replaced by surrogates that keep type, format, script and gender.
 
-Entities are found by patterns: e-mail addresses, IPv4 addresses, telephone, card, social security
-and account numbers, quoted secrets, and names behind a title. An entity is its type and canonical
+Entities are found by patterns: e-mail addresses, IPv4 and IPv6 addresses, telephone numbers with a
+country's code or in the grouping 3-3-4, card numbers in the usual groups or of 13 to 19 digits that
+pass the Luhn check, social security and account numbers, quoted, named and cloud-access secrets, and
+names behind a title. A name that was found is also replaced where the same text has it without the
+title, whole or the surname alone. An entity is its type and canonical
 form (lower case, digits without separators), so mentions in another case or grouping are the same
 entity. Its surrogate comes from a keyed hash of both: digits give digits, letters give letters of
 their script, given names keep the gender of the title, hexadecimal secrets stay hexadecimal, card
@@ -29,6 +32,7 @@ from ledgerlight.llm.common import fresh, stored
 # Titles, scripts and syllables.
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа")
 TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н")
+TITLES_N = ("Dr", "Prof", "Professor", "Doctor")
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ACCENTED = "àáâäçèéêëíîïñóôöùúûü"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -41,7 +45,11 @@ ROUNDS = 40
 GROW = 4
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_TITLE = "|".join((*TITLES_F, *TITLES_M))
+_TITLE = "|".join((*TITLES_F, *TITLES_M, *TITLES_N))
+_FIRST = "[DFHMPSГ]"  # a title's first letter
+# what a secret is assigned to
+_KEYED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 # what may stand between the groups of a number
 _GAP = r"[^\p{L}\p{N}(+]{0,8}"
 # a part of a name, to its last letter: inner capitals, apostrophes and hyphens, without a possessive s
@@ -49,21 +57,33 @@ _PART = r"\p{Lu}(?:['’]?\p{L}++)(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 #: Every pattern begins with what a rare first character rules out, so most positions cost one test.
 PATTERNS = {
     "secret": r"=[^\p{L}\p{N}\"]{0,8}\"[0-9A-Za-z+/_-]{16,}\"",
+    "keyed": rf"(?=[PpSsTtAa])(?<!\p{{L}}){_KEYED}\"?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{{8,}}+[\"']?",
+    "access": r"(?=A[KS]IA)(?<![\p{L}\p{N}])A[KS]IA[0-9A-Z]{16}(?![\p{L}\p{N}])",
+    "ip6": (
+        r"(?=[0-9A-Fa-f]{0,4}:)(?<![\p{L}\p{N}:.])(?:"
+        rf"(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}"
+        r")(?![\p{L}\p{N}:])"
+    ),
     "number": (
-        r"(?=[+0-9])(?:"
+        r"(?=[+(0-9])(?:"
         rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"
         rf"|\+[0-9]{{1,3}}{_GAP}\([0-9]{{2,4}}\){_GAP}[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])"
+        r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}|[ .-]?\([0-9]{1,4}\)){2,4}(?![0-9])"
+        r"|(?<![\p{L}\p{N}+(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+        r"|(?<![0-9.+-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9-])"
         r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
         r"|(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
+        r"|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
+        r"|(?<![\p{L}\p{N}.,-])[0-9]{13,19}(?![\p{L}\p{N}-])"
         r")"
     ),
     "account": r"(?=[A-Z]{2}[0-9]{2})(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}|[ ](?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "name": rf"(?=[FHMSГ])(?<!\p{{L}})(?:{_TITLE})\.? {_PART}(?: {_PART})?",
+    "name": rf"(?={_FIRST})(?<!\p{{L}})(?:{_TITLE})\.? {_PART}(?: {_PART})?",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match needs; texts without it are not searched any further.
-HINT = rf"[0-9@=]|(?=[FHMSГ])(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@=]|(?={_FIRST})(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def mentions(text: Column) -> Column:
@@ -74,20 +94,21 @@ def mentions(text: Column) -> Column:
 def kind(m: Column) -> Column:
     """Type of a match. The order settles what could be read as two types."""
     return (
-        F.when(m.startswith("="), "secret")
+        F.when(m.startswith("=") | m.rlike(rf"^{_KEYED}") & m.rlike("[:=]") | m.rlike("^A[KS]IA[0-9A-Z]{16}$"), "secret")
         .when(m.contains("@"), "email")
         .when(m.rlike(rf"^(?:{_TITLE})\.? "), "name")
-        .when(m.startswith("+"), "phone")
+        .when(m.contains(":"), "ip6")
+        .when(m.rlike(r"^[+(]|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$"), "phone")
         .when(m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "ip")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(m.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}$"), "card")
+        .when(m.rlike(r"^[0-9 -]+$"), "card")
         .otherwise("account")
     )
 
 
 def _inner(m: Column) -> Column:
-    """What a secret's quotes hold."""
-    return F.regexp_extract(m, '"([^"]+)"', 1)
+    """What a secret's quotes hold, or what follows its name."""
+    return F.when(m.startswith("="), F.regexp_extract(m, '"([^"]+)"', 1)).otherwise(F.regexp_extract(m, "([0-9A-Za-z+/_-]+)[\"']?$", 1))
 
 
 def entities(m: Column) -> Column:
@@ -98,14 +119,19 @@ def entities(m: Column) -> Column:
 
     digits = F.regexp_replace(m, "[^0-9]", "")
     names = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
-    given = F.when(m.rlike(rf"^(?:{'|'.join(TITLES_F)})\.? "), "given_f").otherwise("given_m")
-    code = F.regexp_extract(m, r"^\+([0-9]+)", 1)
+    given = F.when(m.rlike(rf"^(?:{'|'.join(TITLES_F)})\.? "), "given_f").when(m.rlike(rf"^(?:{'|'.join(TITLES_N)})\.? "), "given_n").otherwise("given_m")
+    # the country's code: digits up to a separator, else two; none in a national number
+    code = F.when(m.rlike(r"^\+[0-9]{1,3}[^0-9]"), F.regexp_extract(m, r"^\+([0-9]+)", 1)).otherwise(F.regexp_extract(m, r"^\+([0-9]{2})", 1))
+    # long runs of digits are cards only if they pass the check; those in the usual groups always
+    loose = ~m.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}$|^3[47]") & (luhn(digits) % 10 != 0)
     which = kind(m)
     return (
         F.when(which == "email", F.array(one(0, "email", F.lower(m)), one(1, "host", F.lower(F.substring_index(m, "@", -1)))))
         .when((which == "name") & (F.size(names) == 2), F.array(one(0, given, F.lower(names[0])), one(1, "surname", F.lower(names[1]))))
         .when(which == "name", F.array(one(0, "surname", F.lower(names[0]))))
         .when(which == "phone", F.array(one(0, "phone", F.concat(code, F.lit("|"), F.substring(digits, F.length(code) + 1, F.length(digits))))))
+        .when((which == "card") & loose, F.array().cast("array<struct<part:int,type:string,canon:string>>"))
+        .when(which == "ip6", F.array(one(0, "ip6", F.lower(m))))
         .when(which.isin("ssn", "card"), F.array(one(0, which, digits)))
         .when(which == "account", F.array(one(0, "account", F.regexp_replace(m, " ", ""))))
         .when(which == "ip", F.array(one(0, "ip", m)))
@@ -153,18 +179,21 @@ def _name(canon: Column, h: Column, attempt: Column, end: tuple[str, str]) -> Co
     return F.when(canon.rlike("[а-яё]"), of(SYLLABLES_CYRILLIC, end[1])).otherwise(of(SYLLABLES_LATIN, end[0]))
 
 
-def _checked(digits: Column, original: Column) -> Column:
-    """Last digit set so that the number passes the Luhn check, where the original does."""
+def luhn(digits: Column) -> Column:
+    """The Luhn sum of a number: every second digit from the right but one is doubled."""
 
-    def total(n: Column) -> Column:
-        def add(acc: Column, c: Column) -> Column:
-            d = c.cast("int") * F.when(acc["k"] % 2 == 0, 2).otherwise(1)
-            return F.struct((acc["s"] + F.when(d > 9, d - 9).otherwise(d)).alias("s"), (acc["k"] + 1).alias("k"))
+    def add(acc: Column, c: Column) -> Column:
+        d = F.coalesce(c.try_cast("int"), F.lit(0)) * F.when(acc["k"] % 2 == 1, 2).otherwise(1)
+        return F.struct((acc["s"] + F.when(d > 9, d - 9).otherwise(d)).alias("s"), (acc["k"] + 1).alias("k"))
 
-        return F.aggregate(F.split(n, ""), F.struct(F.lit(0).alias("s"), F.lit(0).alias("k")), add, lambda a: a["s"])
+    return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("s"), F.lit(0).alias("k")), add, lambda a: a["s"])
 
-    body = F.concat(F.substring(digits, 1, 15), F.lit("0"))
-    return F.when(total(original) % 10 == 0, F.concat(F.substring(digits, 1, 15), F.pmod(-total(body), F.lit(10)).cast("string"))).otherwise(digits)
+
+def _checked(digits: Column, original: Column) -> Column:
+    """Last digit set so that the number passes the Luhn check, where the original does."""
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    last = F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    return F.when(luhn(original) % 10 == 0, F.concat(body, last)).otherwise(digits)
 
 
 def surrogate(name: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -189,6 +218,8 @@ def surrogate(name: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(name == "account", F.concat(F.substring(canon, 1, 2), F.substring(_letters(canon, h), 3, 99)))
         .when(name == "given_f", _name(canon, h, attempt, ("na", "на")))
         .when(name == "given_m", _name(canon, h, attempt, ("n", "н")))
+        .when(name == "given_n", _name(canon, h, attempt, ("s", "с")))
+        .when(name == "ip6", _letters(canon, h, True))
         .when(name == "surname", _name(canon, h, attempt, ("r", "р")))
         .otherwise(_letters(canon, h, canon.rlike("^[0-9a-f]+$")))
     )
@@ -244,7 +275,30 @@ def written(m: Column, first: Column, second: Column) -> Column:
     own = F.when(which == "secret", _inner(m)).otherwise(m)
     loud = (own == F.upper(own)) & (own != F.lower(own)) & which.isin("email", "secret")
     cased = F.when(loud, F.upper(plain)).otherwise(plain)
-    return F.when(which == "secret", F.concat(F.regexp_extract(m, '^(=[^"]*")', 1), cased, F.lit('"'))).otherwise(cased)
+    # around a secret: what stands before and behind its value
+    value = F.length(own)
+    behind = F.when(m.rlike("[\"']$"), 1).otherwise(0)
+    around = F.concat(F.substring(m, F.lit(1), F.length(m) - value - behind), cased, F.substring(m, F.length(m) - behind + 1, behind))
+    return F.when(which == "secret", around).otherwise(cased)
+
+
+def _again(gap: Column, names: Column) -> Column:
+    """Text between mentions with the names of the text's mentions replaced, where they stand without a title."""
+
+    def put(acc: Column, x: Column) -> Column:
+        return F.regexp_replace(acc, F.concat(F.lit(r"(?<!\p{L})"), x["known"], F.lit(r"(?![\p{L}])")), x["new"])
+
+    return F.when(F.size(names) == 0, gap).otherwise(F.aggregate(names, gap, put))
+
+
+def _names(found: Column, new: Column) -> Column:
+    """Names of a text's mentions with their surrogates: whole ones first, then surnames."""
+    bare = lambda m: F.regexp_replace(m, r"^\S+ ", "")
+    last = lambda m: F.substring_index(m, " ", -1)
+    pairs = F.filter(F.zip_with(found, new, lambda m, n: F.struct(m.alias("known"), n.alias("new"))), lambda x: kind(x["known"]) == "name")
+    both = F.transform(pairs, lambda x: F.struct(bare(x["known"]).alias("known"), bare(x["new"]).alias("new")))
+    one = F.transform(pairs, lambda x: F.struct(last(x["known"]).alias("known"), last(x["new"]).alias("new")))
+    return F.array_distinct(F.concat(F.filter(both, lambda x: x["known"].contains(" ")), one))
 
 
 def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
@@ -253,7 +307,7 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None =
     `count` names a column for the number of replaced mentions (one of that name is replaced).
     """
     docs = docs.drop(count) if count else docs
-    digest, at, parts, found_at = fresh(docs, "_digest", "_key", "_parts", "_mentions")
+    digest, at, parts, found_at, new_at, names_at = fresh(docs, "_digest", "_key", "_parts", "_mentions", "_replaced", "_names")
     body = F.col(f"`{text}`")
     has = F.coalesce(body.rlike(HINT) & body.rlike(PATTERN), F.lit(False))
     clean = docs.filter(~has)
@@ -272,12 +326,15 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str | None =
     named = found.join(table, ["type", "canon"]).select("digest", F.concat_ws(":", "pos", "part").alias("at"), "surrogate")
     by_text = named.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias(parts))
     by_text = stored(by_text.withColumnRenamed("digest", at), "replacements")
-    joined = dirty.withColumn(digest, F.md5(body.cast("binary"))).join(by_text, F.col(digest) == F.col(at))
+    joined = dirty.withColumn(digest, F.md5(body.cast("binary"))).join(by_text, F.col(digest) == F.col(at), "left")
     spot = lambda i, part: F.col(parts)[F.concat(i.cast("string"), F.lit(f":{part}"))]
-    new = F.transform(F.col(found_at), lambda m, i: written(m, spot(i, 0), spot(i, 1)))
+    # a match that is no entity after all has no surrogate and stays
+    new = F.transform(F.col(found_at), lambda m, i: F.when(spot(i, 0).isNull(), m).otherwise(written(m, spot(i, 0), spot(i, 1))))
     gaps = F.split(body, PATTERN, -1)
-    pieces = F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
+    pieces = F.zip_with(gaps, F.col(new_at), lambda g, n: F.concat(_again(g, F.col(names_at)), F.coalesce(n, F.lit(""))))
     columns = [F.array_join(pieces, "").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    number = [F.size(found_at).cast("long").alias(count)] if count else []
-    changed = joined.withColumn(found_at, mentions(body)).select(*columns, *number)
+    is_one = F.transform(F.col(found_at), lambda m, i: spot(i, 0).isNotNull())
+    number = [F.size(F.filter(is_one, lambda x: x)).cast("long").alias(count)] if count else []
+    made = joined.withColumn(found_at, mentions(body)).withColumn(new_at, new)
+    changed = made.withColumn(names_at, _names(F.col(found_at), F.col(new_at))).select(*columns, *number)
     return (clean.withColumn(count, F.lit(0).cast("long")) if count else clean).unionByName(changed)
