@@ -87,7 +87,8 @@ def gradients(
     `wide` holds one row per (cik, period); `history` adds earlier filings for comparison
     only, the work rows win. Of several filings in a month the latest is compared with.
     All quarters come from one window pass over a company's filings: a range frame reaches
-    exactly 3n months back whatever lies between.
+    exactly 3n months back whatever lies between. A row's values travel as one array, and names
+    return at the end, so the plan has one expression for each quarter instead of each column.
     """
     names = enhance_names(wide.columns, suffixes)
     if not names:
@@ -98,11 +99,12 @@ def gradients(
         known = extra.join(wide.select("cik", "period"), ["cik", "period"], "left_anti")
         rows = rows.unionByName(dedupe_filings(known).withColumn("_work", F.lit(False)), allowMissingColumns=True)
     rows = rows.withColumn("_m", D.month_index(D.parse_day(F.col("period"))))
-    cells = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = rows.withColumn("_now", F.array(*[F.col(f"`{c}`").cast("double") for c in names]))
     by_month = Window.partitionBy("cik").orderBy("_m")
-    past = {f"_h{q}": F.max_by(cells, F.col("period")).over(by_month.rangeBetween(-3 * q, -3 * q)) for q in quarters}
+    past = {f"_h{q}": F.max_by("_now", "period").over(by_month.rangeBetween(-3 * q, -3 * q)) for q in quarters}
     seen = rows.withColumns(past).filter("_work")
-    made = {f"{base}_change_q{q}": change(F.col(f"`{c}`"), F.col(f"_h{q}")[c]) for q in quarters for c, base in names.items()}
+    seen = seen.withColumns({f"_h{q}": F.zip_with("_now", f"_h{q}", lambda now, then: change(now, then)) for q in quarters})
+    made = {f"{base}_change_q{q}": F.get(f"_h{q}", F.lit(i)) for q in quarters for i, base in enumerate(names.values())}
     period = {"period": D.to_int(D.month_end(F.col("_m")))}
     return seen.select(*[period[c].alias(c) if c in period else F.col(f"`{c}`") for c in wide.columns], *[e.alias(c) for c, e in made.items()])
 

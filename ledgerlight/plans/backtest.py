@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from pyspark.sql import types as T
 from ledgerlight import config as C
 from ledgerlight.operators import portfolio, selection
 from ledgerlight.plans.dataset import assemble, join_labels
-from ledgerlight.session import durable, table_path
+from ledgerlight.session import durable, side_by_side, table_path
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 KEEP = ("year_month", "cik", "period", "ticker", "price_return")
@@ -43,24 +41,6 @@ def months_between(sizes: Mapping[int, int], start: int | None = None, end: int
     return [m for m in sorted(sizes) if (start is None or m >= start) and (end is None or m <= end)]
 
 
-def _each(spark: SparkSession, months: Sequence[int], task: Callable[[int], None], together: int) -> None:
-    """Run a month's fit and score for all months, at most `together` at a time.
-
-    Each month is a stream of distributed jobs in a scheduler pool of its own; while one waits for
-    its last tasks, others use the free ones. The first failure ends the run; months that were
-    stored stay stored.
-    """
-
-    def run(month: int) -> None:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"month-{month}")
-        task(month)
-
-    with ThreadPoolExecutor(max(1, together)) as pool:
-        # a wrapper for each month: every thread inherits the caller's properties and session
-        for done in [pool.submit(inheritable_thread_target(spark)(run), m) for m in months]:
-            done.result()
-
-
 def _rows_per_month(df: DataFrame) -> dict[int, int]:
     """One small row for each month of the calendar."""
     return {r["year_month"]: r["n"] for r in df.groupBy("year_month").agg(F.count("*").alias("n")).collect()}
@@ -101,7 +81,7 @@ def walk_forward(
         scored = scorer(data.filter(F.col("year_month") < month), data.filter(F.col("year_month") == month))
         _store_month(scored.select(*[c for c in keep if c in scored.columns], "y_pred_proba"), path, month)
 
-    _each(spark, todo, one, together)
+    side_by_side(spark, todo, one, together, "month")
     return _scores(data, path, keep)
 
 

@@ -30,13 +30,25 @@ def t01(spark, sf):
     return catchup.store_new_filings(stream, known, table_path(spark, "new-filings")).select("adsh", "cik", "form", "period")
 
 
-@query("t02", "facts", "select cik, period, form, tag, qtrs, max(ddate) as crt_ddate, round(max((ddate, value))[2], 6) as crt_value from facts group by all")
+_LATEST = "select cik, period, form, tag, qtrs, max(ddate) as crt_ddate, round(max((ddate, value))[2], 6) as crt_value from facts group by all"
+
+
+@query("t02", "facts", _LATEST)
 def t02(spark, sf):
     f = X.facts(spark, sf).select("cik", "period", "form", "tag", "qtrs", "ddate", "value")
     stream = catchup.latest_facts(_as_stream(spark, f, "facts"))
     return rounded(catchup.drain(stream, "latest-facts", "update", ["cik", "period", "form", "tag", "qtrs"]))
 
 
+@query("t02_upsert", "facts", _LATEST)
+def t02_upsert(spark, sf):
+    """The same as a keyed table of which a batch rewrites the parts it touches."""
+    keys = ["cik", "period", "form", "tag", "qtrs"]
+    f = X.facts(spark, sf).select(*keys, "ddate", "value")
+    table = catchup.upsert_latest(_as_stream(spark, f, "facts"), table_path(spark, "upserted"), keys, ["ddate"], 8)
+    return rounded(table.withColumnsRenamed({"ddate": "crt_ddate", "value": "crt_value"}))
+
+
 @query("t03", sql="""with m as (select max(ts) as last from events), w as (select user_id, date_trunc('day', ts) as period_start, arg_max(value, (ts, event_id)) as last_value, count(*) as rows from events group by all)
   select user_id, cast(period_start as date) as day, last_value, rows from w, m where period_start + interval 1 day <= last - interval 1 hour""")
 def t03(spark, sf):

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+Item = TypeVar("Item")
 
 
 def local_session(cpus: int | str = "*", app: str = "ledgerlight", memory: str = "16g") -> SparkSession:
@@ -51,3 +56,28 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor never changes the rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_paths(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared file system; missing ones are fine."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def side_by_side(spark: SparkSession, items: Sequence[Item], task: Callable[[Item], None], together: int, pool: str = "fit") -> None:
+    """Run a task for all items, at most `together` at a time.
+
+    Each is a stream of distributed jobs in a scheduler pool of its own; while one waits for its
+    last tasks, others use the free ones. The first failure ends the run.
+    """
+
+    def run(item: Item) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{pool}-{item}")
+        task(item)
+
+    with ThreadPoolExecutor(max(1, together)) as threads:
+        # a wrapper for each item: every thread inherits the caller's properties and session
+        for done in [threads.submit(inheritable_thread_target(spark)(run), i) for i in items]:
+            done.result()

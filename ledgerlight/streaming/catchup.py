@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from ledgerlight.operators.ordered import keep_first
 from ledgerlight.schema import HISTORY_KEY
-from ledgerlight.session import table_path
+from ledgerlight.session import delete_paths, table_path
 
 
 # state on local disk with changes in the checkpoint folder: its size is not bounded by memory
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+#: Parts of an upserted table.
+BUCKETS = 64
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -59,6 +61,72 @@ def latest_facts(facts: DataFrame, keys: Sequence[str] = HISTORY_KEY) -> DataFra
     return g.select(*keys, F.col("_m.ddate").alias("crt_ddate"), F.col("_m.value").alias("crt_value"))
 
 
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a table of `upsert_latest`, from the newest version of each part."""
+    return _parts(spark, path, schema, _map_of(spark, path)[1])
+
+
+def _map_of(spark: SparkSession, path: str, before: int | None = None) -> tuple[int, dict[int, int]]:
+    """The newest map, of a batch before the given one: its batch, and the batch of each part."""
+    maps = spark.read.schema("bucket int, at long, batch long").parquet(f"{path}/map")
+    maps = maps if before is None else maps.filter(F.col("batch") < before)
+    # a map has one row for each bucket, and two maps are kept
+    rows = maps.collect()
+    newest = max((r["batch"] for r in rows), default=-1)
+    return newest, {r["bucket"]: r["at"] for r in rows if r["batch"] == newest}
+
+
+def _part(path: str, bucket: int, at: int) -> str:
+    return f"{path}/parts/batch={at}/bucket={bucket}"
+
+
+def _parts(spark: SparkSession, path: str, schema: T.StructType, at: dict[int, int]) -> DataFrame:
+    if not at:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[_part(path, b, a) for b, a in sorted(at.items())])
+
+
+def upsert_latest(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Run a stream over everything available into a table of each key's newest row; returns its rows.
+
+    The table lies in parts by key hash. A micro-batch is reduced to one row a key, reads the parts
+    that it touches, and writes those anew below a folder of its own. Then a map is written that
+    names each part's folder, a single small file: before it the old table is whole, after it the
+    new one. A batch that is run again starts from the map before it. Versions that neither of the
+    last two maps names are deleted, so files grow with keys and not with batches; a reader has to
+    be done within two batches. Later runs with the same `path` and `buckets` go on. Choose
+    `buckets` so that a part fits a task. Newest is the largest by `order`; ties go to the largest
+    of the other columns. Null keys are keys.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    rest = [c for c in schema.names if c not in keys and c not in order]
+    best = F.max(F.struct(*order, *rest)).alias("_r")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    spark.createDataFrame([], "bucket int, at long").write.mode("ignore").parquet(f"{path}/map/batch=-1")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket", *keys).agg(best).select("bucket", *keys, "_r.*")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        last, at = _map_of(spark, path, batch_id)
+        made = newest(batch.select("*", bucket)).persist()  # used twice; a lost copy is made again
+        touched = [r["bucket"] for r in made.select("bucket").distinct().collect()]  # at most `buckets`
+        old = _parts(spark, path, schema, {b: at[b] for b in touched if b in at}).select("*", bucket)
+        # dealt by part, so the grouping by part and key needs no shuffle of its own
+        both = newest(old.unionByName(made).repartition("bucket"))
+        both.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/parts/batch={batch_id}")
+        now = {**at, **dict.fromkeys(touched, batch_id)}
+        spark.createDataFrame(sorted(now.items()), "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{path}/map/batch={batch_id}")
+        made.unpersist()
+        past, before = _map_of(spark, path, last) if last >= 0 else (last, {})
+        gone = [_part(path, b, a) for b, a in before.items() if at[b] != a]
+        delete_paths(spark, *gone, *([f"{path}/map/batch={past}"] if past >= 0 else []))
+
+    query = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    return read_upserted(spark, path, schema)
+
+
 def period_last(events: DataFrame, key: str, ts: str, value: str, width: str = "1 day", delay: str = "1 hour", tiebreak: str | None = None) -> DataFrame:
     """Last value and row count of each key and window; windows close when the delay has passed."""
     order = F.struct(F.col(ts), *([F.col(tiebreak)] if tiebreak else []))

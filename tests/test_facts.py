@@ -114,6 +114,21 @@ def test_gradients_keep_rows_and_use_history(spark):
     assert out[(2, 20230630)]["X_0qtrs_change_q1"] == 0.25
 
 
+def test_gradients_of_two_thousand_columns(spark):
+    names = [f"T{i}_0qtrs_current" for i in range(2000)]
+    rows = spark.range(8).select(F.lit(1).cast("long").alias("cik"), F.element_at(F.array(*map(F.lit, (20220331, 20220630, 20220930, 20221231, 20230331, 20230630, 20230930, 20231231))), F.col("id").cast("int") + 1).alias("period"), "id")
+    wide = rows.select("cik", "period", *[F.when(F.col("id") != i % 8, (F.col("id") + i).cast("double")).alias(c) for i, c in enumerate(names)])
+    out = features.gradients(wide, (1, 4))
+    assert len(out.columns) == 2 + 3 * 2000
+    got = {r["period"]: r for r in out.collect()}
+    for n, period in ((7, 20231231), (4, 20230331), (0, 20220331)):
+        for i in (0, 3, 7, 1999):
+            now, quarter, year = (None if k < 0 or k == i % 8 else k + i for k in (n, n - 1, n - 4))
+            for q, past in ((1, quarter), (4, year)):
+                want = (now - past) / past if now is not None and past else None
+                assert got[period][f"T{i}_0qtrs_change_q{q}"] == want
+
+
 def test_ratio_signs(spark):
     cols = {"AssetsCurrent": 10.0, "InventoryNet": 4.0, "LiabilitiesCurrent": 2.0, "LongTermDebtNoncurrent": 6.0, "StockholdersEquity": -4.0}
     wide = spark.createDataFrame([(1, *cols.values())], "cik int, " + ", ".join(f"{c}_0qtrs_current double" for c in cols))

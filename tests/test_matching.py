@@ -1,5 +1,6 @@
 """Names, tag matching and pipeline comparison."""
 
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,21 @@ def test_matches_prefer_exact_words(spark):
     assert [(r["tag"], r["score"]) for r in out][:2] == [("AssetsCurrent", 1.0), ("CurrentAssets", 1.0)]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_only_pairs_that_can_reach_the_threshold_are_scored(spark, threshold):
+    """The same matches as from scoring all pairs, from fewer scored pairs; a tag of many companies is scored once."""
+    rng = random.Random(3)
+    parts = ["Assets", "Current", "Net", "Income", "Loss", "Total", "Equity", "Debt", "Liabilities", "Cash", "Asset", "Incomes", "X"]
+    rows = [(i % 7, "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))) for i in range(600)] + [(0, ""), (0, "of"), (1, None)]
+    tags = spark.createDataFrame(rows, "cik int, tag string")
+    metrics = ["AssetsCurrent", "NetIncomeLoss", "Total Debt", "StockholdersEquity", "of"]
+    every = match.match_scores(match.candidates(tags, metrics, ["cik"])).filter(F.col("score") >= threshold)
+    got = match.tag_matches(tags, metrics, threshold, ["cik"], best=10**6)
+    assert {(r["cik"], r["metric"], r["tag"], r["score"]) for r in got.collect()} == {(r["cik"], r["metric"], r["tag"], r["score"]) for r in every.collect()}
+    once = match.candidates(tags, metrics)
+    assert 0 < every.select("metric", "tag").distinct().count() <= match.reachable(once, threshold).count() < once.count() * {0.5: 1, 0.7: 1, 0.9: 0.25}[threshold]
+
+
 def test_agreement_categories(spark):
     rows = [(1, "A", "a", 1), (2, "A", "a", 1), (1, "B", "b", 1), (1, "C", "c", 1), (2, "C", "d", 1)]
     m = spark.createDataFrame(rows, "cik int, metric string, tag string, match_rank int")

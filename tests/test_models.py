@@ -143,3 +143,72 @@ def test_every_month_between_start_and_end(data, tmp_path):
     none = backtest.walk_forward(data, None, scorer, start=3, min_train=10**6)
     assert none.count() == 0 and none.columns == out.columns
     assert backtest.months_between({5: 1, 1: 2, 9: 3}, 2) == [5, 9] and backtest.months_between({5: 1}) == [5]
+
+
+def test_upserted_table_keeps_the_newest_row_of_each_key(spark, tmp_path, monkeypatch):
+    """Batches rewrite the parts they touch; a batch that failed is run again; files do not grow with batches."""
+    rng, want, path, source = random.Random(1), {}, str(tmp_path / "table"), str(tmp_path / "in")
+
+    def file(rows):
+        spark.createDataFrame(rows, "k int, name string, day int, value double").coalesce(1).write.mode("append").parquet(source)
+        for k, name, day, value in rows:
+            want[k, name] = max(want.get((k, name), (0, 0.0)), (day, value))
+
+    def run():
+        stream = catchup.read_stream(spark, source, "*.parquet", spark.read.parquet(source).schema, 1)
+        return catchup.upsert_latest(stream, path, ["k", "name"], ["day"], buckets=4)
+
+    def some(n, keys):
+        return [(rng.choice(keys), rng.choice(["a", None]), rng.randint(1, 50), float(rng.randint(0, 9))) for _ in range(n)]
+
+    for _ in range(3):
+        file(some(40, range(20)))
+    first = {(r["k"], r["name"]): (r["day"], r["value"]) for r in run().collect()}
+    assert first == want
+
+    # a batch that fails between its parts and its map leaves the table as it was
+    file([(1, "a", 99, 1.0), (500, "b", 1, 2.0)])
+    dealt = catchup._map_of(spark, path)
+    write = spark.createDataFrame
+
+    def lost(*args, **kw):
+        if args[1:] and args[1] == "bucket int, at long" and args[0]:
+            raise RuntimeError("lost")
+        return write(*args, **kw)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *args, **kw: lost(*args, **kw))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.undo()
+    assert catchup._map_of(spark, path) == dealt
+    schema = spark.read.parquet(source).schema
+    assert {(r["k"], r["name"]): (r["day"], r["value"]) for r in catchup.read_upserted(spark, path, schema).collect()} == first
+    assert {(r["k"], r["name"]): (r["day"], r["value"]) for r in run().collect()} == want and want[1, "a"] == (99, 1.0)
+
+    for _ in range(5):
+        file([(1, "a", rng.randint(1, 200), 3.0)])
+    out = run()
+    assert {(r["k"], r["name"]): (r["day"], r["value"]) for r in out.collect()} == want
+    parts = [p for p in (tmp_path / "table" / "parts").glob("batch=*/bucket=*")]
+    assert len(parts) <= 8 and len(out.inputFiles()) <= 4
+    untouched = {b: a for b, a in catchup._map_of(spark, path)[1].items()}
+    assert len(set(untouched.values())) > 1  # parts without changes stay where they were
+
+
+def test_bins_give_the_trees_of_their_values(data):
+    """Of a feature with few values each is a bin: the same predictions; and the grid does not depend on what runs together."""
+    few = data.withColumn("x_0qtrs_current", F.round(F.col("x_0qtrs_current"))).filter("abs(x_0qtrs_current) <= 1")
+    train, test = few.filter("year_month < 6"), few.filter("year_month >= 6")
+    a, b = models.binned(train, test, ["x_0qtrs_current"])
+    assert [r[0] for r in a.select("x_0qtrs_current").distinct().orderBy("x_0qtrs_current").collect()] == [1.0, 2.0, 3.0]
+    scores = []
+    for t, u in ((train, test), (a, b)):
+        scored, _ = models.classify(t, u, ["x_0qtrs_current"], numTrees=3, maxDepth=3)
+        scores.append(sorted(r["y_pred_proba"] for r in scored.collect()))
+    assert scores[0] == pytest.approx(scores[1], abs=0.03)
+    tables = []
+    for together in (1, 4):
+        table, best = models.model_grid(train, test, FEATURES, selections=["current", "all"], params={"rf": {"numTrees": 20, "maxDepth": 4}, "boosted": {"maxIter": 2, "maxDepth": 2}}, together=together)
+        tables.append([tuple(r) for r in table.collect()])
+        assert best.orderBy("rank").first()["feature"] == "x_0qtrs_current"
+    assert tables[0] == tables[1] and len(tables[0]) == 8 and all(r[4] > 0.8 for r in tables[0])
