@@ -193,22 +193,3 @@ def test_upserted_table_keeps_the_newest_row_of_each_key(spark, tmp_path, monkey
     assert len(parts) <= 8 and len(out.inputFiles()) <= 4
     untouched = {b: a for b, a in catchup._map_of(spark, path)[1].items()}
     assert len(set(untouched.values())) > 1  # parts without changes stay where they were
-
-
-def test_bins_give_the_trees_of_their_values(data):
-    """Of a feature with few values each is a bin: the same predictions; and the grid does not depend on what runs together."""
-    few = data.withColumn("x_0qtrs_current", F.round(F.col("x_0qtrs_current"))).filter("abs(x_0qtrs_current) <= 1")
-    train, test = few.filter("year_month < 6"), few.filter("year_month >= 6")
-    a, b = models.binned(train, test, ["x_0qtrs_current"])
-    assert [r[0] for r in a.select("x_0qtrs_current").distinct().orderBy("x_0qtrs_current").collect()] == [1.0, 2.0, 3.0]
-    scores = []
-    for t, u in ((train, test), (a, b)):
-        scored, _ = models.classify(t, u, ["x_0qtrs_current"], numTrees=3, maxDepth=3)
-        scores.append(sorted(r["y_pred_proba"] for r in scored.collect()))
-    assert scores[0] == pytest.approx(scores[1], abs=0.03)
-    tables = []
-    for together in (1, 4):
-        table, best = models.model_grid(train, test, FEATURES, selections=["current", "all"], params={"rf": {"numTrees": 20, "maxDepth": 4}, "boosted": {"maxIter": 2, "maxDepth": 2}}, together=together)
-        tables.append([tuple(r) for r in table.collect()])
-        assert best.orderBy("rank").first()["feature"] == "x_0qtrs_current"
-    assert tables[0] == tables[1] and len(tables[0]) == 8 and all(r[4] > 0.8 for r in tables[0])
