@@ -7,7 +7,8 @@ can hold the token, and each block is held against its Content-Length.
 
 Payload headers (page, digest, length) are shuffled by digest; among equal payloads of at least
 `least` bytes the largest page id stays a response and the others become revisit records that name
-it. Page ids that repeat at the top are all responses. Nulls: a null payload is empty, a null page
+it. Page ids that repeat at the top are all responses. Page ids of any type are written URL-encoded
+and read back as `id_type`, so text ids may hold any characters. Nulls: a null payload is empty, a null page
 id is smaller than any other, a null url leaves out the header. An empty table gives an archive
 without records.
 """
@@ -94,7 +95,7 @@ def write_archive(records: DataFrame, path: str, date: str | None = None, compre
         _header("WARC-Date", F.lit(date)),
         _header("WARC-Target-URI", F.col("uri")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        _header("X-Page-Id", F.col("page_id")),
+        _header("X-Page-Id", F.url_encode(F.col("page_id").cast("string"))),
         _header("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _header("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), record_id(F.col("refers_to"), F.col("digest")), F.lit(">")))),
         _header("WARC-Refers-To-Target-URI", F.col("refers_uri")),
@@ -107,7 +108,7 @@ def write_archive(records: DataFrame, path: str, date: str | None = None, compre
     return at
 
 
-def read_archive(spark: SparkSession, archive: str) -> DataFrame:
+def read_archive(spark: SparkSession, archive: str, id_type: str = "long") -> DataFrame:
     """record_id, record_type, page_id, uri, digest, refers_id, payload (null in revisits).
 
     Fails on a block that is shorter than its Content-Length or a payload that misses its digest.
@@ -125,6 +126,8 @@ def read_archive(spark: SparkSession, archive: str) -> DataFrame:
         got = F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1)
         return F.when(got != "", got)
 
+    # an empty id is an id, a missing line is null
+    page = F.when(F.col("head").rlike("(?m)^X-Page-Id: "), F.url_decode(F.regexp_extract("head", r"(?m)^X-Page-Id: ([^\r\n]*)", 1)))
     length = field("Content-Length").cast("int")
     whole = (
         F.when(F.octet_length("block") == length, F.col("block"))
@@ -134,7 +137,7 @@ def read_archive(spark: SparkSession, archive: str) -> DataFrame:
     fields = raw.select(
         F.regexp_replace(field("WARC-Record-ID"), "[<>]", "").alias("record_id"),
         field("WARC-Type").alias("record_type"),
-        field("X-Page-Id").cast("long").alias("page_id"),
+        page.cast(id_type).alias("page_id"),
         field("WARC-Target-URI").alias("uri"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
         F.regexp_replace(field("WARC-Refers-To"), "[<>]", "").alias("refers_id"),
@@ -160,9 +163,9 @@ def followed(records: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate_archive(spark: SparkSession, archive: str, path: str, least: int = LEAST, date: str | None = None) -> str:
+def deduplicate_archive(spark: SparkSession, archive: str, path: str, least: int = LEAST, date: str | None = None, id_type: str = "long") -> str:
     """A second archive of the same pages, in which repeated payloads are revisit records."""
-    read = read_archive(spark, archive)
+    read = read_archive(spark, archive, id_type)
     full = read.filter("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     kept = full.select("page_id", "uri", "payload", "payload_bytes", "digest")
     old = followed(read).filter("record_type = 'revisit'")

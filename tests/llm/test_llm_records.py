@@ -222,3 +222,13 @@ def test_op8_no_pages(spark):
     df, _ = pages(spark)
     at = warc.write_archive(warc.resolved(warc.page_records(df.limit(0))), table_path(spark, "warc"))
     assert warc.read_archive(spark, at).count() == 0
+
+
+def test_op8_page_ids_of_any_text(spark):
+    """Text ids with line breaks, colons, percent signs or nothing come back, in revisits as well."""
+    ids = ["a b", "x\r\nWARC-Type: response", "50%2B", "é:+", "", None]
+    df = spark.createDataFrame([(i, f"http://h/{n}", "p" * 1200) for n, i in enumerate(ids)], "page_id string, url string, html string")
+    at = warc.write_archive(warc.resolved(warc.page_records(df)), table_path(spark, "warc"))
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.followed(warc.read_archive(spark, at, "string")).collect()]
+    top = max(i for i in ids if i is not None)
+    assert sorted(got, key=str) == sorted([(i, "response", None) if i == top else (i, "revisit", top) for i in ids], key=str)
