@@ -166,7 +166,7 @@ def quartiles(wide: DataFrame) -> DataFrame:
     return exact_quantiles(unpivot_ratios(wide), ["ratio"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
-def _bounds(rows: list) -> dict[str, tuple[float, float]]:
+def bounds_of(rows: list) -> dict[str, tuple[float, float]]:
     """Extreme bounds of the ratios with a positive spread, from collected quartiles."""
     out = {}
     for r in rows:
@@ -178,7 +178,7 @@ def _bounds(rows: list) -> dict[str, tuple[float, float]]:
 
 def _iqr_bounds(wide: DataFrame) -> dict[str, tuple[float, float]]:
     """Extreme bounds per ratio: at most one row per ratio definition reaches the driver."""
-    return _bounds(quartiles(wide).collect())
+    return bounds_of(quartiles(wide).collect())
 
 
 def range_checks(column: Column, ratio: str, bounds: tuple[float, float] | None = None) -> dict[str, Column]:
@@ -198,17 +198,20 @@ def range_checks(column: Column, ratio: str, bounds: tuple[float, float] | None
     return checks
 
 
-def expected_range_flag(wide: DataFrame) -> DataFrame:
-    """flag_outlier: any ratio outside its typical range, bounds or spread, or already flagged."""
-    bounds = _iqr_bounds(wide)
+def expected_range_flag(wide: DataFrame, bounds: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """flag_outlier: any ratio outside its typical range, bounds or spread, or already flagged.
+
+    The spread is that of `wide`, or given: `quarterly.stored_bounds` knows all stored quarters.
+    """
+    bounds = _iqr_bounds(wide) if bounds is None else bounds
     flags = [f for c, n in _augmented(wide.columns).items() for f in range_checks(F.col(c), n, bounds.get(c)).values()]
     before = [F.col("flag_outlier")] if "flag_outlier" in wide.columns else []
     return wide.withColumn("flag_outlier", _any([*flags, *before]))
 
 
-def extreme_flag(wide: DataFrame) -> DataFrame:
-    """flag_outlier: any ratio outside three interquartile ranges, or already flagged."""
-    bounds = _iqr_bounds(wide)
+def extreme_flag(wide: DataFrame, bounds: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """flag_outlier: any ratio outside three interquartile ranges (of `wide`, or given), or already flagged."""
+    bounds = _iqr_bounds(wide) if bounds is None else bounds
     flags = [(F.col(c) < lo) | (F.col(c) > hi) for c, (lo, hi) in bounds.items()]
     before = [F.col("flag_outlier")] if "flag_outlier" in wide.columns else []
     return wide.withColumn("flag_outlier", _any([*flags, *before]))
@@ -217,7 +220,7 @@ def extreme_flag(wide: DataFrame) -> DataFrame:
 def outlier_report(wide: DataFrame) -> DataFrame:
     """Per ratio: counts of each check, mean, median, extremes of the outliers, mean/median flag."""
     quarts = quartiles(wide).collect()
-    bounds = _bounds(quarts)
+    bounds = bounds_of(quarts)
     present = _augmented(wide.columns)
     v = F.col("value")
     kinds = ["below_typical_min", "above_typical_max", "exceeds_upper_bound", "below_lower_bound", "extreme_iqr"]

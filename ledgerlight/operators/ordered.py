@@ -137,6 +137,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     near = joined.select("_g", "n", "_v", F.explode("_q").alias("_b")).filter(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
     inside = F.when(F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo")), F.col("_v"))
     counts = near.groupBy("_g", "n", F.col("_b.q").alias("q"), inside.alias("_v")).agg(F.count("*").alias("_n"))
+    return quantiles_of_counts(counts, probs).select(*[F.col("_g")[k].alias(k) for k in keys], "n", *probs)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """(_g, n, one column per entry of `probs`) from counts of values near each quantile.
+
+    `counts` holds (_g, n, q, _v, _n): for group `_g` of `n` values and the q-th probability, `_n`
+    values equal `_v`; the row without `_v` counts all values below those listed.
+    """
     order = Window.partitionBy("_g", "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_cum", F.sum("_n").over(order))
     aggs = [F.first("n").alias("n")]
@@ -152,7 +161,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
         out.append(F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return grouped.select(*[F.col("_g")[k].alias(k) for k in keys], "n", *out)
+    return grouped.select("_g", "n", *out)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlight.queries.registry import ORACLES, QUERIES
 
-_MODULES = ("scans", "cleaning", "joining", "aggregates", "windows", "selection", "scalars", "modelling", "streams")
+_MODULES = ("scans", "cleaning", "joining", "aggregates", "windows", "selection", "scalars", "quarters", "modelling", "streams")
 
 
 def _load() -> None:
