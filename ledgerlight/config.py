@@ -76,27 +76,22 @@ def _ratio(name, numerator, denominator, num_qtrs, den_qtrs):
     return Ratio(name, terms, denominator, num_qtrs, den_qtrs)
 
 
-_REV, _NI, _OI = "Revenues", "NetIncomeLoss", "OperatingIncomeLoss"
-_LC, _EQ = "LiabilitiesCurrent", "StockholdersEquity"
-_CASH = "CashAndCashEquivalentsAtCarryingValue"
-_DEBT = ((1, "LongTermDebtNoncurrent"), (1, _LC))
-
 # fixed values: the fourteen ratios (numerator, denominator, quarters of each)
 RATIOS = (
-    _ratio("GrossMargin", "GrossProfit", _REV, 1, 1),
-    _ratio("OperatingMargin", _OI, _REV, 1, 1),
-    _ratio("NetMargin", _NI, _REV, 1, 1),
-    _ratio("ROE", _NI, _EQ, 1, 0),
-    _ratio("ROA", _NI, "Assets", 1, 0),
-    _ratio("CurrentRatio", "AssetsCurrent", _LC, 0, 0),
-    _ratio("QuickRatio", ((1, "AssetsCurrent"), (-1, "InventoryNet")), _LC, 0, 0),
-    _ratio("CashRatio", _CASH, _LC, 0, 0),
-    _ratio("DebtToEquity", _DEBT, _EQ, 0, 0),
-    _ratio("DebtToAssets", _DEBT, "Assets", 0, 0),
-    _ratio("InterestCoverage", _OI, "InterestExpense", 1, 1),
-    _ratio("AssetTurnover", _REV, "Assets", 1, 0),
+    _ratio("GrossMargin", "GrossProfit", "Revenues", 1, 1),
+    _ratio("OperatingMargin", "OperatingIncomeLoss", "Revenues", 1, 1),
+    _ratio("NetMargin", "NetIncomeLoss", "Revenues", 1, 1),
+    _ratio("ROE", "NetIncomeLoss", "StockholdersEquity", 1, 0),
+    _ratio("ROA", "NetIncomeLoss", "Assets", 1, 0),
+    _ratio("CurrentRatio", "AssetsCurrent", "LiabilitiesCurrent", 0, 0),
+    _ratio("QuickRatio", ((1, "AssetsCurrent"), (-1, "InventoryNet")), "LiabilitiesCurrent", 0, 0),
+    _ratio("CashRatio", "CashAndCashEquivalentsAtCarryingValue", "LiabilitiesCurrent", 0, 0),
+    _ratio("DebtToEquity", ((1, "LongTermDebtNoncurrent"), (1, "LiabilitiesCurrent")), "StockholdersEquity", 0, 0),
+    _ratio("DebtToAssets", ((1, "LongTermDebtNoncurrent"), (1, "LiabilitiesCurrent")), "Assets", 0, 0),
+    _ratio("InterestCoverage", "OperatingIncomeLoss", "InterestExpense", 1, 1),
+    _ratio("AssetTurnover", "Revenues", "Assets", 1, 0),
     _ratio("InventoryTurnover", "CostOfGoodsAndServicesSold", "InventoryNet", 1, 0),
-    _ratio("ReceivablesTurnover", _REV, "AccountsReceivableNetCurrent", 1, 0),
+    _ratio("ReceivablesTurnover", "Revenues", "AccountsReceivableNetCurrent", 1, 0),
 )
 
 # fixed values: hard limits

@@ -151,17 +151,24 @@ def normalize_labels(df: DataFrame, col: str, out: str = "label_name") -> DataFr
     return df.withColumn(out, expr)
 
 
+#: Rows of a batch that are compared with one another: three matrices of 128 MB.
+LARGEST_BATCH = 4096
+
+
 def contrastive_separation(df: DataFrame, key: str, vector: str, label: str, batch: str, temperature: float = 0.1) -> DataFrame:
     """Supervised-contrastive loss of each anchor against the other rows of its batch: (key, batch, loss).
 
     `batch` names the column of training batches, which are bounded by their purpose; a batch is
-    scored as one small matrix product in a task. Their mean is `contrastive_loss`.
+    scored as one small matrix product in a task. One of more than `LARGEST_BATCH` rows is an error.
+    Their mean is `contrastive_loss`.
     """
     eps = 1e-8
 
     def score(pdf):
         import numpy as np
 
+        if len(pdf) > LARGEST_BATCH:
+            raise ValueError(f"a batch has {len(pdf)} rows, at most {LARGEST_BATCH} are compared with one another")
         x = np.stack(pdf[vector].to_numpy()).astype("float64")
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         e = np.exp(x @ x.T / temperature)

@@ -112,16 +112,18 @@ def gradients(
 def tall_gradients(tall: DataFrame, keys: Sequence[str] = ("cik", "feature"), quarters: Sequence[int] = C.GRADIENT_QUARTERS) -> DataFrame:
     """Gradients on (cik, feature, period, value) rows: (…, period, q, current, past, gradient).
 
-    The scalable form: no width limit, one shuffle on (cik, feature, month).
+    The scalable form: no width limit, one shuffle by (cik, feature), whose rows are a company's
+    months. Range frames reach exactly 3n months back; a month without a row, and a row without a key, gives no gradient.
     """
     month = D.month_index(D.parse_day(F.col("period")))
-    rows = tall.withColumn("_m", month).groupBy(*keys, "_m").agg(F.max_by("value", "period").alias("value"))
-    moved = rows.select(*keys, F.explode(F.array(*[F.lit(q) for q in quarters])).alias("q"), "_m", F.col("value").alias("past"))
-    moved = moved.withColumn("_m", F.col("_m") + 3 * F.col("q"))
-    out = rows.join(moved, [*keys, "_m"])
+    spread = tall.dropna(subset=list(keys)).select(*keys, month.alias("_m"), "period", "value").repartition(*keys)
+    rows = spread.groupBy(*keys, "_m").agg(F.max_by("value", "period").alias("value"))
+    by_month = Window.partitionBy(*keys).orderBy("_m")
+    past = [F.struct(F.lit(q).alias("q"), F.first(F.struct("value")).over(by_month.rangeBetween(-3 * q, -3 * q)).alias("then")) for q in quarters]
+    out = rows.withColumn("_past", F.array(*past)).select(*keys, "_m", "value", F.inline("_past")).filter(F.col("then").isNotNull())
     return out.select(
-        *keys, D.to_int(D.month_end(F.col("_m"))).alias("period"), "q", F.col("value").alias("current"), "past",
-        change(F.col("value"), F.col("past")).alias("gradient"),
+        *keys, D.to_int(D.month_end(F.col("_m"))).alias("period"), "q", F.col("value").alias("current"), F.col("then.value").alias("past"),
+        change(F.col("value"), F.col("then.value")).alias("gradient"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 #: Parts of an upserted table.
 BUCKETS = 64
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Held while a stream starts: two that are started together must not take each other's setting.
+_STARTING = threading.Lock()
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -150,12 +153,13 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode)
-    before = spark.conf.get(STORE_CONF)
-    spark.conf.set(STORE_CONF, STORE)  # read when the query starts
-    try:
-        query = writer.foreachBatch(append).start()
-    finally:
-        spark.conf.set(STORE_CONF, before)
+    with _STARTING:  # the setting is read when a query starts, and is the session's
+        before = spark.conf.get(STORE_CONF)
+        spark.conf.set(STORE_CONF, STORE)
+        try:
+            query = writer.foreachBatch(append).start()
+        finally:
+            spark.conf.set(STORE_CONF, before)
     query.awaitTermination()
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.schema(stored).parquet(f"{path}/rows")

@@ -194,3 +194,22 @@ def test_one_build_equals_quarterly_builds(spark, tmp_path):
     assert key(store_new_quarters(df, str(tmp_path / "one"), ["A"])) == want
     store_new_quarters(df.filter("data_qtr = '2024q1'"), str(tmp_path / "two"), ["A"])
     assert key(store_new_quarters(df, str(tmp_path / "two"), ["A"])) == want
+
+
+def test_tall_gradients_match_a_loop_and_shuffle_once(spark):
+    """Of several filings in a month the latest counts; a month with a NULL value is there, one without a row or a company is not."""
+    rng = random.Random(2)
+    rows = [(c, f, p, None if rng.random() < 0.1 else rng.choice([0.0, 2.0, 5.0])) for c in (1, 2, None) for f in "ab" for p in (20200131, 20200331, 20200430, 20200415, 20200630, 20200731, 20201231, 20210430) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "cik long, feature string, period int, value double")
+    out = features.tall_gradients(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    month = lambda p: p // 10000 * 12 + p // 100 % 100
+    latest = {}
+    for c, f, p, v in sorted(rows, key=lambda r: r[2]):
+        latest[c, f, month(p)] = v
+    want = {(*k, q): (v, latest[k[0], k[1], k[2] - 3 * q]) for k, v in latest.items() for q in C.GRADIENT_QUARTERS if k[0] and (k[0], k[1], k[2] - 3 * q) in latest}
+    got = {(r.cik, r.feature, month(r.period), r.q): (r.current, r.past) for r in out.collect()}
+    assert got == want and any(v[1] is None for v in want.values()) and len(want) > 10
+    for r in out.collect():
+        assert r.gradient == ((r.current - r.past) / r.past if r.past and r.current is not None else None)

@@ -120,6 +120,13 @@ def test_contrastive_batches_match_brute_force(spark):
         assert got[i][0] == i // 10 and got[i][1] == pytest.approx(want, rel=1e-6)
 
 
+def test_contrastive_batches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "LARGEST_BATCH", 4)
+    df = spark.range(5).selectExpr("id", "id % 2 as y", "array(1.0D, id) as v", "0 as part")
+    with pytest.raises(Exception, match="a batch has 5 rows"):
+        evaluate.contrastive_separation(df, "id", "v", "y", "part").collect()
+
+
 def test_exact_quantiles_of_large_groups_use_brackets(spark):
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.normal(size=30_000), np.full(9_000, 0.25), rng.integers(0, 5, size=11_000)])
