@@ -193,3 +193,19 @@ def test_upserted_table_keeps_the_newest_row_of_each_key(spark, tmp_path, monkey
     assert len(parts) <= 8 and len(out.inputFiles()) <= 4
     untouched = {b: a for b, a in catchup._map_of(spark, path)[1].items()}
     assert len(set(untouched.values())) > 1  # parts without changes stay where they were
+
+
+def test_monthly_rebuild_scores_every_month_with_enough_rows_before_it(spark):
+    """Datasets are rebuilt for each month; one with too few earlier rows is left out."""
+    periods = [20000131, 20000229, 20000331]
+    features = spark.createDataFrame([(c, p, "10-Q", 1.0 * c) for p in periods for c in range(4)], "cik long, period int, form string, x_0qtrs_current double")
+    trends = spark.createDataFrame([(c, f"T{c}", 24000 + m, c % 2, 1.0) for m in range(3) for c in range(4)], "cik long, ticker string, year_month int, trend_up_or_down int, price_return double")
+    seen = []
+
+    def scorer(train, test):
+        seen.append((train.count(), test.agg(F.min("year_month")).first()[0]))
+        return test.withColumn("y_pred_proba", F.lit(0.5))
+
+    out = backtest.monthly_rebuild(features, trends, None, scorer, min_train=4, quarters=None, ratios=False)
+    assert sorted(seen) == [(4, 24001), (8, 24002)]
+    assert {r["year_month"]: r["count"] for r in out.groupBy("year_month").count().collect()} == {24001: 4, 24002: 4}
