@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import evaluate as E
-from ledgerlight.operators import models
+from ledgerlight.operators import clean, models
 from ledgerlight.plans import backtest
 from ledgerlight.streaming import catchup
 
@@ -209,3 +209,28 @@ def test_monthly_rebuild_scores_every_month_with_enough_rows_before_it(spark):
     out = backtest.monthly_rebuild(features, trends, None, scorer, min_train=4, quarters=None, ratios=False)
     assert sorted(seen) == [(4, 24001), (8, 24002)]
     assert {r["year_month"]: r["count"] for r in out.groupBy("year_month").count().collect()} == {24001: 4, 24002: 4}
+
+
+def test_models_without_labelled_train_rows(spark, data):
+    """Nothing to learn from: every test row is scored, by an uninformed value, and nothing is important."""
+    none, test, cols = data.filter("false"), data.limit(20), ["x_0qtrs_current", "z_0qtrs_current"]
+    for train in (none, data.withColumn("trend_up_or_down", F.lit(None).cast("int"))):
+        for name in models.CLASSIFIERS:
+            a, b, used = models.indicate_missing(train, test, cols)
+            scored, fitted = models.classify(a, b, used, model=name)
+            assert fitted is None and {r["y_pred_proba"] for r in scored.collect()} == {0.5} and scored.count() == 20
+            assert [r["importance"] for r in models.importances(fitted, used, spark).collect()] == [0.0] * len(used)
+    for name in models.REGRESSORS:
+        a, b = clean.impute_median(none, test, cols)
+        scored, fitted = models.regress(a, b, cols, model=name)
+        assert fitted is None and {r["y_pred"] for r in scored.collect()} == {0.0} and models.regression_report(scored).first()["n"] == 20
+    table, importances = models.model_grid(none, test, cols, params={"rf": {"numTrees": 2}, "boosted": {"maxIter": 2}})
+    assert {r["approach"] for r in table.collect()} == {f"{s}_{i}_{m}" for s in ("all", "current", "completeness") for i in ("none", "median") for m in ("rf", "boosted")}
+    assert importances.count() > 0
+
+
+def test_a_forest_that_saw_one_class_scores_the_other_zero(data):
+    cols = ["x_0qtrs_current"]
+    for label in (0, 1):
+        a, b = clean.impute_median(data.withColumn("trend_up_or_down", F.lit(label)), data.limit(20), cols)
+        assert {r["y_pred_proba"] for r in models.classify(a, b, cols, numTrees=2)[0].collect()} == {float(label)}
