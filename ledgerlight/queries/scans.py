@@ -13,7 +13,7 @@ from ledgerlight.operators import explore, selection
 from ledgerlight.plans.features import store_new_quarters
 from ledgerlight.queries.registry import query, rounded
 from ledgerlight.queries.selection import STRATEGY_SQL
-from ledgerlight.session import table_path
+from ledgerlight.session import durable, table_path
 from ledgerlight.sources import companyfacts, entities, filings, prices, sinks
 
 
@@ -146,7 +146,8 @@ def s07(spark, sf):
 
 def _fact_docs(spark, sf):
     """One company-facts document per order: a few facts each, two filings, four taxonomies."""
-    li = X.table(spark, sf, "lineitem")
+    # one shuffle brings a company together, for all four levels of its document
+    li = X.table(spark, sf, "lineitem").repartition("l_orderkey")
     day = F.col("l_shipdate").cast("date")
     taxonomy = F.element_at(F.array(*[F.lit(t) for t in ("us-gaap", "ifrs-full", "dei", "srt")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
     end = F.when(F.col("l_partkey") % 50 == 0, "n/a").otherwise(day.cast("string"))
@@ -285,7 +286,7 @@ def s13(spark, sf):
 @query("s14", "features_tall", """select case when data_qtr < '1996q1' then 'Unknown' else form end as form, data_qtr, case when data_qtr = '1998q2' then tag || '!' else tag end as tag,
   count(*) as n, round(sum(value), 2) as total from features_tall group by all""")
 def s14(spark, sf):
-    t = X.features_tall(spark, sf)
+    t = durable(X.features_tall(spark, sf))  # built once, read by all three writes
     path = table_path(spark, "features")
     sinks.write_features(t.filter("data_qtr >= '1996q1'"), path)
     # one quarter is rebuilt, the early ones come from before forms were kept

@@ -50,17 +50,16 @@ def pick_filing(flat: DataFrame, form: str, target: str | None = None, keys: Ite
     # without a usable target the distance to the far future ranks the latest date first
     away = F.coalesce(F.abs(F.datediff("report_date", goal)), F.datediff(F.lit("9999-12-31").cast("date"), F.col("report_date")))
     spot = F.when(F.col("report_date").isNotNull(), F.struct(away.alias("away"), F.col("report_date").alias("day")))
-    # one row per filing; a filing holds the chosen date when its best date is the company's
-    filings = rows.groupBy(*ids, "accn", "filing_date").agg(F.min(spot).alias("_s"))
-    company = Window.partitionBy(*ids)
-    filings = filings.withColumn("_hit", F.coalesce(F.col("_s") == F.min("_s").over(company), F.lit(False)))
+    # a company's facts come out of one document, so they meet in one task again
+    company, filing = Window.partitionBy(*ids), Window.partitionBy(*ids, "accn", "filing_date")
+    # a filing holds the chosen date when its best date is the company's
+    hit = F.coalesce(F.min("_spot").over(filing) == F.min("_spot").over(company), F.lit(False))
+    rows = rows.withColumn("_spot", spot).withColumn("_hit", hit)
     named = F.col("_hit") & F.col("accn").isNotNull()
-    filings = filings.withColumn("_named", F.max(named).over(company))
     by_accn = F.max(named).over(Window.partitionBy(*ids, "accn"))
     by_day = F.max("_hit").over(Window.partitionBy(*ids, "filing_date"))
-    keep = F.when(F.col("_named"), by_accn).otherwise(by_day)
-    chosen = filings.select(*[F.col(c).alias(f"_{c}") for c in [*ids, "accn", "filing_date"]], keep.alias("_keep")).filter("_keep")
-    return rows.join(chosen, [rows[c].eqNullSafe(chosen[f"_{c}"]) for c in [*ids, "accn", "filing_date"]], "left_semi")
+    keep = F.when(F.max(named).over(company), by_accn).otherwise(by_day)
+    return rows.withColumn("_keep", keep).filter("_keep").drop("_spot", "_hit", "_keep")
 
 
 def sorted_filing(filing: DataFrame) -> DataFrame:
