@@ -152,3 +152,13 @@ def test_overlaps_of_all_sets():
         a, b = ([np.unique(rng.integers(0, kinds, rng.integers(1, 80)).astype(np.int64)) for _ in range(k)] for k in (n, m))
         want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
         assert minhash.overlaps(a, b).tolist() == want
+
+
+def test_near_copies_in_any_script(spark):
+    """Texts without spaces, in capitals or in other forms of equal characters are near copies too."""
+    rng = random.Random(4)
+    han, thai = ("".join(chr(rng.randint(a, b)) for _ in range(300)) for a, b in ((0x4E00, 0x9FA5), (0x0E01, 0x0E2E)))
+    french = " ".join(w + "é" for w in prose(80, 9).split())
+    rows = [(1, han), (2, han[:150] + "\u4e00" + han[151:]), (3, han[150:] + han[:20]), (4, thai), (5, thai[:-2]), (6, french), (7, french.upper()), (8, french.replace("é", "e\u0301").replace(" ", "\u00a0"))]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4, 6]
