@@ -173,3 +173,16 @@ def test_last_known_of_one_key_is_spread(spark):
     assert len(sizes) == 8 and max(sizes) < 2 * 60000 / 8
     assert out.filter("b <> t - t % 1000 or a <> (t + 999) - (t + 999) % 1000").count() == 0
     assert ordered.last_known(df.limit(0), ["k"], ["t"], {"b": "v"}).count() == 0
+
+
+def test_rows_of_a_hot_group_do_not_meet_for_its_quantiles(spark):
+    """The brackets come to the rows: one group's rows stay in the tasks that read them."""
+    df = spark.range(60_000).selectExpr("case when id < 50000 then 'hot' when id < 59990 then 'b' end as k", "cast(id as double) as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ordered.exact_quantiles(df, ["k"], "v", {"m": 0.5})
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert {r["k"]: (r["n"], r["m"]) for r in got.collect()} == {"hot": (50_000, 24_999.5), "b": (9_990, 54_994.5), None: (10, 59_994.5)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -187,3 +187,13 @@ def test_headers_come_from_the_first_block_only(spark, tmp_path):
         assert headers.first_lines(spark, [str(tmp_path / "long.csv")]).collect()[0]["line"] == "a,b"
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_filing_is_picked_without_another_pass_over_the_facts(spark):
+    rows = [(1, "10-Q", "a", "2020-01-31", "2019-12-31"), (1, "10-Q", "a", "2020-01-31", "2019-09-30"), (1, "10-Q", "b", "2019-10-31", "2019-09-30"),
+            (None, "10-Q", None, "2020-01-31", "2019-12-31"), (None, "10-Q", None, "2020-01-31", None), (None, "10-Q", "c", "2019-01-31", None), (2, "10-K", "d", "2020-01-31", "2019-12-31")]
+    flat = spark.createDataFrame(rows, "cik long, form string, accn string, filing_date string, report_date string").withColumn("report_date", F.to_date("report_date"))
+    got = companyfacts.pick_filing(flat.repartition("cik"), "10-Q")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and got.columns == flat.columns
+    assert sorted((str(r["cik"]), str(r["accn"]), str(r["report_date"])) for r in got.collect()) == [("1", "a", "2019-09-30"), ("1", "a", "2019-12-31"), ("None", "None", "2019-12-31"), ("None", "None", "None")]
