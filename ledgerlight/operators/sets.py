@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.session import spread
+
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Union by name, missing columns NULL."""
@@ -32,10 +34,13 @@ def merge_forms(tables: Sequence[DataFrame], keys: Sequence[str] = ("cik", "peri
     return union_all(tables).select(*keys, *[f"`{c}`" for c in cols])
 
 
-def set_compare(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct values with the side they occur on: both, left, right."""
+def set_compare(left: DataFrame, right: DataFrame, cols: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Distinct values with the side they occur on: both, left, right.
+
+    `tasks`: where many distinct values are known to come, deal the rows to so many tasks.
+    """
     tagged = left.select(*cols, F.lit(1).alias("_s")).unionByName(right.select(*cols, F.lit(2).alias("_s")))
-    g = tagged.groupBy(*cols).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    g = spread(tagged, tasks, *cols).groupBy(*cols).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     side = F.when(F.col("_lo") != F.col("_hi"), "both").when(F.col("_lo") == 1, "left").otherwise("right")
     return g.select(*cols, side.alias("side"))
 

@@ -414,7 +414,7 @@ def u03(spark, sf):
   from a full join b using (cik, tag)""")
 def u04(spark, sf):
     f = X.metric_facts(spark, sf, by_customer=True)
-    return sets.set_compare(f.filter("form = '10-K'"), f.filter("form = '10-Q'"), ["cik", "tag"])
+    return sets.set_compare(f.filter("form = '10-K'"), f.filter("form = '10-Q'"), ["cik", "tag"], X.customer_tasks(spark, sf))
 
 
 @query("u05", "features_tall", """, a as (select distinct tag || '_' || qtrs as feature from features_tall where form = '10-K' and tag < 'L'),

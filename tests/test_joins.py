@@ -2,10 +2,14 @@
 
 import datetime
 import random
+import re
 
 import pytest
 
+from ledgerlight import session
+from ledgerlight.config import KEY_METRICS
 from ledgerlight.operators import joins, reconcile, sets
+from ledgerlight.queries import joining
 from ledgerlight.sources import sinks
 
 
@@ -115,3 +119,35 @@ def test_value_diff_reads_each_side_once_and_bucketed_tables_without_a_shuffle(s
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for n in "ab":
             spark.sql(f"drop table diff_{n}")
+
+
+def test_more_facts_of_customers_take_more_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    customers = [(c, "BUILDING", c % 25) for c in range(60)]
+    orders = [(o, rng.choice([None, 7, rng.randrange(80)]), datetime.datetime(1995, rng.randrange(12) + 1, 3)) for o in range(600)]
+    lines = [(rng.choice([None, rng.randrange(700)]), rng.randrange(40)) for _ in range(2000)]
+    spark.createDataFrame(customers, "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    items = spark.createDataFrame(lines, "l_orderkey long, l_partkey long").selectExpr(
+        "*", "1 as l_linenumber", "3.0D as l_quantity", "1.0D as l_extendedprice", "'N' as l_returnflag", "timestamp_ntz'1995-05-05' as l_shipdate")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = {}
+    filed = {o: (c, "left" if day.month > 9 else "right") for o, c, day in orders if c is not None and c < 60}
+    for o, part in lines:
+        if o in filed:
+            cik, side = filed[o]
+            seen.setdefault((cik, KEY_METRICS[part % len(KEY_METRICS)]), set()).add(side)
+    want = {(*k, "both" if len(s) > 1 else min(s)) for k, s in seen.items()}
+    parts = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (100, 1_000_000):  # 2,000 lines: 20 tasks, or the session's 8
+            monkeypatch.setattr(session, "TASK_ROWS", rows)
+            out = joining.u04(spark, str(tmp_path))
+            got = [tuple(r) for r in out.collect()]
+            assert len(got) == len(want) and set(got) == want
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            parts[rows] = set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan))
+        assert parts == {100: {"20"}, 1_000_000: {"8"}}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
