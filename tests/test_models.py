@@ -234,3 +234,16 @@ def test_a_forest_that_saw_one_class_scores_the_other_zero(data):
     for label in (0, 1):
         a, b = clean.impute_median(data.withColumn("trend_up_or_down", F.lit(label)), data.limit(20), cols)
         assert {r["y_pred_proba"] for r in models.classify(a, b, cols, numTrees=2)[0].collect()} == {float(label)}
+
+
+def test_three_classes_without_labelled_train_rows(data):
+    """No network: every test row is kept, all classes alike, for no train rows as for unlabelled ones."""
+    test = data.limit(20).withColumn("class", F.lit("good"))
+    for train in (data.filter("false").withColumn("class", F.lit("bad")), data.withColumn("class", F.lit(None).cast("string"))):
+        a, b = clean.impute_median(train, test, FEATURES)
+        out = models.classify_three(a, b, FEATURES, layers=(4,), epochs=2)
+        rows = out.collect()
+        assert len(rows) == 20 and {r["predicted"] for r in rows} == {"mediocre"} and {r["y_pred_proba"] for r in rows} == {0.5}
+        assert all(r["p_bad"] == r["p_mediocre"] == r["p_good"] == pytest.approx(1 / 3) for r in rows)
+        assert set(out.columns) == {*b.columns, "p_bad", "p_mediocre", "p_good", "predicted", "y_pred_proba"}
+    assert models.classify_three(a, b.filter("false"), FEATURES, layers=(4,), epochs=2).count() == 0
