@@ -20,6 +20,9 @@ is looked up, so pairs are found at most twice.
 A word's form is its near word of largest count (ties: the smallest in code-point order) if that is
 `TIMES` = 5 times the word's or more; forms are followed by pointer jumping in rounds of joins.
 
+Joins whose sides grow with the vocabulary are merge joins by hint: Spark takes lists of many keys a
+word, and packed words, for as small as the stored vocabulary, and would send them through the driver.
+
 Null texts have no words; null ids count as empty in `misspelt`; repeated rows count again. Very
 long texts are counted like any other. Extra columns are not read. Empty tables give empty results.
 """
@@ -172,7 +175,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = words.sparkSession.sparkContext.broadcast(frequent_grams(words))
     a = _lists(words, grams, "looked_up").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = _lists(words, grams, "present").select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, "key").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    pairs = a.join(b.hint("merge"), "key").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     x, y = F.struct(F.col("a").alias("w"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("w"), F.col("n_b").alias("n"))
     pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
     return pairs.select(F.col("x.w").alias("a"), F.col("x.n").alias("n_a"), F.col("y.w").alias("b"), F.col("y.n").alias("n_b"))
@@ -183,7 +186,7 @@ def followed(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         step = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(now.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
+        moved = stored(now.join(step.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
         now = moved.select("word", "root")
         if moved.filter("moved").isEmpty():
             return now
@@ -196,9 +199,9 @@ def grouped(words: DataFrame, times: int = TIMES) -> DataFrame:
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("n")))).alias("s")).select("s.*")
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("m"), "near")).alias("best"))
     fits = -F.col("best.m") >= times * F.col("n")
-    found = words.join(best, "word", "left").select(
+    found = words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.m")).alias("form_n")
     )
     found = stored(found, "near-words")
     roots = followed(found.filter("form is not null"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -120,3 +120,19 @@ def test_misspelt_and_awkward_rows(spark):
     assert got == plain_words(rows)
     assert found(variants.grouped(variants.vocabulary(hard(spark)))) == plain_groups(got)
     assert variants.grouped(variants.vocabulary(empty(spark))).count() == 0
+
+
+def test_no_join_sends_the_vocabulary_through_the_driver(spark, monkeypatch):
+    """Whatever Spark takes the lists of a small stored vocabulary for, and in every join of the operator."""
+    plans = []
+
+    def planned(df, name, store=variants.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(variants, "stored", planned)
+    words = {"abcdefgh" + "i" * k: 5 ** (k + 1) for k in range(6)}
+    out = variants.grouped(spark.createDataFrame(list(words.items()), "word string, n long"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert found(out) == plain_groups(words)
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
