@@ -162,3 +162,34 @@ def test_near_copies_in_any_script(spark):
     rows = [(1, han), (2, han[:150] + "\u4e00" + han[151:]), (3, han[150:] + han[:20]), (4, thai), (5, thai[:-2]), (6, french), (7, french.upper()), (8, french.replace("é", "e\u0301").replace(" ", "\u00a0"))]
     kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 3, 4, 6]
+
+
+def test_near_copies_without_spaces_or_with_others(spark):
+    """Data and code in one piece, more scripts without spaces, other white space, unseen characters and
+    case folding: of each text a copy with small changes goes, and another text of the kind stays."""
+    rng = random.Random(8)
+    kinds = {
+        "values": lambda: ",".join(str(rng.randrange(10**5)) for _ in range(200)),
+        "base64": lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1500)),
+        "glued": lambda: "".join(prose(200, rng.randrange(10**6)).replace(".\n", "").split()),
+        "tibetan": lambda: "".join(chr(rng.randint(0x0F40, 0x0F6C)) for _ in range(300)),
+        "javanese": lambda: "".join(chr(rng.randint(0xA984, 0xA9B2)) for _ in range(300)),
+    }
+    rows = []
+    for k, make in enumerate(kinds.values()):
+        text, other = make(), make()
+        rows += [(10 * k, text), (10 * k + 1, text[: len(text) // 2] + text[len(text) // 2 + 1 :]), (10 * k + 2, other)]
+    words = [w + "ß" for w in prose(80, 9).replace(".\n", " ").split()]
+    ways = ["\u2028".join(words), "\u200b".join(words), "\u1680".join(words), " ".join(w[:2] + "\u00ad" + w[2:] for w in words), " ".join(words).replace("ß", "SS")]
+    rows += [(90, " ".join(words)), *[(91 + i, t) for i, t in enumerate(ways)]]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted([i for i, _ in rows if i < 90 and i % 10 != 1] + [90])
+
+
+def test_words_of_plain_texts_are_those_between_spaces():
+    """A long address or line of signs in prose is one word; texts of signs alone keep them together."""
+    address = "https://example.com/" + "a,b-c/" * 30
+    for text in (f"{prose(60)} {address} {prose(20, 1)}", "Tom, Dick. " * 9, "", "one", "x" * minhash.LONGEST, " \n"):
+        assert minhash.comparable(text) == text
+    assert minhash.comparable("=" * 400).split() == ["=" * 400] and minhash.comparable(None) is None
+    assert "".join(minhash.comparable(address).split()) == address
